@@ -423,22 +423,22 @@ def time_features(panel: DataFrame, recursive: bool = True, periods: bool = True
     return df
 
 
-def cross_features(df: DataFrame, group_rows: int | None = None, rated: Sequence[str] | None = None) -> DataFrame:
+def cross_features(df: DataFrame, bound: xs.Bound = xs.Bound(), rated: Sequence[str] | None = None) -> DataFrame:
     """X1 + E2: percentile ratings, peer-group z / rank, and shifts of the relative-strength rating."""
     w = TimeAxis("entity", "date", "t")
     wanted = {k: v for k, v in RATED.items() if rated is None or k in rated}
-    df = xs.percentile_rating(df, ["date"], {"rs_rating_spy": "rs_composite"}, group_rows, rounded=False)
-    df = xs.percentile_rating(df, ["date"], wanted, group_rows)
-    df = xs.group_z(df, ["date", "grp"], {f"within_basket_z_{n}d": f"ret_{n}" for n in (21, 63, 126)}, "grp_size")
+    df = xs.percentile_rating(df, ["date"], {"rs_rating_spy": "rs_composite"}, bound, rounded=False)
+    df = xs.percentile_rating(df, ["date"], wanted, bound)
+    df = xs.group_z(df, ["date", "grp"], {f"within_basket_z_{n}d": f"ret_{n}" for n in (21, 63, 126)}, "grp_size", bound=xs.Bound(bound.rows))
     df = xs.group_rank(df, ["date", "grp"], "ret_63", "grp_size", "within_basket_rank", "within_basket_rank_pct",
-                       group_rows=group_rows)
+                       bound=bound)
     return df.withColumns({
         f"rs_rating_slope_{n}d": col("rs_rating_spy") - w.lag(col("rs_rating_spy"), n) for n in (60, 120)
     })
 
 
-def compute_features(panel: DataFrame, benchmarks: Sequence[str], group_rows: int | None = None,
+def compute_features(panel: DataFrame, benchmarks: Sequence[str], bound: xs.Bound = xs.Bound(),
                      keep: Sequence[str] = ()) -> DataFrame:
     """The stored feature panel: keys, grp and the 108 feature columns, benchmarks removed."""
-    df = cross_features(time_features(panel), group_rows)
+    df = cross_features(time_features(panel), bound)
     return df.where(~col("entity").isin(*benchmarks)).select("entity", "date", "t", "grp", "grp_size", *keep, *config.FEATURES)

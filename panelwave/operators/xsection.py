@@ -2,7 +2,7 @@
 
 Two exact plans exist for everything that needs an order inside a group:
 
-* ``group_rows`` is a proven bound on rows per group and fits a task: one window / one aggregate;
+* ``Bound.rows`` is a proven bound on rows per group and fits a task: one window / one aggregate;
 * otherwise the group is split into value buckets by a bounded-size sketch, counted per bucket and
   stitched together with prefix sums, so no task ever holds a whole group and ties are pre-aggregated.
 """
@@ -10,18 +10,27 @@ Two exact plans exist for everything that needs an order inside a group:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwave.functions.expr import clip, div
-from panelwave.operators.sizing import WINDOW_ROWS
+from panelwave.operators.sizing import BROADCAST_ROWS, WINDOW_ROWS
 
 SALTS = 16
 
 
-def _fits(group_rows: int | None) -> bool:
-    return group_rows is not None and group_rows <= WINDOW_ROWS
+@dataclass(frozen=True)
+class Bound:
+    """Proven sizes: most rows in one group, and number of groups (None = unknown)."""
+
+    rows: int | None = None
+    groups: int | None = None
+
+
+def _fits(bound: Bound) -> bool:
+    return bound.rows is not None and bound.rows <= WINDOW_ROWS
 
 
 def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int = 64) -> DataFrame:
@@ -42,7 +51,6 @@ def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int
         .join(bounds, [*keys, "_salt"])
         .select(*keys, value, "n", F.size(F.filter("_bounds", lambda b: b < F.col(value))).alias("_bucket"))
     )
-    # null-safe for multi-key groups: buckets hold about 1/splits of a group each
     per_bucket = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
     w = Window.partitionBy(*keys).orderBy("_bucket")
     offsets = per_bucket.select(
@@ -67,10 +75,10 @@ def average_rank(x: Column, spec_by: Sequence[str]) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w) - nulls + (F.count(x).over(peers) - 1) / 2.0)
 
 
-def pct_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], group_rows: int | None = None) -> DataFrame:
+def pct_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: Bound = Bound()) -> DataFrame:
     """Average-tie percentile rank (rank / non-null count) of ``cols[out] = in`` inside each group."""
     by = list(by)
-    if _fits(group_rows):
+    if _fits(bound):
         whole = Window.partitionBy(*by)
         return df.withColumns(
             {out: average_rank(F.col(c), by) / F.count(F.col(c)).over(whole) for out, c in cols.items()}
@@ -83,9 +91,9 @@ def pct_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], group_ro
     return df
 
 
-def percentile_rating(df: DataFrame, by, cols, group_rows=None, rounded: bool = True) -> DataFrame:
+def percentile_rating(df: DataFrame, by, cols, bound=Bound(), rounded: bool = True) -> DataFrame:
     """Percentile rank mapped to 1..99; rounded half-even unless asked otherwise."""
-    ranked = pct_rank(df, by, cols, group_rows)
+    ranked = pct_rank(df, by, cols, bound)
     exprs = {}
     for out in cols:
         r = clip(F.col(out) * 98.0 + 1.0, 1.0, 99.0)
@@ -94,11 +102,11 @@ def percentile_rating(df: DataFrame, by, cols, group_rows=None, rounded: bool =
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]], group_rows: int | None = None
+    df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float]], bound: Bound = Bound()
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``wanted[out] = (column, q)``."""
     by = list(by)
-    if _fits(group_rows):
+    if _fits(bound):
         per_col: dict[str, list[tuple[str, float]]] = {}
         for out, (c, q) in wanted.items():
             per_col.setdefault(c, []).append((out, q))
@@ -126,14 +134,18 @@ def group_quantiles(
     return result
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-group statistics back (left, so groups without statistics keep their rows)."""
-    return df.join(stats, list(by), "left")
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], bound: Bound = Bound()) -> DataFrame:
+    """Join per-group statistics back (left, so groups without statistics keep their rows).
+
+    Broadcast only when the number of groups is proven small; otherwise the optimizer picks the join.
+    """
+    small = bound.groups is not None and bound.groups <= BROADCAST_ROWS
+    return df.join(F.broadcast(stats) if small else stats, list(by), "left")
 
 
 def standard_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], *, sample: bool = False,
                center: Mapping[str, float] | None = None, floor: float = 1e-10,
-               constant: float | None = 0.0) -> DataFrame:
+               constant: float | None = 0.0, bound: Bound = Bound()) -> DataFrame:
     """(x - mean) / std per group through one mergeable aggregate.
 
     ``constant`` is the value of every row of a group whose std is below ``floor`` (0.0), or None to
@@ -144,29 +156,29 @@ def standard_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], *, sam
     aggs = []
     for i, c in enumerate(cols.values()):
         aggs += [F.avg(c).alias(f"_m{i}"), sd(c).alias(f"_s{i}")]
-    joined = attach(df, df.groupBy(*by).agg(*aggs), by)
+    joined = attach(df, df.groupBy(*by).agg(*aggs), by, bound)
     exprs = {}
     for i, (out, c) in enumerate(cols.items()):
         mid = F.lit(float(center[out])) if out in center else F.col(f"_m{i}")
         s = F.col(f"_s{i}")
         if constant is None:
-            exprs[out] = (F.col(c) - mid) / F.when(s > 0, s).otherwise(F.lit(1.0))
+            exprs[out] = (F.col(c) - mid) / F.when(s == 0, F.lit(1.0)).otherwise(s)
         else:
             exprs[out] = F.when(s < floor, F.lit(constant)).otherwise(div(F.col(c) - mid, s))
     return joined.withColumns(exprs).drop(*[f"_m{i}" for i in range(len(cols))], *[f"_s{i}" for i in range(len(cols))])
 
 
-def robust_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], group_rows: int | None = None,
+def robust_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: Bound = Bound(),
              limit: float | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD); population std where MAD ~ 0; 0.0 for a constant group."""
     by = list(by)
     outs = list(cols.items())
-    med = group_quantiles(df, by, {f"_med{i}": (c, 0.5) for i, (_, c) in enumerate(outs)}, group_rows)
+    med = group_quantiles(df, by, {f"_med{i}": (c, 0.5) for i, (_, c) in enumerate(outs)}, bound)
     sds = df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"_sd{i}") for i, (_, c) in enumerate(outs)])
-    step = attach(df, med.join(sds, by, "left"), by)
+    step = attach(df, med.join(sds, by, "left"), by, bound)
     dev = step.withColumns({f"_dev{i}": F.abs(F.col(c) - F.col(f"_med{i}")) for i, (_, c) in enumerate(outs)})
-    mad = group_quantiles(dev, by, {f"_mad{i}": (f"_dev{i}", 0.5) for i in range(len(outs))}, group_rows)
-    full = attach(step, mad, by)
+    mad = group_quantiles(dev, by, {f"_mad{i}": (f"_dev{i}", 0.5) for i in range(len(outs))}, bound)
+    full = attach(step, mad, by, bound)
     exprs = {}
     for i, (out, c) in enumerate(outs):
         num = F.col(c) - F.col(f"_med{i}")
@@ -182,24 +194,25 @@ def robust_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], group_ro
 
 
 def winsorize(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], lo: float = 0.01, hi: float = 0.99,
-              group_rows: int | None = None) -> DataFrame:
+              bound: Bound = Bound()) -> DataFrame:
     """Clip to the group's lo / hi quantiles."""
     wanted = {}
     for i, c in enumerate(cols.values()):
         wanted[f"_lo{i}"], wanted[f"_hi{i}"] = (c, lo), (c, hi)
-    full = attach(df, group_quantiles(df, by, wanted, group_rows), by)
+    full = attach(df, group_quantiles(df, by, wanted, bound), by, bound)
     return full.withColumns(
         {out: clip(F.col(c), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, (out, c) in enumerate(cols.items())}
     ).drop(*wanted)
 
 
-def group_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], size: str, need: int = 3) -> DataFrame:
+def group_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], size: str, need: int = 3,
+            bound: Bound = Bound()) -> DataFrame:
     """Sample z inside (date, group); NULL for groups with fewer than ``need`` declared members."""
     by = list(by)
     aggs = []
     for i, c in enumerate(cols.values()):
         aggs += [F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}")]
-    full = attach(df, df.groupBy(*by).agg(*aggs), by)
+    full = attach(df, df.groupBy(*by).agg(*aggs), by, bound)
     return full.withColumns({
         out: F.when(F.col(size) >= need, div(F.col(c) - F.col(f"_m{i}"), F.col(f"_s{i}")))
         for i, (out, c) in enumerate(cols.items())
@@ -207,11 +220,11 @@ def group_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], size: str
 
 
 def group_rank(df: DataFrame, by: Sequence[str], col: str, size: str, rank_out: str, pct_out: str,
-               need: int = 2, group_rows: int | None = None) -> DataFrame:
+               need: int = 2, bound: Bound = Bound()) -> DataFrame:
     """Rank 1 = largest (ties share the smallest rank) and rank / non-null count."""
     by = list(by)
     x = F.col(col)
-    if _fits(group_rows):
+    if _fits(bound):
         w = Window.partitionBy(*by).orderBy(x.desc_nulls_last())
         r = F.rank().over(w).cast("double")
         n = F.count(x).over(Window.partitionBy(*by))
@@ -229,13 +242,13 @@ def group_rank(df: DataFrame, by: Sequence[str], col: str, size: str, rank_out:
 
 
 def top_share(df: DataFrame, by: Sequence[str], col: str, takes: Mapping[str, Column],
-              group_rows: int | None = None) -> DataFrame:
+              bound: Bound = Bound()) -> DataFrame:
     """Sum of the n largest values over the sum of all, per group; NULL unless the total is positive.
 
     ``takes[out]`` is n as a column of ``total`` (non-null rows). Ties are counted, not collected.
     """
     by = list(by)
-    if _fits(group_rows):
+    if _fits(bound):
         vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
         w = Window.partitionBy(*by).orderBy(F.col(col))
         oc = vals.select(

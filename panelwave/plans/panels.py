@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwave.operators import bars as B
+from panelwave.operators.xsection import Bound
 from panelwave.operators.sizing import materialize, small_side
 
 BENCHMARKS = ("MKT", "MKT_R")
@@ -109,7 +110,7 @@ class PanelSource:
         mkt, second = (self.bars.where(F.col("entity") == b) for b in BENCHMARKS)
         self.calendar = materialize(B.calendar(mkt, second))
         # proven bound on rows per date: one row per declared entity plus the two benchmarks
-        self.group_rows = self.members.where("is_primary").count() + len(BENCHMARKS)
+        self.bound = Bound(self.members.where("is_primary").count() + len(BENCHMARKS), self.calendar.count())
 
     def dense(self) -> DataFrame:
         return B.densify(self.bars, self.calendar)
