@@ -35,17 +35,19 @@ RATED = {  # rating -> raw input; every one but rs_rating_spy is rounded
 
 
 # ---- weekly / monthly branch --------------------------------------------------------------------
-WEEK0 = F.lit("1970-01-02").cast("date")  # a Friday
+def week_zero() -> Column:
+    """A Friday: label of week 0."""
+    return F.lit("1970-01-02").cast("date")
 
 
 def week_index(date: Column) -> Column:
     """Index of the Friday that closes the date's week."""
-    return F.ceil(F.datediff(date, WEEK0) / 7.0).cast("int")
+    return F.ceil(F.datediff(date, week_zero()) / 7.0).cast("int")
 
 
 def week_seen(date: Column) -> Column:
     """Index of the latest Friday on or before the date."""
-    return F.floor(F.datediff(date, WEEK0) / 7.0).cast("int")
+    return F.floor(F.datediff(date, week_zero()) / 7.0).cast("int")
 
 
 def month_index(date: Column) -> Column:
@@ -121,7 +123,7 @@ def monthly_features(panel: DataFrame) -> DataFrame:
 
 
 def week_label(p: Column) -> Column:
-    return F.date_add(WEEK0, p * 7)
+    return F.date_add(week_zero(), p * 7)
 
 
 def month_label(p: Column) -> Column:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelwave.operators.sizing import ship_package
+
 
 class Ema:
     """Exponential average seeded with the first value; across a gap the old weight keeps decaying."""
@@ -209,6 +211,7 @@ def recursive_indicators(panel: DataFrame, hurst_rows: int = 252) -> DataFrame:
             added["hurst_exponent_252d"] = exponents
             yield pd.concat([pdf, added], axis=1)
 
+    ship_package(panel.sparkSession)
     return panel.repartition("entity").sortWithinPartitions("entity", "t").mapInPandas(run, schema)
 
 
@@ -234,4 +237,5 @@ def period_indicators(bars: DataFrame, order: str = "label") -> DataFrame:
             added = pd.DataFrame(out, columns=list(names), index=pdf.index, dtype="float64")
             yield pd.concat([pdf, added], axis=1)
 
+    ship_package(bars.sparkSession)
     return bars.repartition("entity").sortWithinPartitions("entity", order).mapInPandas(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,3 +31,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when a bounded count proves the side small; otherwise leave the join to the optimizer."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the stages that run Python there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_panelwave_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        base = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "panelwave"
+        sc.addPyFile(shutil.make_archive(str(base), "zip", root, "panelwave"))
+        sc._panelwave_shipped = True
