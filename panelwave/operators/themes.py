@@ -109,15 +109,18 @@ def relative_strength(agg: DataFrame, bench: DataFrame) -> DataFrame:
 
     x = x.withColumn("theme_rs_line_value", index("basket_ret") / index("bench_ret"))
     v = col("theme_rs_line_value")
+    # R2 does not depend on scale; rebasing to the group's geometric mean keeps the squares in range
+    log_mean = F.avg(F.ln(v)).over(Window.partitionBy("basket"))
+    x = x.withColumn("_level", F.exp(F.ln(v) - log_mean))
     h60, h252 = w.max(v, 60), w.max(v, 252)
     return x.withColumns({
         "theme_rs_new_60d_high": F.when(h60.isNotNull(), flag(v >= h60)),
         "theme_rs_new_252d_high": F.when(h252.isNotNull(), flag(v >= h252)),
         "theme_rs_slope_20d": w.change(v, 20) * 100.0, "theme_rs_slope_60d": w.change(v, 60) * 100.0,
-        "theme_rs_r_squared_60d": w.r2(v, 60),
+        "theme_rs_r_squared_60d": w.r2(col("_level"), 60),
         "theme_rs_pct_252d": w.share_le(v, 252, 60) * 100.0,
         **{f"theme_rs_change_{k}d": col("avg_rs") - w.lag(col("avg_rs"), k) for k in (30, 60, 90)},
-    }).drop("_row", "bench_ret")
+    }).drop("_row", "_level", "bench_ret")
 
 
 Z_INPUTS = (

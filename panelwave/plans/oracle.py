@@ -175,7 +175,7 @@ def _lookup(mapping: dict[str, float], key: str, default: str) -> str:
 
 
 # ---- views --------------------------------------------------------------------------------------
-DAYS = "dk AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k FROM (SELECT DISTINCT date FROM lc))"
+DAYS = "dk AS MATERIALIZED (SELECT date, count(*) OVER (ORDER BY date DESC ROWS UNBOUNDED PRECEDING) - 1 AS k FROM (SELECT DISTINCT date FROM lc))"
 CHG = (
     DAYS + ", dc AS MATERIALIZED (SELECT entity, max(score) FILTER (k = 0) AS s0, max(score) FILTER (k = 1) AS s1, max(grade) FILTER (k = 0) AS g0, max(grade) FILTER (k = 1) AS g1, "
     "max(leadership_tier) FILTER (k = 0) AS t0 FROM lc JOIN dk USING (date) WHERE k <= 1 GROUP BY entity)"
@@ -241,8 +241,8 @@ LEGACY = [
     ("Theme Leader Pullback", .80, "is_basket_leader AND p_PULLBACK > .4"),
     ("Trend Continuation", .90, "sma_stack_score >= 85 AND adx_14 >= 25 AND x < 4.5 AND r >= 80 AND supertrend_direction = 1"),
     ("Trending Leadership", .85, "sma_stack_score >= 75 AND r >= 80 AND adx_14 >= 20"),
-    ("Pullback to 21EMA", .85, "sma_stack_score >= 80 AND abs(close - ema_21) / nullif(at, 0) < .7 AND r >= 75"),
-    ("Pullback to 50MA", .80, "sma_stack_score >= 75 AND abs(close - sma_50) / nullif(at, 0) < 1.2 AND r >= 70"),
+    ("Pullback to 21EMA", .85, "sma_stack_score >= 80 AND abs(close - ema_21) / nullif(atr, 0) < .7 AND r >= 75"),
+    ("Pullback to 50MA", .80, "sma_stack_score >= 75 AND abs(close - sma_50) / nullif(atr, 0) < 1.2 AND r >= 70"),
     ("Tight Consolidation Pre-Breakout", .90, "bb_squeeze_flag = 1 AND vcp_quality_score >= 70 AND r >= 85 AND volume_z_20_252 >= .5"),
     ("VCP Setup", .80, "vcp_quality_score >= 60 AND r >= 75 AND sma_stack_score >= 75"), ("BB Squeeze with RS", .75, "bb_squeeze_flag = 1 AND bb_width_pct_252d < 20 AND r >= 70"),
     ("Range Consolidation", .70, "bb_squeeze_flag = 1 OR bb_width_pct_252d < 15"), ("Failed Breakout", .85, "failed_breakout_flag_10d = 1 AND p < 0 AND r < 70"),
@@ -255,7 +255,7 @@ LEGACY = [
 def _legacy() -> str:
     case = lambda i: " ".join(f"WHEN {c} THEN " + (f"'{n}'" if i == 0 else repr(p)) for n, p, c in LEGACY)
     return _scored(f"SELECT {KEYS}, CASE {case(0)} ELSE 'Indeterminate Pattern' END AS legacy_setup, {rnd('CASE ' + case(1) + ' ELSE 0.55 END')} AS legacy_confidence "
-                   "FROM (SELECT * REPLACE (rs_rating_spy AS r), atr_x_50 AS x, pct_ma_50 AS p, (close - sma_50) / nullif(atr_x_50, 0) AS at FROM lc)")
+                   "FROM (SELECT * REPLACE (rs_rating_spy AS r), atr_x_50 AS x, pct_ma_50 AS p, (close - sma_50) / nullif(atr_x_50, 0) AS atr FROM lc)")
 
 
 def _z(fams: tuple[str, ...]) -> str:

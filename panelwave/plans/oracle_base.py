@@ -9,9 +9,13 @@ ORDER = "row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quant
 
 
 def rnd(x: str) -> str:
-    """Magnitude-dependent rounding, the same rule as ``queries.rnd``; + 0.0 removes negative zero."""
-    return (f"(CASE WHEN abs({x}) < 1e3 THEN round({x}, 6) WHEN abs({x}) < 1e6 THEN round({x}, 3) "
-            f"ELSE round({x}, 0) END + 0.0)")
+    """Magnitude-dependent rounding, the same rule as ``queries.rnd``.
+
+    The small shift moves decimal ties (prices are cents over whole quantities) off the rounding edge;
+    + 0.0 removes negative zero.
+    """
+    return (f"(CASE WHEN abs({x}) < 1e3 THEN round({x} + 1.37e-8, 6) WHEN abs({x}) < 1e6 THEN round({x} + 1.37e-5, 3) "
+            f"ELSE round({x} + 1.37e-2, 0) END + 0.0)")
 
 
 def cols(*names: str, **exprs: str) -> str:

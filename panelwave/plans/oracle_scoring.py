@@ -225,12 +225,13 @@ def themes(src: str = "lc") -> str:
         f"br AS (SELECT date, {div('adj_close', lag('adj_close', order='date'))} - 1.0 AS bench_ret, row_number() OVER (ORDER BY date) AS rn FROM bars WHERE entity = 'MKT'), "
         f"tb AS MATERIALIZED (SELECT *, exp(sum(ln(1.0 + coalesce(basket_ret, 0.0))) {run}) / exp(sum(ln(1.0 + coalesce(bench_ret, 0.0))) {run}) AS {line}, "
         "CASE WHEN allsum > 0 THEN top3 / allsum END AS basket_top_3_share, CASE WHEN allsum > 0 THEN topq / allsum END AS basket_top_quartile_share FROM ta LEFT JOIN br USING (date)), "
+        f"tb2 AS MATERIALIZED (SELECT *, exp(ln({line}) - avg(ln({line})) OVER (PARTITION BY basket)) AS lvl FROM tb), "
         f"tc AS MATERIALIZED (SELECT *, theme_pct_strong_ud >= 40 AND theme_pct_positive_ad >= 50 AS theme_volume_confirmation, std_score / nullif(avg_score, 0) AS basket_score_cv, "
         "CASE WHEN basket_top_3_share IS NULL THEN NULL WHEN basket_top_3_share <= 0.35 THEN 'BROAD' WHEN basket_top_3_share <= 0.50 THEN 'MODERATE' ELSE 'CONCENTRATED' END AS leadership_concentration, "
         f"CASE WHEN {h60} IS NOT NULL THEN {flag(f'{line} >= {h60}')} END AS theme_rs_new_60d_high, CASE WHEN {h252} IS NOT NULL THEN {flag(f'{line} >= {h252}')} END AS theme_rs_new_252d_high, "
-        f"{x.format(lag(line, 20, **kw))} AS theme_rs_slope_20d, {x.format(lag(line, 60, **kw))} AS theme_rs_slope_60d, {r2(line, 60, x='rn', **kw)} AS theme_rs_r_squared_60d, "
+        f"{x.format(lag(line, 20, **kw))} AS theme_rs_slope_20d, {x.format(lag(line, 60, **kw))} AS theme_rs_slope_60d, {r2('lvl', 60, x='rn', **kw)} AS theme_rs_r_squared_60d, "
         f"CASE WHEN count({line}) {w252} >= 60 THEN len(list_filter(list({line}) {w252}, lambda q: q <= {line})) / count({line}) {w252} * 100.0 END AS theme_rs_pct_252d, "
-        + ", ".join(f"avg_rs - {lag('avg_rs', k, **kw)} AS theme_rs_change_{k}d" for k in (30, 60, 90)) + " FROM tb), "
+        + ", ".join(f"avg_rs - {lag('avg_rs', k, **kw)} AS theme_rs_change_{k}d" for k in (30, 60, 90)) + " FROM tb2), "
         f"td AS MATERIALIZED (SELECT *, {zs} FROM tc), "
         "te AS (SELECT *, .30 * z_pct_above_50dma + .20 * z_pct_above_200dma + .15 * z_pct_at_252d_high + .20 * z_pct_rs_rating_above_85 + .15 * z_pct_grade_a_plus AS theme_breadth_score, "
         ".40 * z_theme_rs_new_252d_high + .30 * z_theme_rs_slope_60d + .15 * z_theme_rs_r_squared_60d + .15 * z_theme_rs_pct_252d AS theme_rs_composite, "

@@ -77,9 +77,14 @@ def theme_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- output helpers -----------------------------------------------------------------------------
 def rnd(x: Column) -> Column:
-    """Magnitude-dependent rounding for value comparison; + 0.0 removes negative zero."""
+    """Magnitude-dependent rounding for value comparison.
+
+    The small shift moves decimal ties (prices are cents over whole quantities) off the rounding edge;
+    + 0.0 removes negative zero.
+    """
     a = F.abs(x)
-    return F.when(a < 1e3, F.round(x, 6)).when(a < 1e6, F.round(x, 3)).otherwise(F.round(x, 0)) + 0.0
+    return (F.when(a < 1e3, F.round(x + 1.37e-8, 6)).when(a < 1e6, F.round(x + 1.37e-5, 3))
+            .otherwise(F.round(x + 1.37e-2, 0)) + 0.0)
 
 
 def day(c: str = "date") -> Column:

@@ -11,7 +11,7 @@ def stream_bars(events: DataFrame, entity: Column, ts: str, price: Column, size:
     """Tumbling OHLCV bars; rows later than the watermark are dropped. Works on a batch frame too."""
     e = events.withColumns({"entity": entity, "_p": price, "_v": size.cast("double"), "_o": order})
     if events.isStreaming:
-        e = e.withWatermark(ts, lateness)
+        e = e.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     g = e.groupBy("entity", F.window(ts, freq)).agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
         F.max_by("_p", "_o").alias("close"), F.sum("_v").alias("volume"))
