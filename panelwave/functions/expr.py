@@ -107,7 +107,7 @@ def normal_cdf_sql(z: str, double_suffix: str = "D") -> str:
         f"(CASE WHEN {y} <= 0.46875D THEN 0.5D - 0.5D * {small} "
         f"WHEN {y} <= 4D THEN 0.5D * {mid} ELSE 0.5D * {far} END)"
     )
-    text = f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 0D THEN 1D - {half_tail} ELSE {half_tail} END)"
+    text = f"(CASE WHEN {z} IS NOT NULL THEN 0.5D + sign({z}) * (0.5D - {half_tail}) END)"
     return text if double_suffix == "D" else re_suffix(text)
 
 

@@ -22,6 +22,7 @@ from panelwave import config
 from panelwave.functions.expr import clip, div, flag
 from panelwave.functions.rolling import TimeAxis, ols_last_residual_z, ols_r2, ols_tstat
 from panelwave.operators import xsection as xs
+from panelwave.operators.sizing import spread
 from panelwave.operators.recursive import period_indicators, recursive_indicators
 
 YEAR = math.sqrt(252.0)
@@ -143,7 +144,7 @@ def attach_as_of(panel: DataFrame, events: Mapping[str, DataFrame]) -> DataFrame
         record = F.struct(*[c for c in ev.columns if c not in ("entity", "date")]).alias(name)
         rows = rows.unionByName(ev.select("entity", "date", F.lit(0).alias("_k"), record), allowMissingColumns=True)
     w = Window.partitionBy("entity").orderBy("date", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in events}).where(col("_k") == 1)
+    seen = spread(rows, "entity").withColumns({n: F.last(n, ignorenulls=True).over(w) for n in events}).where(col("_k") == 1)
     flat = [col(f"{n}.{c}").alias(c) for n, ev in events.items() for c in ev.columns if c not in ("entity", "date")]
     return seen.select(*panel.columns, *flat)
 
@@ -429,12 +430,13 @@ def cross_features(df: DataFrame, bound: xs.Bound = xs.Bound(), rated: Sequence[
     """X1 + E2: percentile ratings, peer-group z / rank, and shifts of the relative-strength rating."""
     w = TimeAxis("entity", "date", "t")
     wanted = {k: v for k, v in RATED.items() if rated is None or k in rated}
+    df = spread(df, "date")
     df = xs.percentile_rating(df, ["date"], {"rs_rating_spy": "rs_composite"}, bound, rounded=False)
     df = xs.percentile_rating(df, ["date"], wanted, bound)
     df = xs.group_z(df, ["date", "grp"], {f"within_basket_z_{n}d": f"ret_{n}" for n in (21, 63, 126)}, "grp_size", bound=xs.Bound(bound.rows))
     df = xs.group_rank(df, ["date", "grp"], "ret_63", "grp_size", "within_basket_rank", "within_basket_rank_pct",
                        bound=bound)
-    return df.withColumns({
+    return spread(df, "entity").withColumns({
         f"rs_rating_slope_{n}d": col("rs_rating_spy") - w.lag(col("rs_rating_spy"), n) for n in (60, 120)
     })
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelwave.operators.sizing import ship_package
+from panelwave.operators.sizing import ship_package, spread
 
 
 class Ema:
@@ -212,7 +212,7 @@ def recursive_indicators(panel: DataFrame, hurst_rows: int = 252) -> DataFrame:
             yield pd.concat([pdf, added], axis=1)
 
     ship_package(panel.sparkSession)
-    return panel.repartition("entity").sortWithinPartitions("entity", "t").mapInPandas(run, schema)
+    return spread(panel, "entity").sortWithinPartitions("entity", "t").mapInPandas(run, schema)
 
 
 def period_indicators(bars: DataFrame, order: str = "label") -> DataFrame:
@@ -238,4 +238,4 @@ def period_indicators(bars: DataFrame, order: str = "label") -> DataFrame:
             yield pd.concat([pdf, added], axis=1)
 
     ship_package(bars.sparkSession)
-    return bars.repartition("entity").sortWithinPartitions("entity", order).mapInPandas(run, schema)
+    return spread(bars, "entity").sortWithinPartitions("entity", order).mapInPandas(run, schema)

@@ -33,6 +33,23 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def plain_columns(spark: SparkSession) -> None:
+    """Switch off call-site capture per Column operation, which dominates the building of wide plans.
+
+    Only a runtime setting, read by PySpark at its first Column operation; results do not depend on it.
+    """
+    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the session's configured number of shuffle partitions.
+
+    Window and recursion stages are bound by CPU, not bytes: an explicit count keeps the adaptive planner
+    from merging partitions that are small on disk. Later operators on the same keys reuse the placement.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for the stages that run Python there."""
     sc = spark.sparkContext

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwave.operators import bars as B
+from panelwave.operators.sizing import materialize, plain_columns, small_side
 from panelwave.operators.xsection import Bound
-from panelwave.operators.sizing import materialize, small_side
 
 BENCHMARKS = ("MKT", "MKT_R")
 
@@ -103,7 +103,9 @@ class PanelSource:
     """One panel over the given tables: bars, calendar, membership and the dense grid, each built once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, panel: str):
+        plain_columns(spark)
         self.spark, self.sf_dir, self.panel = spark, sf_dir, panel
+        self._dense: DataFrame | None = None
         fine = materialize(fine_bars(spark, sf_dir, panel))
         self.members = membership(spark, sf_dir, panel)
         self.bars = materialize(with_groups(entity_bars(fine), self.members))
@@ -113,4 +115,7 @@ class PanelSource:
         self.bound = Bound(self.members.where("is_primary").count() + len(BENCHMARKS), self.calendar.count())
 
     def dense(self) -> DataFrame:
-        return B.densify(self.bars, self.calendar)
+        """Dense grid, written once: the daily, weekly, monthly and peak branches all read it."""
+        if self._dense is None:
+            self._dense = materialize(B.densify(self.bars, self.calendar))
+        return self._dense
