@@ -14,29 +14,26 @@ BAR_FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
 
 def trade_bars(trades: DataFrame, keys: Sequence[str], price: Column, size: Column, order: Column) -> DataFrame:
     """OHLCV per key. ``order`` is a total order inside a key; partial aggregation runs map-side."""
-    t = trades.select(*keys, price.alias("_p"), size.cast("double").alias("_v"), order.alias("_o"))
-    return t.groupBy(*keys).agg(
-        F.min_by("_p", "_o").alias("open"),
-        F.max("_p").alias("high"),
-        F.min("_p").alias("low"),
-        F.max_by("_p", "_o").alias("close"),
-        F.sum("_v").alias("volume"),
-        F.min("_o").alias("first_at"),
-        F.max("_o").alias("last_at"),
-    )
+    t = trades.select(*keys, F.struct(order.alias("at"), price.alias("px")).alias("_t"), size.cast("double").alias("_v"))
+    agg = t.groupBy(*keys).agg(
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_t.px").alias("high"), F.min("_t.px").alias("low"),
+        F.sum("_v").alias("volume"))
+    return _open_close(agg, keys)
+
+
+def _open_close(agg: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return agg.select(
+        *keys, F.col("_first.px").alias("open"), "high", "low", F.col("_last.px").alias("close"), "volume",
+        F.col("_first.at").alias("first_at"), F.col("_last.at").alias("last_at"))
 
 
 def merge_bars(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Coarser bars from finer ones (bars are mergeable, so raw trades are scanned once)."""
-    return bars.groupBy(*keys).agg(
-        F.min_by("open", "first_at").alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", "last_at").alias("close"),
-        F.sum("volume").alias("volume"),
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
-    )
+    agg = bars.groupBy(*keys).agg(
+        F.min(F.struct(F.col("first_at").alias("at"), F.col("open").alias("px"))).alias("_first"),
+        F.max(F.struct(F.col("last_at").alias("at"), F.col("close").alias("px"))).alias("_last"),
+        F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+    return _open_close(agg, keys)
 
 
 def finish_bars(bars: DataFrame, keys: Sequence[str] = ("entity", "date")) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder once and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df once as a parquet table in the checkpoint folder and continue from the written copy.
+
+    Cuts the lineage on shared storage like ``checkpoint()``, but later readers keep column pruning, filter
+    pushdown and file sizes for the join choice.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,14 +41,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def plain_columns(spark: SparkSession) -> None:
-    """Switch off call-site capture per Column operation, which dominates the building of wide plans.
-
-    Only a runtime setting, read by PySpark at its first Column operation; results do not depend on it.
-    """
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by keys into the session's configured number of shuffle partitions.
 
