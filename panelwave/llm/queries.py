@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwave.llm.decontaminate import OP4_SQL, op4_decontaminate
+from panelwave.llm.lm import op3_deleted_interpolation
+from panelwave.llm.pieces import op5_sentencepiece
+from panelwave.llm.toxicity import op9_toxicity
+from panelwave.llm.warc import OP10_SQL, op10_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_deleted_interpolation": op3_deleted_interpolation,
         "op4_decontaminate": op4_decontaminate,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op9_toxicity": op9_toxicity,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": OP4_SQL,
+        "op10_warc": OP10_SQL,
     }
