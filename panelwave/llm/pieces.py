@@ -59,13 +59,15 @@ class Model:
     number: dict[str, int] = field(init=False)
     byte_ids: dict[int, int] = field(init=False)
     unknown: int = field(init=False)
-    longest: int = field(init=False)
+    endings: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
         self.number = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
-        self.longest = max(map(len, self.number), default=1)
+        # every ending of a piece, with the piece's number if it is one itself: a search for pieces that end somewhere
+        # goes back no further than some piece does
+        self.endings = {p[k:]: -1 for p in self.number for k in range(len(p))} | self.number
         if any(MARK in p.lstrip(MARK) for p in self.number):
             raise ValueError("a piece goes over a word boundary; this encoder works word by word")
 
@@ -108,8 +110,8 @@ class Encoder:
     def __init__(self, model: Model):
         self.model = model
         self.table: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.begin: list[int] = [0]
+        self.flat = np.zeros(0, np.int32)
+        self.begin = np.zeros(1, np.int64)
         self.beside: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         known = "".join(re.escape(c) for c in model.number if len(c) == 1 and c != MARK)
@@ -145,34 +147,48 @@ class Encoder:
         return found
 
     def advance_bpe(self, word: str, end: int, states: list) -> tuple[int, int, float]:
-        number = self.model.number
-        for start in range(max(0, end - self.model.longest), end):
-            piece = number.get(word[start:end])
-            if piece is not None and states[start] is not None:
-                if self.stands(piece) if start == 0 else self.follows(states[start][1], piece):
-                    return start, piece, 0.0
+        find, beside, kinds = self.model.endings.get, self.beside, len(self.model.pieces)
+        for start in range(end - 1, -1, -1):
+            piece = find(word[start:end])
+            if piece is None:
+                break
+            if piece < 0:
+                continue
+            if start == 0:
+                if self.stands(piece):
+                    return 0, piece, 0.0
+                break
+            last = states[start][1]
+            good = beside.get(last * kinds + piece)
+            if good or good is None and self.follows(last, piece):
+                return start, piece, 0.0
         return end - 1, self.model.unknown, 0.0  # a mark that is no piece
 
     def advance_unigram(self, word: str, end: int, states: list) -> tuple[int, int, float]:
-        number, scores = self.model.number, self.model.scores
+        find, scores = self.model.endings.get, self.model.scores
         best = None
-        for start in range(max(0, end - self.model.longest), end):
-            piece = number.get(word[start:end])
-            if piece is not None:
+        for start in range(end - 1, -1, -1):
+            piece = find(word[start:end])
+            if piece is None:
+                break
+            if piece >= 0:
                 total = states[start][2] + scores[piece]
-                if best is None or total > best[2]:
+                if best is None or total >= best[2]:
                     best = start, piece, total
         return best or (end - 1, self.model.unknown, states[end - 1][2] + min(scores) - 10)
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not in the table yet."""
         if len(self.table) > KEPT_WORDS:
-            self.table, self.flat, self.begin = {}, [], [0]
+            self.table, self.flat, self.begin = {}, self.flat[:0], self.begin[:1]
             self.beside = self.beside if len(self.beside) < 8 * KEPT_WORDS else {}
         model = self.model
         advance = self.advance_bpe if model.algorithm == BPE else self.advance_unigram
         states: list = [(0, -1, 0.0)]
         last = ""
+        flat: list[int] = []
+        sizes: list[int] = []
+        at_word = len(self.table)
         for word in sorted(w for w in words if w not in self.table):
             if len(word) == 1 and word not in model.number and word != MARK:
                 ids = [model.byte_ids.get(b, model.unknown) for b in word.encode()] if model.byte_ids else [model.unknown]
@@ -190,18 +206,20 @@ class Encoder:
                     ids.append(piece)
                     at = start
                 ids.reverse()
-            self.table[word] = len(self.begin) - 1
-            self.flat.extend(ids)
-            self.begin.append(len(self.flat))
+            self.table[word] = at_word
+            at_word += 1
+            flat += ids
+            sizes.append(len(ids))
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(sizes, np.int64))])
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; a null or empty text has no pieces."""
         lead = MARK if self.model.dummy_prefix else ""
         words = [self.find(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(words)))
-        table = self.table
-        rows = np.fromiter((table[w] for w in chain.from_iterable(words)), np.int64)
-        begin, flat = np.array(self.begin, np.int64), np.array(self.flat, np.int32)
+        self.learn(set().union(*words))
+        rows = np.array(list(map(self.table.__getitem__, chain.from_iterable(words))), np.int64)
+        begin, flat = self.begin, self.flat
         size = begin[rows + 1] - begin[rows]
         stops = np.cumsum(size)
         at = np.repeat(begin[rows] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwave.llm.decontaminate import OP4_SQL, op4_decontaminate
 from panelwave.llm.lm import op3_deleted_interpolation
+from panelwave.llm.minhash import OP1_SQL, op1_minhash
+from panelwave.llm.orderhash import op6_order_minhash
 from panelwave.llm.pieces import op5_sentencepiece
+from panelwave.llm.quality import op7_weak_quality
+from panelwave.llm.quoting import op8_quotation
+from panelwave.llm.suffixdedup import OP2_SQL, op2_suffix_dedup
 from panelwave.llm.toxicity import op9_toxicity
 from panelwave.llm.warc import OP10_SQL, op10_warc
 
@@ -17,9 +22,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": op1_minhash,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_deleted_interpolation": op3_deleted_interpolation,
         "op4_decontaminate": op4_decontaminate,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_order_minhash": op6_order_minhash,
+        "op7_weak_quality": op7_weak_quality,
+        "op8_quotation": op8_quotation,
         "op9_toxicity": op9_toxicity,
         "op10_warc": op10_warc,
     }
@@ -27,6 +37,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": OP1_SQL,
+        "op2_suffix_dedup": OP2_SQL,
         "op4_decontaminate": OP4_SQL,
         "op10_warc": OP10_SQL,
     }

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwave.llm.hashed import bags, document_counts, joined, noisy_or, only, sentence_scores, telling, train_instances
+from panelwave.llm.hashed import Bags, bags, document_counts, joined, noisy_or, only, sentence_scores, telling, train_instances
 from panelwave.llm.textvec import Texts, annotate, slices
 
 #: most labelled texts that the model is fitted to, and the most bytes of them that reach the driver at once
 MAX_TRAIN = 12_000
-MAX_TRAIN_BYTES = 96 << 20
+MAX_TRAIN_BYTES = 64 << 20
+FIT_SLICE_BYTES = 1 << 20
 
 SPAN = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -49,16 +51,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(chosen, "i")
     mean = rows.agg(F.avg(F.octet_length("t"))).head()[0] or 1.0
     keep = max(1, min(max_train, int(max_bytes / max(mean, 1.0))))
-    got = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(keep).select("t", "y").toArrow().to_pandas()
-    got = got.drop_duplicates("t")
-    if not len(got):
+    got = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(keep).select("t", "y").toArrow().combine_chunks()
+    seen: set[str] = set()
+    fresh = [x not in seen and not seen.add(x) for x in pc.fill_null(got["t"], "").to_pylist()] if got.num_rows else []
+    if not fresh:
         return SentenceModel(np.zeros(1 << 18), -8.0)
-    sample = pa.RecordBatch.from_pydict({"t": pa.array(got["t"], pa.string()), "y": pa.array(got["y"], pa.float64())})
-    pieces = [(Texts(p.column(0)), p.column(1).to_numpy()) for p in slices(sample, "t")]
-    every, marked = (sum(x) for x in zip(*(document_counts(bags(t), y) for t, y in pieces)))
-    labels = np.concatenate([y for _, y in pieces])
+    sample = got.filter(pa.array(fresh)).combine_chunks().to_batches()[0]
+    del got, seen
+
+    def pieces() -> Iterator[tuple[Bags, np.ndarray]]:  # small slices twice rather than all features at once
+        for p in slices(sample, "t", FIT_SLICE_BYTES):
+            yield bags(Texts(p.column(0))), p.column(1).to_numpy().astype(float)
+
+    every, marked = np.zeros(1 << 18), np.zeros(1 << 18)
+    for part, y in pieces():
+        more = document_counts(part, y)
+        every, marked = every + more[0], marked + more[1]
+    labels = sample.column(1).to_numpy().astype(float)
     keep = telling(every, marked, labels.mean())
-    weights, bias = train_instances(joined([only(bags(t), keep) for t, _ in pieces]), labels)
+    weights, bias = train_instances(joined([only(part, keep) for part, _ in pieces()]), labels)
     return SentenceModel(weights, bias)
 
 

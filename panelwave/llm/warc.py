@@ -32,11 +32,11 @@ RECORD = T.StructType([
 ])
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: five hex digits at a time make four base32 digits."""
+def base32(sha1: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: five hex digits at a time make four base32 digits."""
     digits = []
     for i in range(8):
-        value = F.conv(F.substring(F.sha1(payload), 5 * i + 1, 5), 16, 10).cast("int")
+        value = F.conv(F.substring(sha1, 5 * i + 1, 5), 16, 10).cast("int")
         digits += [F.substring(F.lit(ALPHABET), F.shiftright(value, s).bitwiseAND(31) + 1, 1) for s in (15, 10, 5, 0)]
     return F.concat(*digits)
 
@@ -66,9 +66,9 @@ def roles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\r\n]+", " ").alias("url"),
         F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumns({"digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = rows.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"))
-    out = rows.join(first, ["digest", "payload_bytes"])
+    ).withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    out = rows.join(first, "sha1").withColumn("digest", base32(F.col("sha1")))
     return out.withColumn("first", F.when(F.col("payload_bytes") >= min_bytes, F.col("first")).otherwise(F.col("page_id")))
 
 
@@ -214,17 +214,21 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A record without a concurrent-to id is its capture's anchor, the others name that anchor, so all records of a
     capture share one key and meet in one shuffle. A capture that lacks a record has null there; of records of one kind
-    in a capture one is taken. page_id comes from the metadata record.
+    in a capture that with the smallest id is taken. page_id comes from the metadata record. Payloads nobody asks for
+    are not shuffled: they are columns of their own until the last projection.
     """
-    part = F.struct("record_id", "refers_to", "uri", "date", "payload_digest", "http", "payload", "payload_bytes", "sound")
+    head = F.struct("type", "record_id", "refers_to", "uri", "date", "payload_digest", "http", "payload_bytes", "sound")
     kind = F.when(F.col("type") == "revisit", "response").otherwise(F.col("type"))
-    keyed = records.select(F.coalesce("concurrent_to", "record_id").alias("capture"), kind.alias("kind"), "type", part.alias("r"))
+    keyed = records.select(F.coalesce("concurrent_to", "record_id").alias("capture"), kind.alias("kind"), head.alias("head"),
+                           "record_id", "payload")
+    kinds = ("request", "response", "metadata")
+    own = lambda k: F.when(F.col("kind") == k, F.col("record_id"))
     wide = keyed.groupBy("capture").agg(
-        *[F.first(F.when(F.col("kind") == k, F.col("r")), ignorenulls=True).alias(k) for k in ("request", "response", "metadata")],
-        F.first(F.when(F.col("kind") == "response", F.col("type")), ignorenulls=True).alias("record_type"),
-    )
-    page = F.regexp_extract(F.col("metadata.payload").cast("string"), "^page_id: (-?[0-9]+)", 1)
-    return wide.withColumn("page_id", F.when(page != "", page.cast("long")))
+        *[F.min_by("head", own(k)).alias(k) for k in kinds], *[F.min_by("payload", own(k)).alias(f"{k}_payload") for k in kinds])
+    page = F.regexp_extract(F.col("metadata_payload").cast("string"), "^page_id: (-?[0-9]+)", 1)
+    nested = [F.when(F.col(k).isNotNull(), F.col(k).withField("payload", F.col(f"{k}_payload"))).alias(k) for k in kinds]
+    return wide.select("capture", F.when(page != "", page.cast("long")).alias("page_id"),
+                       F.col("response.type").alias("record_type"), *nested)
 
 
 def resolve(captures: DataFrame) -> DataFrame:
