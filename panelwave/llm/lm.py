@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from panelwave.llm.textvec import NOT_SPACE, Texts, counts_by, mix, slices
 from panelwave.operators.sizing import materialize, ship_package
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: text for each range of keys; decides the number of ranges, so a range's size stays the same as the corpus grows
 RANGE_BYTES = 16 << 20
 END = np.uint64(0xE7D5A3C19B8F6421)
@@ -221,17 +221,18 @@ def _counts(row_answers: list[dict], kind: str) -> np.ndarray:
     return np.concatenate(parts, axis=1).astype(np.int64)
 
 
-def _token_counts(left: pa.Table, right: pa.Table) -> tuple[pa.RecordBatch, Tokens, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, tokens and (all, deleted) counts of each token's word, context and pair."""
+def _token_counts(left: pa.Table, right: pa.Table, kept: bool) -> tuple[pa.RecordBatch, Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, tokens and counts of each token's word, context and pair: without the deleted part if kept, else all."""
     rows = _unpack_rows(left.column("rows")[0].as_py())
     t = tokens(rows, "text")
     answers = right.select(["range", "words", "pairs"]).to_pylist()
+    pick = lambda c: c[0] - c[1] if kept else c[0]
     w, where = np.unique(t.word, return_inverse=True)
-    word = _counts(answers, "words")[:, where]
+    count = pick(_counts(answers, "words"))
     before = np.concatenate([[np.searchsorted(w, END)], where[:-1]])
-    context = _counts(answers, "words")[:, before]
-    pair = _counts(answers, "pairs")[:, np.unique(t.pair, return_inverse=True)[1]]
-    return rows, t, word, context, pair
+    word, context = count[where], count[before]
+    del w, where, before
+    return rows, t, word, context, pick(_counts(answers, "pairs"))[np.unique(t.pair, return_inverse=True)[1]]
 
 
 def _histogram(n_kept: int, v: int):
@@ -239,8 +240,7 @@ def _histogram(n_kept: int, v: int):
         names = ("cell", "tokens", "unigram", "bigram")
         if not left.num_rows:
             return pa.table({k: pa.array([], pa.int64() if k == "cell" else pa.float64()) for k in names})
-        _, _, word, context, pair = _token_counts(left, right)
-        word, context, pair = word[0] - word[1], context[0] - context[1], pair[0] - pair[1]
+        _, _, word, context, pair = _token_counts(left, right, kept=True)
         p1 = word / max(n_kept, 1)
         p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
         bin_ = lambda p: np.where(p > 0, np.minimum(1 - 4 * np.log2(np.maximum(p, 1e-300)), BINS - 1), 0).astype(np.int64)
@@ -255,8 +255,7 @@ def _histogram(n_kept: int, v: int):
 
 def _scored(m: Mixture, names: Sequence[str], carry: Sequence[str]):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, t, word, context, pair = _token_counts(left, right)
-        word, context, pair = word[0], context[0], pair[0]
+        rows, t, word, context, pair = _token_counts(left, right, kept=False)
         w = m.weights[context_class(context)]
         p = w[:, 0] / (m.v + 1) + w[:, 1] * word / max(m.n, 1) + w[:, 2] * np.where(
             context > 0, pair / np.maximum(context, 1), 0.0)
