@@ -84,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     owner = F.coalesce(F.col("first").cast("string"), F.lit("null"))
     revisit = ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumns({
-        "revisit": revisit, "request_id": _urn("request", page, F.monotonically_increasing_id().cast("string"), "digest"),
+        "revisit": revisit, "request_id": _urn("request", page, F.monotonically_increasing_id().cast("string")),
         "response_id": F.when(revisit, _urn("revisit", page, F.monotonically_increasing_id().cast("string")))
         .otherwise(_urn("response", page, F.col("digest"))),
         "refers": F.when(revisit, _urn("response", owner, F.col("digest"))),
@@ -111,33 +111,30 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
 
 
 class _Feed:
-    """Bytes of an archive file, inflated as they are asked for."""
+    """Bytes of an archive file, inflated as they are asked for; a gzipped file may have any number of members."""
 
     def __init__(self, content: bytes):
-        self.raw, self.zipped = memoryview(content), content[:2] == b"\x1f\x8b"
-        self.at, self.held = 0, bytearray()
-        self.inflate = zlib.decompressobj(31) if self.zipped else None
+        self.raw, self.at, self.held, self.input = memoryview(content), 0, bytearray(), b""
+        self.inflate = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
 
     def more(self, want: int = 1 << 20) -> bool:
-        if not self.zipped:
-            piece = bytes(self.raw[self.at : self.at + want])
-            self.at += len(piece)
-            self.held += piece
-            return bool(piece)
+        """Add up to want bytes to held; False at the end."""
         while True:
-            piece = self.inflate.decompress(bytes(self.raw[self.at : self.at + (1 << 16)]) if not self.inflate.unconsumed_tail
-                                            else self.inflate.unconsumed_tail, want)
-            if not self.inflate.unconsumed_tail:
-                self.at += 1 << 16
-            if self.inflate.eof:  # the next member, if there is one
-                left = self.inflate.unused_data
-                self.at -= len(left) if self.at <= len(self.raw) else len(left) + self.at - len(self.raw)
-                self.inflate = zlib.decompressobj(31)
+            if not self.input:
+                self.input = bytes(self.raw[self.at : self.at + (1 << 16)])
+                self.at += len(self.input)
+            ended = not self.input
+            if self.inflate is None:
+                piece, self.input = self.input, b""
+            else:
+                piece = self.inflate.decompress(self.input, want)
+                if self.inflate.eof:
+                    self.input, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+                else:
+                    self.input = self.inflate.unconsumed_tail
             self.held += piece
-            if piece:
-                return True
-            if self.at >= len(self.raw) and not self.inflate.unconsumed_tail:
-                return False
+            if piece or ended:
+                return bool(piece)
 
 
 def _headers(block: bytes) -> dict[str, str]:
