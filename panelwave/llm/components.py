@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from panelwave.operators.sizing import materialize
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, label) of a forest given as (node, parent): label is the root above the node. One row for each node.
+
+    Every round doubles how far a node sees, with one join whose sides are dealt by the same key.
+    """
+    seen = parents.select("node", F.col("parent").alias("label"))
+    while True:
+        up = seen.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = materialize(seen.join(up, "label", "left").select(
+            "node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")))
+        seen = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return seen
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node it reaches. Nodes are long.
 

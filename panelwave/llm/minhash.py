@@ -19,18 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwave.llm.components import components
+from panelwave.llm.components import components, roots
 from panelwave.llm.textvec import NOT_SPACE, Texts, annotate, counts_by, mix, powers
 from panelwave.operators.sizing import materialize
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS  # a multiple of 64
-PLANES = 2  # low bits kept of each minimum
+HASHES = 256  # the first BANDS * ROWS make the bands, all of them the estimate; a multiple of 64
+PLANES = 4  # low bits kept of each minimum
 THRESHOLD = (75, 100)
-#: pairs whose estimate is lower are not confirmed; over five standard deviations under the threshold
-ESTIMATE = 0.5
-BLOCK = 2048
+#: pairs whose estimate is lower are not confirmed; 4.6 standard deviations under the threshold
+ESTIMATE = 0.62
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -101,7 +101,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys; a key stands for the band's number and its minima."""
     keys = np.zeros((BANDS, values.shape[1]), np.uint64)
     for r in range(ROWS):
-        keys = mix(keys + values[r::ROWS].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(r + 1))
+        keys = mix(keys + values[r : BANDS * ROWS : ROWS].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(r + 1))
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F))
     return np.ascontiguousarray(keys.T).view(np.int64)
 
@@ -167,85 +167,127 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THR
     num, den = threshold
     wide = pairs.join(texts.select(F.col("seq").alias("b"), F.col("body").alias("body_b")), "b")
     wide = wide.join(texts.select(F.col("seq").alias("a"), F.col("body").alias("body_a")), "a")
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 piece = batch.slice(i, 256)
-                a, b = piece.column("a").to_numpy(), piece.column("b").to_numpy()
+                a, b = (piece.column(piece.schema.get_field_index(c)).to_numpy().tolist() for c in "ab")
                 found: dict[int, np.ndarray] = {}
-                for keys, column in ((a, piece.column("body_a")), (b, piece.column("body_b"))):
-                    fresh = [j for j, k in enumerate(keys.tolist()) if k not in found and found.setdefault(k, None) is None]
+                for keys, name in ((a, "body_a"), (b, "body_b")):
+                    column = piece.column(piece.schema.get_field_index(name))
+                    fresh = [j for j, k in enumerate(keys) if k not in found and found.setdefault(k, None) is None]
                     sets = shingle_sets(Texts(pa.array([open_(column[j].as_py()) for j in fresh], pa.binary())))
                     for where, j in enumerate(fresh):
-                        found[int(keys[j])] = sets.distinct(where)
+                        found[keys[j]] = sets.distinct(where)
                 good = []
-                for x, y in zip(a.tolist(), b.tolist()):
+                for x, y in zip(a, b):
                     s, t = found[x], found[y]
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     good.append(den * both >= num * (len(s) + len(t) - both))
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+                yield piece.select(names).filter(pa.array(good))
 
-    return wide.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    return wide.select(*names, "body_a", "body_b").mapInArrow(run, pairs.schema)
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels in one bucket whose estimate passes, from rows (bucket, seq, low, label, size).
+def _blocks(rows: DataFrame, size: str) -> DataFrame:
+    """Rows of a bucket dealt to pairs (i, j) of blocks of about BLOCK rows; own is the block of the row itself.
 
-    A bucket is cut into blocks of about BLOCK rows; every pair of blocks is one group. Work on a bucket that mixes
-    many unlinked classes grows with the square of its size, spread over tasks; its output does not.
+    Work on a bucket that mixes many unlinked classes grows with the square of its size, spread over tasks. What the
+    tasks put out does not: rows, or one link for a class and a component.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("seq"), blocks).cast("int")
-    cut = rows.withColumns({"n": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cut = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "seq", "label", "low")
-    cut = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    longs = HASHES // 64
-    least = HASHES * (ESTIMATE * (1 - 0.5**PLANES) + 0.5**PLANES)
-
-    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        seq, label, own = (table.column(c).to_numpy() for c in ("seq", "label", "own"))
-        low = np.array(table.column("low").combine_chunks().flatten()).reshape(-1, PLANES * longs)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for k in range(0, len(left), 256):
-            l_ = left[k : k + 256]
-            equal = np.full((len(l_), len(right)), HASHES, np.int32)
-            for x in range(longs):
-                differ = np.zeros(equal.shape, np.int64)
-                for p in range(PLANES):
-                    differ |= low[l_, p * longs + x][:, None] ^ low[right, p * longs + x][None, :]
-                equal -= np.bitwise_count(differ.view(np.uint64))
-            good = (equal >= least) & (label[l_][:, None] != label[right][None, :])
-            a, b = np.nonzero(good)
-            out.append((seq[l_[a]], seq[right[b]]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            a, b = compare(pa.Table.from_batches(parts))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1 if len(keys) else []
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-                if hi == lo:
-                    continue
-                key = tuple(keys[lo])
+    cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", size)
+    return cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (bucket, i, j) as one table for each of these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist() if len(keys) else []
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            if hi > lo:
+                key = tuple(keys[lo].tolist())
                 if held and key != last:
-                    yield finish(held)
+                    yield pa.Table.from_batches(held).combine_chunks()
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = key
-        if held:
-            yield finish(held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a block pair that have different labels, pass the estimate and share no earlier band."""
+    seq, label, own = (table.column(c).to_numpy() for c in ("seq", "label", "own"))
+    n, longs = len(seq), HASHES // 64
+    low = np.array(table.column("low").combine_chunks().flatten()).reshape(n, -1)
+    bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(n, -1)
+    band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    least = HASHES * (ESTIMATE * (1 - 0.5**PLANES) + 0.5**PLANES)
+    for k in range(0, len(left), 64):
+        rows = left[k : k + 64]
+        equal = np.full((len(rows), len(right)), HASHES, np.int32)
+        for x in range(longs):
+            differ = np.zeros(equal.shape, np.int64)
+            for p in range(PLANES):
+                differ |= low[rows, p * longs + x][:, None] ^ low[right, p * longs + x][None, :]
+            equal -= np.bitwise_count(differ.view(np.uint64))
+        a, b = np.nonzero((equal >= least) & (label[rows][:, None] != label[right][None, :]))
+        a, b = rows[a], right[b]
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        first = (bands[a] == bands[b]).argmax(axis=1) == band
+        yield a[first], b[first]
+
+
+def _engaged(rows: DataFrame) -> DataFrame:
+    """(bucket, seq) of the rows that have a likely partner of another component in the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_block(batches):
+            used = np.zeros(table.num_rows, bool)
+            for a, b in _likely(table):
+                used[a] = used[b] = True
+            if used.any():
+                yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(used)) for c in ("bucket", "seq")], ["bucket", "seq"])
+
+    return _blocks(rows, "size").mapInArrow(run, "bucket long, seq long").distinct()
 
-    return cut.mapInArrow(run, "a long, b long").distinct()
+
+def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Confirmed links (a, b, la, lb) inside buckets: one for each class and component at most, from rows with bodies."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for table in _by_block(batches):
+            seq, label = table.column("seq").to_numpy(), table.column("label").to_numpy()
+            sets = shingle_sets(Texts(pa.array([open_(x) for x in table.column("body").to_pylist()], pa.binary())))
+            own = [sets.distinct(k) for k in range(sets.n)]
+            linked: set[tuple[int, int]] = set()
+            out = []
+            for a, b in _likely(table):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if (x, label[y]) in linked and (y, label[x]) in linked:
+                        continue
+                    s, t = own[x], own[y]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if den * both >= num * (len(s) + len(t) - both):
+                        linked |= {(x, label[y]), (y, label[x])}
+                        out.append((seq[x], seq[y], label[x], label[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "la", "lb"])
+
+    return _blocks(rows, "size").mapInArrow(run, "a long, b long, la long, lb long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -264,50 +306,64 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("bands").alias("bands"))
     classes = materialize(classes)
     low = classes.select("seq", "low")
-    members = classes.select("seq", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("seq").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    buckets = materialize(members.join(leaders, "bucket"))
-    stars = buckets.filter("seq != leader").select(F.col("leader").alias("a"), F.col("seq").alias("b")).distinct()
+    members = classes.select("seq", F.posexplode("bands").alias("band", "bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = materialize(members.join(sizes, "bucket"))
+    # a bucket's leader is the class that meets most others in all its buckets: among copies of one text with edits
+    # that is the text itself, to which they are nearer than to one another
+    degree = buckets.groupBy("seq").agg(F.sum("size").alias("degree"))
+    placed = buckets.join(degree, "seq")
+    leaders = placed.groupBy("bucket").agg(F.max_by("seq", F.struct("degree", -F.col("seq"))).alias("leader"))
+    stars = buckets.join(leaders, "bucket").filter("seq != leader")
+    stars = stars.select(F.col("leader").alias("a"), F.col("seq").alias("b")).distinct()
     stars = stars.join(low.select(F.col("seq").alias("b"), F.col("low").alias("low_b")), "b").join(
         low.select(F.col("seq").alias("a"), F.col("low").alias("low_a")), "a")
     stars = materialize(stars.select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("likeness")).filter(
         F.col("likeness") >= ESTIMATE))
 
-    sources = bodies(docs.select(F.col(text).alias("text")))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("seq")).unionByName(pairs.select(F.col("b").alias("seq"))).distinct()
-        return materialize(sources.join(needed, "seq", "left_semi").groupBy("seq").agg(F.first("body").alias("body")))
-
-    texts = texts_of(stars)
-    # first each class with its likeliest leader, then the star pairs that are still apart
+    # texts of all classes that share a bucket with another
+    needed = degree.select("seq")
+    texts = materialize(bodies(docs.select(F.col(text).alias("text"))).join(needed, "seq", "left_semi").groupBy("seq").agg(
+        F.first("body").alias("body")))
+    # first each class with its likeliest leader: that makes a forest, as leaders have
+    # higher degrees or, among equals, smaller keys
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
-    links = materialize(confirm(best, texts, threshold))
-    labels = materialize(components(links))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-    rest = apart(stars).join(best, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, texts, threshold))
+    tree = materialize(confirm(best, texts, threshold))
+    labels = roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+
+    def labelled(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components, with the labels of these."""
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        both = both.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+        return both.filter("la != lb").select("a", "b", "la", "lb")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """Labels after linking components; more has label pairs."""
+        top = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(
+            F.col("node").alias("label"), F.col("label").alias("top"))
+        every = labels.unionByName(top.select(F.col("label").alias("node"), "label")).distinct()
+        return materialize(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+    # then the star pairs that are still apart
+    more = materialize(confirm(labelled(stars), texts, threshold))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = materialize(components(links))
-    # buckets that still mix components: all against all, in blocks, what the stars have not judged
+        labels = joined(more)
+    # buckets that still mix components: all against all in blocks, first by packed bits, then, where these leave
+    # likely pairs, by full sets
     own = buckets.join(labels.withColumnRenamed("node", "seq"), "seq", "left").withColumn("label", F.coalesce("label", "seq"))
     mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.filter("lo != hi and n > 2").select("bucket")
-    pairs = _block_pairs(own.join(mixed, "bucket", "left_semi").join(low, "seq"))
-    judged = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.join(judged, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = materialize(confirm(pairs, texts_of(pairs), threshold))
+    own = own.join(mixed, "bucket", "left_semi").join(classes.select("seq", "low", "bands"), "seq")
+    engaged = materialize(_engaged(own))
+    if not engaged.isEmpty():
+        size = engaged.groupBy("bucket").agg(F.count("*").alias("size"))
+        rows = own.drop("size").join(engaged, ["bucket", "seq"]).join(size, "bucket").join(texts, "seq")
+        more = materialize(_block_links(rows, threshold))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = materialize(components(links))
+            labels = joined(more)
 
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()  # roots name themselves
     reps = labels.join(classes.select(F.col("seq").alias("node"), "rep"), "node")
     smallest = reps.join(reps.groupBy("label").agg(F.min("rep").alias("component")), "label").select(
         F.col("node").alias("seq"), "component")
