@@ -259,7 +259,7 @@ def encode(docs: DataFrame, model_path: str, carry: Sequence[str] = ("doc_id",),
 
     The ids are those of the library's own encoder. The model (a vocabulary of fixed size) is broadcast; a worker keeps
     the words it has met, up to a bound, so repeated words cost one look-up. Null or empty text: no pieces,
-    round_trip true. A carried column named like a result column is dropped; no shuffle.
+    round_trip true. A text that holds the mark (U+2581) itself comes back with a space there, as from the library. A carried column named like a result column is dropped; no shuffle.
     """
     model = load(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
