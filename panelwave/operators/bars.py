@@ -87,6 +87,16 @@ def densify(bars: DataFrame, cal: DataFrame, fields: Sequence[str] = BAR_FIELDS)
     return dense.join(cal.drop("n_dates"), "t")
 
 
+def carry_bars(bars: DataFrame, cal: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Bars for every calendar day from an entity's first one on: where it did not trade, its last bar with volume 0."""
+    d = densify(bars, cal)
+    w = Window.partitionBy("entity").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prices = [c for c in BAR_FIELDS if c != "volume"]
+    full = d.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in prices})
+    return full.where(F.col("close").isNotNull()).select(
+        "entity", "date", *prices, F.coalesce("volume", F.lit(0.0)).alias("volume"), *keep)
+
+
 def wide_to_long(wide: DataFrame, index: str, entities: Sequence[str], fields: Sequence[str], sep: str = "_") -> DataFrame:
     """One column per entity and field -> one row per (entity, date); all-NULL rows are dropped."""
     structs = [

@@ -46,8 +46,26 @@ def rank_ic(scores: DataFrame, fwd: DataFrame, keys: Sequence[str] = ("score_nam
     All scores and horizons go through one job: the ranks are taken inside (date, horizon, keys).
     NULL for fewer than ``min_names`` pairs or a constant side.
     """
-    by = ["date", "horizon", *keys]
     pairs = scores.where(col("value").isNotNull()).join(fwd.where(col("fwd").isNotNull()), ["entity", "date"])
+    return _rank_ic(pairs, keys, min_names, bound)
+
+
+def rank_ic_wide(df: DataFrame, scores: Mapping[str, Sequence[str]], bars: DataFrame, horizons: Sequence[int],
+                 min_names: int = MIN_NAMES, bound: xs.Bound = xs.Bound()) -> DataFrame:
+    """rank_ic of every (score, horizon) by (score_type, score_name): wide rows are joined once and unpivoted after."""
+    fwd = forward_returns(bars, horizons, long=False)
+    wide = df.select("entity", "date", *[c for names in scores.values() for c in names]).join(fwd, ["entity", "date"])
+    items = [F.struct(F.lit(t).alias("score_type"), F.lit(c).alias("score_name"), col(c).cast("double").alias("value"))
+             for t, names in scores.items() for c in names]
+    ahead = [F.struct(F.lit(h).alias("horizon"), col(f"fwd_{h}").alias("fwd")) for h in horizons]
+    pairs = wide.select("entity", "date", F.explode(F.array(*items)).alias("s"), F.array(*ahead).alias("f"))
+    pairs = pairs.where(col("s.value").isNotNull()).select("entity", "date", "s.*", F.explode("f").alias("f"))
+    pairs = pairs.where(col("f.fwd").isNotNull()).select("entity", "date", "score_type", "score_name", "value", "f.*")
+    return _rank_ic(pairs, ("score_type", "score_name"), min_names, bound)
+
+
+def _rank_ic(pairs: DataFrame, keys: Sequence[str], min_names: int, bound: xs.Bound) -> DataFrame:
+    by = ["date", "horizon", *keys]
     ranked = xs.pct_rank(pairs, by, {"_a": "value", "_b": "fwd"}, bound)
     out = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"),

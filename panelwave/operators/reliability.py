@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwave import config
-from panelwave.functions.expr import div, lookup
+from panelwave.functions.expr import div, flag, lookup
 from panelwave.functions.rolling import TimeAxis
 
 col = F.col
@@ -369,3 +369,26 @@ def parity(actual: DataFrame, expected: DataFrame, tolerance: Mapping[str, float
         rows.append(F.struct(F.lit(c).alias("field"), col(c).cast("string").alias("actual"),
                              col(f"_e_{c}").cast("string").alias("expected"), col(c).eqNullSafe(col(f"_e_{c}")).alias("passed")))
     return j.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+
+
+def run_validation(scored: DataFrame, members: DataFrame, themes: DataFrame, states: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Checks of one run's latest date: name, observed, passed.
+
+    Scores inside 0..100 with a spread between their 1 % and 99 % quantiles, state probabilities that add up, members and
+    groups present, and a share of S and A grades under one half.
+    """
+    x = scored.join(F.broadcast(scored.agg(F.max("date").alias("date"))), "date", "left_semi")
+    total = sum((col(f"p_{s}") for s in states[1:]), col(f"p_{states[0]}"))
+    one = x.agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"), F.percentile("score", [0.01, 0.99]).alias("q"),
+        F.max(F.abs(total - 1.0)).alias("off"), F.count("score").alias("n"),
+        F.avg(F.when(col("score").isNotNull(), flag(col("grade").startswith("S") | col("grade").startswith("A")))).alias("top"))
+    have = F.broadcast(themes.agg(F.count_distinct("basket").alias("groups")))  # one row each
+    want = F.broadcast(members.agg(F.count_distinct("entity").alias("declared")))
+    one = one.join(have).join(want)
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("observed"), F.coalesce(ok, F.lit(False)).alias("passed")) for n, v, ok in (
+        ("score_min", col("lo"), col("lo") >= 0), ("score_max", col("hi"), col("hi") <= 100), ("score_p1", col("q")[0], col("q")[0] < col("q")[1]),
+        ("score_p99", col("q")[1], col("q")[0] < col("q")[1]), ("probability_gap", col("off"), col("off") <= tolerance),
+        ("scored", col("n"), col("n") > 0), ("declared", col("declared"), col("declared") >= col("n")), ("groups", col("groups"), col("groups") > 0),
+        ("top_grades", col("top"), col("top") < 0.5))])
+    return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,17 +11,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+#: most bytes of a side that is broadcast by a proven or counted size, and what a cell of it counts as
+BROADCAST_BYTES = 64 << 20
+CELL_BYTES = 32
 WINDOW_ROWS = 5_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; fall back to a scratch folder only where unset."""
+    """Use the folder named by spark.checkpoint.dir; a scratch folder only where it is unset and all runs in one JVM."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -36,8 +40,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Broadcast hint only when a bounded count proves the side small; otherwise leave the join to the optimizer."""
+    rows = BROADCAST_BYTES // (CELL_BYTES * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

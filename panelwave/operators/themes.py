@@ -20,10 +20,12 @@ MIN_MEMBERS = 3
 def active_membership(members: DataFrame, entities: DataFrame, need: int = MIN_MEMBERS) -> DataFrame:
     """Groups with enough declared members, restricted to entities in the panel, and still big enough."""
     pairs = members.select("basket", "entity")
-    w = Window.partitionBy("basket")
-    declared = pairs.withColumn("_n", F.count("*").over(w)).where(col("_n") >= need).select("basket", "entity").distinct()
-    active = declared.join(entities.select("entity").distinct(), "entity", "left_semi")
-    return active.withColumn("_n", F.count("*").over(w)).where(col("_n") >= need).select("basket", "entity")
+
+    def large(x: DataFrame) -> DataFrame:  # counts are combined before they are shuffled: a tag may hold most entities
+        return x.join(x.groupBy("basket").count().where(col("count") >= need).select("basket"), "basket", "left_semi")
+
+    declared = large(pairs).distinct()
+    return large(declared.join(entities.select("entity").distinct(), "entity", "left_semi")).select("basket", "entity")
 
 
 def own_row_inputs(bars: DataFrame) -> DataFrame:
@@ -195,3 +197,37 @@ def nested_universe(raw: DataFrame) -> DataFrame:
 def tags_for(members: DataFrame) -> DataFrame:
     """Ordered tag groups of every entity."""
     return members.where(~col("is_primary")).groupBy("entity").agg(F.sort_array(F.collect_set("basket")).alias("tags"))
+
+
+# ---- membership queries -------------------------------------------------------------------------
+def all_entities(members: DataFrame) -> DataFrame:
+    return members.select("entity").distinct()
+
+
+def baskets_by_type(members: DataFrame, kind: str) -> DataFrame:
+    return members.where(col("basket_type") == kind).select("basket").distinct()
+
+
+def constituents(members: DataFrame, basket: str) -> DataFrame:
+    return members.where(col("basket") == basket).select("entity").distinct()
+
+
+def tagged(members: DataFrame, tag: str) -> DataFrame:
+    """Entities that carry a tag group beside their primary one."""
+    return members.where((col("basket") == tag) & ~col("is_primary")).select("entity").distinct()
+
+
+def primary_basket(members: DataFrame) -> DataFrame:
+    return members.where("is_primary").groupBy("entity").agg(F.min("basket").alias("basket"))
+
+
+def basket_kinds(members: DataFrame) -> DataFrame:
+    """Category and type of every basket."""
+    return members.groupBy("basket").agg(F.min("category").alias("category"), F.min("basket_type").alias("basket_type"))
+
+
+def combined_universe(known: DataFrame, other: DataFrame) -> DataFrame:
+    """Union of two memberships, one row for each entity: its basket (the known universe's wins) and whether only other has it."""
+    a, b = (primary.withColumnRenamed("basket", name) for primary, name in (
+        (known.groupBy("entity").agg(F.min("basket").alias("basket")), "_a"), (other.groupBy("entity").agg(F.min("basket").alias("basket")), "_b")))
+    return a.join(b, "entity", "full").select("entity", F.coalesce("_a", "_b").alias("basket"), col("_a").isNull().alias("only_new"))

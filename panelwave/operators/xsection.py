@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwave.functions.expr import clip, div
-from panelwave.operators.sizing import BROADCAST_ROWS, WINDOW_ROWS
+from panelwave.operators.sizing import BROADCAST_BYTES, CELL_BYTES, WINDOW_ROWS
 
 SALTS = 16
 
@@ -29,8 +30,16 @@ class Bound:
     groups: int | None = None
 
 
-def _fits(bound: Bound) -> bool:
-    return bound.rows is not None and bound.rows <= WINDOW_ROWS
+def _fits(bound: Bound, columns: int = 1) -> bool:
+    """One task may hold a group: rows times columns are proven to stay under the limit. Results do not depend on it."""
+    return bound.rows is not None and bound.rows * columns <= WINDOW_ROWS
+
+
+def join_same(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null, so that a group with a null key keeps its statistics."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by])
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in by])
 
 
 def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int = 64) -> DataFrame:
@@ -47,8 +56,7 @@ def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     placed = (
-        counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-        .join(bounds, [*keys, "_salt"])
+        join_same(counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")), bounds, [*keys, "_salt"])
         .select(*keys, value, "n", F.size(F.filter("_bounds", lambda b: b < F.col(value))).alias("_bucket"))
     )
     per_bucket = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
@@ -59,7 +67,7 @@ def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int
         F.sum("_in").over(Window.partitionBy(*keys)).alias("total"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    return placed.join(offsets, [*keys, "_bucket"]).select(
+    return join_same(placed, offsets, [*keys, "_bucket"]).select(
         *keys, value, "n",
         (F.col("_offset") + F.sum("n").over(inside) - F.col("n")).alias("below"),
         "total",
@@ -87,7 +95,7 @@ def pct_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: B
         ranks = ordered_counts(df.select(*by, c), by, c).select(
             *by, c, ((F.col("below") + (F.col("n") + 1) / 2.0) / F.col("total")).alias(out)
         )
-        df = df.join(ranks, [*by, c], "left")
+        df = join_same(df, ranks, [*by, c], "left")
     return df
 
 
@@ -106,7 +114,7 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``wanted[out] = (column, q)``."""
     by = list(by)
-    if _fits(bound):
+    if _fits(bound, len({c for c, _ in wanted.values()})):
         per_col: dict[str, list[tuple[str, float]]] = {}
         for out, (c, q) in wanted.items():
             per_col.setdefault(c, []).append((out, q))
@@ -130,7 +138,7 @@ def group_quantiles(
                 return F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col(c)))
 
             aggs.append((at(lo) + (at(hi) - at(lo)) * F.max(pos - F.floor(pos))).alias(out))
-        result = result.join(oc.groupBy(*by).agg(*aggs), by, "left")
+        result = join_same(result, oc.groupBy(*by).agg(*aggs), by, "left")
     return result
 
 
@@ -139,8 +147,8 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], bound: Bound = Bo
 
     Broadcast only when the number of groups is proven small; otherwise the optimizer picks the join.
     """
-    small = bound.groups is not None and bound.groups <= BROADCAST_ROWS
-    return df.join(F.broadcast(stats) if small else stats, list(by), "left")
+    small = bound.groups is not None and bound.groups * len(stats.columns) * CELL_BYTES <= BROADCAST_BYTES
+    return join_same(df, F.broadcast(stats) if small else stats, list(by), "left")
 
 
 def standard_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], *, sample: bool = False,
@@ -175,7 +183,7 @@ def robust_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: B
     outs = list(cols.items())
     med = group_quantiles(df, by, {f"_med{i}": (c, 0.5) for i, (_, c) in enumerate(outs)}, bound)
     sds = df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"_sd{i}") for i, (_, c) in enumerate(outs)])
-    step = attach(df, med.join(sds, by, "left"), by, bound)
+    step = attach(df, join_same(med, sds, by, "left"), by, bound)
     dev = step.withColumns({f"_dev{i}": F.abs(F.col(c) - F.col(f"_med{i}")) for i, (_, c) in enumerate(outs)})
     mad = group_quantiles(dev, by, {f"_mad{i}": (f"_dev{i}", 0.5) for i in range(len(outs))}, bound)
     full = attach(step, mad, by, bound)
@@ -234,7 +242,7 @@ def group_rank(df: DataFrame, by: Sequence[str], col: str, size: str, rank_out:
             *by, col, (F.col("total") - F.col("below") - F.col("n") + 1).cast("double").alias("_r"),
             F.col("total").alias("_n"),
         )
-        full = df.join(oc, [*by, col], "left")
+        full = join_same(df, oc, [*by, col], "left")
     ok = x.isNotNull() & (F.col(size) >= need)
     return full.withColumns({
         rank_out: F.when(ok, F.col("_r")), pct_out: F.when(ok, F.col("_r") / F.col("_n")),

@@ -164,8 +164,7 @@ _EVW = _EV + ", " + window_ic(*EVAL_WINDOWS)
 
 
 def _audit_ctes() -> str:
-    names = ("rs_rating_spy", "adx_14", "rsi_14", "pct_ma_50", "volume_buzz_50", "momentum_21d_pct", "hurst_exponent_252d")
-    us = " UNION ALL ".join(f"SELECT entity, date, 'feature' AS score_type, '{c}' AS score_name, {c} AS value FROM feat" for c in names)
+    us = " UNION ALL ".join(f"SELECT entity, date, 'feature' AS score_type, '{c}' AS score_name, {c}::DOUBLE AS value FROM feat" for c in Z_NAMES)
     fwd = " UNION ALL ".join(f"SELECT entity, date, {h} AS horizon, {div(lead('adj_close', h, **_o), 'adj_close')} - 1.0 AS fwd FROM bars WHERE {NO_BENCH}" for h in (20, 60))
     return f"{OF.features()}, us AS MATERIALIZED ({us}), fw0 AS MATERIALIZED ({fwd}), {rank_ic(need=15)}, {window_ic(60, 21, 21)}"
 
@@ -266,7 +265,7 @@ def _z(fams: tuple[str, ...]) -> str:
 def oracle_sql() -> dict[str, str]:
     d: dict[str, str] = {}
     ohlc = ("open", "high", "low", "close", "adj_close", "volume")
-    for name, p in (("bars_supplier_month", "sm"), ("bars_weekly", "bw"), ("bars_user_day", "ud")):
+    for name, p in (("bars_supplier_month", "sm"), ("bars_weekly", "bw"), ("bars_five_day", "bx"), ("bars_user_day", "ud")):
         d[name] = w(panel(p), f"SELECT {KEYS}, {cols(*ohlc)} FROM bars")
     d["densify_panel"] = w(panel("bd"), f"SELECT {KEYS}, t, grp, {cols('close', 'volume', 'b1_close', 'b2_close')} FROM panel")
     d["wide_long_roundtrip"] = w(panel("sm"), "SELECT basket AS entity, strftime(date, '%Y-%m-%d') AS date, " + cols("close", "volume")
@@ -324,8 +323,11 @@ def oracle_sql() -> dict[str, str]:
         d[name] = _themes(f"SELECT {', '.join([tk, *keep, cols(*nums)])} FROM th")
     d["theme_rs_line"] = _themes(f"SELECT {tk}, {cols('theme_rs_new_60d_high', 'theme_rs_new_252d_high', 'theme_rs_pct_252d', theme_rs_line_log='ln(theme_rs_line_value)')} FROM th")
 
-    d["dq_firewall"] = w(f"{panel('bw')}, {NB}, {firewall('nb', DEFAULT_LIMITS)}", FW_TEXT)
+    d["dq_firewall"] = w(f"{panel('bx')}, {NB}, {firewall('nb', DEFAULT_LIMITS)}", FW_TEXT)
     d["dq_firewall_overrides"] = w(f"{panel('ud')}, {NB}, {firewall('nb', UD, 'SELECT entity FROM mem', True)}", FW_TEXT)
+    d["overrides_roundtrip"] = d["dq_firewall_overrides"]
+    d["gate_filter"] = w(f"{panel('ud')}, {NB}, {firewall('nb', UD, 'SELECT entity FROM mem', True)}",
+                         f"SELECT {KEYS}, {cols('close', 'volume')} FROM bars WHERE NOT ({NO_BENCH}) OR entity IN (SELECT entity FROM fw WHERE status IN ('PASS', 'WARNING'))")
     d["dq_reasons"] = w(f"{panel('ud')}, {NB}, {firewall('nb', UD)}", "SELECT code, count(*) AS n FROM (SELECT unnest(list_concat(crit, warn)) AS code FROM fw) GROUP BY code")
     d["dq_status"] = w(f"{panel('bd')}, {NB}, {firewall('nb', DEFAULT_LIMITS)}", "SELECT status, count(*) AS n FROM fw GROUP BY status")
     d["ingest_rejects"] = w(panel("sm"), "SELECT r_name AS entity, 'empty_frame' AS reason FROM region UNION ALL SELECT s_suppkey::VARCHAR, 'empty_frame' FROM supplier WHERE s_suppkey::VARCHAR NOT IN (SELECT entity FROM bars)")
@@ -351,18 +353,18 @@ def oracle_sql() -> dict[str, str]:
         ("universe_coverage", "(SELECT count(DISTINCT entity) FROM lc JOIN dk USING (date) WHERE k < 30 AND score IS NOT NULL) >= 20"),
     ]
     d["sanity_checks"] = _themes(" UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS passed" for n, c in checks), DAYS)
-    d["coverage_report"] = w(f"{panel('bw')}, {NB}, {firewall('nb', DEFAULT_LIMITS)}",
+    d["coverage_report"] = w(f"{panel('bx')}, {NB}, {firewall('nb', DEFAULT_LIMITS)}",
                              "SELECT (SELECT count(DISTINCT entity) FROM mem) AS declared, (SELECT count(DISTINCT entity) FROM nb) AS present, (SELECT count(DISTINCT entity) FROM mem WHERE entity NOT IN (SELECT entity FROM nb)) AS silent_missing, "
                              + cols(quality_pass_pct="(SELECT count(*) FILTER (status <> 'FAIL') * 100.0 / count(*) FROM fw)", coverage_pct="(SELECT count(DISTINCT entity) FROM nb) * 100.0 / (SELECT count(DISTINCT entity) FROM mem)"))
-    d["coverage_anti"] = "SELECT c_custkey AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+    d["coverage_anti"] = "SELECT c_custkey AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
     o = dict(order="date")
     d["reconcile_sources"] = w(
-        f"{panel('bw')}, {NB}, ra AS (SELECT entity, date, close, {roll('avg', 'close', 50, **o)} AS ma, {div('close', lag('close', 252, **o))} - 1.0 AS ret, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r FROM nb), "
+        f"{panel('bx')}, {NB}, ra AS (SELECT entity, date, close, {roll('avg', 'close', 50, **o)} AS ma, {div('close', lag('close', 252, **o))} - 1.0 AS ret, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r FROM nb), "
         "nc AS (SELECT * REPLACE (CASE WHEN entity = 'Brand#3' THEN close * 1.02 ELSE close END AS close) FROM nb), "
         f"rb AS (SELECT entity, date, close, {roll('avg', 'close', 50, **o)} AS ma, {div('close', lag('close', 252, **o))} - 1.0 AS ret, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r FROM nc)",
         f"SELECT a.entity, {rnd('a.close')} AS close_a, {rnd('a.ma')} AS ma_a, {rnd('abs((a.close - b.close) / b.close)')} AS close_gap, coalesce(abs((a.close - b.close) / b.close) > 0.005, false) OR coalesce(abs((a.ma - b.ma) / b.ma) > 0.01, false) "
         "OR coalesce(abs(a.ret - b.ret) > 0.02, false) AS discrepant FROM (SELECT * FROM ra WHERE r = 1) a JOIN (SELECT * FROM rb WHERE r = 1) b USING (entity)")
-    d["key_alignment"] = w(f"{panel('bw')}, {NB}, dn AS (SELECT * FROM panel WHERE {NO_BENCH})",
+    d["key_alignment"] = w(f"{panel('bx')}, {NB}, dn AS (SELECT * FROM panel WHERE {NO_BENCH})",
                            "SELECT (SELECT count(*) FROM dn) AS n_left, (SELECT count(*) FROM nb) AS n_right, (SELECT count(*) FROM dn WHERE close IS NULL) AS only_left, 0::BIGINT AS only_right, (SELECT max(date) FROM dn) = (SELECT max(date) FROM nb) AS same_latest")
     d["level3_findings"] = _l3()
     d["component_health"] = _scored(
@@ -406,11 +408,11 @@ def oracle_sql() -> dict[str, str]:
     bench = "bm AS MATERIALIZED (SELECT * FROM bars WHERE entity = 'MKT')"
     one = dict(part="entity", order="date")
     d["vol_regime"] = w(
-        f"{panel('bw')}, {bench}, v0 AS (SELECT date, entity, ln(adj_close) - {lag('ln(adj_close)', **one)} AS r FROM bm), v1 AS MATERIALIZED (SELECT * FROM (SELECT date, {roll('stddev_samp', 'r', 20, 15, **one)} * sqrt(252.0) AS vol FROM v0) WHERE vol IS NOT NULL), "
+        f"{panel('bx')}, {bench}, v0 AS (SELECT date, entity, ln(adj_close) - {lag('ln(adj_close)', **one)} AS r FROM bm), v1 AS MATERIALIZED (SELECT * FROM (SELECT date, {roll('stddev_samp', 'r', 20, 15, **one)} * sqrt(252.0) AS vol FROM v0) WHERE vol IS NOT NULL), "
         "v2 AS (SELECT max(date) AS latest_date, arg_max(vol, date) AS latest_vol, quantile_cont(vol, 0.33) AS tercile_lo, quantile_cont(vol, 0.67) AS tercile_hi FROM v1)",
         f"SELECT {day('latest_date')}, {cols('latest_vol', 'tercile_lo', 'tercile_hi')}, CASE WHEN latest_vol <= tercile_lo THEN 'LOW' WHEN latest_vol >= tercile_hi THEN 'HIGH' ELSE 'MID' END AS regime FROM v2")
     d["drawdown_regime"] = w(
-        f"{panel('bw')}, {bench}, r0 AS (SELECT date, adj_close, {roll('max', 'adj_close', 252, 63, **one)} AS h, {roll('avg', 'adj_close', 200, 50, **one)} AS m FROM bm), r1 AS (SELECT *, (adj_close - h) / h AS dd, coalesce(adj_close > m, false) AS up FROM r0 WHERE h IS NOT NULL)",
+        f"{panel('bx')}, {bench}, r0 AS (SELECT date, adj_close, {roll('max', 'adj_close', 252, 63, **one)} AS h, {roll('avg', 'adj_close', 200, 50, **one)} AS m FROM bm), r1 AS (SELECT *, (adj_close - h) / h AS dd, coalesce(adj_close > m, false) AS up FROM r0 WHERE h IS NOT NULL)",
         f"SELECT {day()}, {rnd('dd')} AS drawdown, up AS above_ma, CASE WHEN NOT dd > -0.15 THEN 'RED' WHEN up THEN 'GREEN' ELSE 'YELLOW' END AS regime_state FROM r1")
     d["dvol_quintile"] = w(
         f"{panel('sm')}, {NB}, q0 AS (SELECT entity, date, {roll('avg', '(close * volume)', 20, 10, order='date')} AS dvol FROM nb), q1 AS (SELECT *, row_number() OVER (ORDER BY dvol, entity) / count(*) OVER () AS r FROM q0 WHERE date = (SELECT max(date) FROM nb) AND dvol IS NOT NULL)",
@@ -426,7 +428,7 @@ def oracle_sql() -> dict[str, str]:
     d["grade_threshold_history"] = _scored(f"SELECT {day()}, {cols('q30', 'q55', 'q80', 'q92')} FROM (SELECT date, {qs} FROM lc WHERE score IS NOT NULL GROUP BY date)")
     fill = lambda c: (f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
     d["threshold_alignment"] = _scored(f"SELECT {day()}, {cols('q30', 'q92')} FROM (SELECT date, {fill('a')} AS q30, {fill('b')} AS q92 FROM cal LEFT JOIN (SELECT date, quantile_cont(score, 0.30) AS a, quantile_cont(score, 0.92) AS b FROM lc "
-                                       "WHERE score IS NOT NULL AND day(date) <= 7 GROUP BY date) USING (date))")
+                                       "WHERE score IS NOT NULL AND date IN (SELECT max(date) FROM lc WHERE score IS NOT NULL GROUP BY date_trunc('month', date)) GROUP BY date) USING (date))")
     d["peers"] = _scored(f"SELECT entity, grade, {cols('score')} FROM (SELECT * FROM lc WHERE {LATEST} AND score IS NOT NULL AND entity <> 'Brand#7' AND entity IN (SELECT entity FROM mem WHERE basket IN (SELECT basket FROM mem WHERE entity = 'Brand#7')) ORDER BY score DESC, entity LIMIT 5)")
     d["top_by_group"] = _scored(f"SELECT basket, rank, entity, {cols('score')} FROM (SELECT basket, entity, score, row_number() OVER (PARTITION BY basket ORDER BY score DESC, entity) AS rank FROM lc JOIN mem USING (entity) WHERE {LATEST} AND score IS NOT NULL) WHERE rank <= 3")
     d["label_screen"] = _scored(f"SELECT {KEYS}, grade, leadership_tier, {cols('score')} FROM (SELECT * FROM lc WHERE {LATEST} AND score IS NOT NULL AND leadership_tier IN ('STRONG_PERFORMER', 'NEUTRAL', 'UNCLASSIFIED', 'ESTABLISHED_LEADER') "
@@ -435,10 +437,16 @@ def oracle_sql() -> dict[str, str]:
                                f"LEFT JOIN (SELECT basket, list(entity ORDER BY score DESC, entity) AS mm FROM lc JOIN mem USING (entity) WHERE {LATEST} AND score IS NOT NULL GROUP BY basket) USING (basket)")
     d["key_metrics"] = _metrics()
     d["entity_history"] = _scored(f"SELECT {day()}, grade, primary_state, leadership_tier, setup, {cols('score')} FROM lc WHERE entity = 'Brand#7' AND date >= DATE '2001-10-29' - INTERVAL 365 DAY")
-    d["last_bars"] = w(panel("bw"), f"SELECT {day()}, {cols('close', 'volume')} FROM (SELECT * FROM bars WHERE entity = 'MKT' ORDER BY date DESC LIMIT 30)")
+    d["last_bars"] = w(panel("bx"), f"SELECT {day()}, {cols('close', 'volume')} FROM (SELECT * FROM bars WHERE entity = 'MKT' ORDER BY date DESC LIMIT 30)")
     d["last_dates_slice"] = _scored("SELECT entity, count(score) AS n_scored FROM lc JOIN dk USING (date) WHERE k < 30 GROUP BY entity", DAYS)
     d["kth_date_slice"] = _scored(f"SELECT {KEYS}, grade, {cols('score')} FROM lc JOIN dk USING (date) WHERE k = 5", DAYS)
+    d["snapshot_roundtrip"] = _scored(f"SELECT {KEYS}, grade, primary_state, strftime(date, '%Y-%m-%d') AS snapshot_date, {cols('score')} FROM lc WHERE {LATEST}")
+    d["slim_latest"] = _scored(f"SELECT {KEYS}, grade, primary_state, {cols('score')} FROM lc WHERE {LATEST}")
+    d["serving_resolution"] = _scored(f"SELECT {KEYS}, grade, primary_state, {cols('score')} FROM lc")
+    d["exclude_sector"] = ("SELECT entity, sector AS gics_sector FROM (SELECT 'S-' || (s_suppkey % 50)::VARCHAR AS entity, min({'company': s_name, 'sector': n_name}).sector AS sector "
+                           "FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) WHERE sector <> 'NATION_3'")
     d["label_distribution"] = _scored(f"SELECT primary_state, n, {rnd('n / sum(n) OVER ()')} AS share FROM (SELECT primary_state, count(*) AS n FROM lc GROUP BY 1)")
+    d["report_roundtrip"] = d["label_distribution"]
     d["top_setups"] = _scored("SELECT setup, count(*) AS n FROM lc WHERE setup <> '' GROUP BY setup ORDER BY n DESC, setup LIMIT 10")
     d["run_meta"] = _scored(f"SELECT rows, entities, dates, {day('min_date')}, {day('max_date')}, {cols('p1', 'p99')} FROM (SELECT count(*) AS rows, count(DISTINCT entity) AS entities, count(DISTINCT date) AS dates, min(date) AS min_date, max(date) AS max_date, "
                             "quantile_cont(score, 0.01) AS p1, quantile_cont(score, 0.99) AS p99 FROM lc)")
@@ -451,16 +459,42 @@ def oracle_sql() -> dict[str, str]:
     d["migration_report"] = _scored("SELECT 'leadership_tier' AS column_name, count(*) FILTER (leadership_tier IN ('STRONG_PERFORMER', 'DETERIORATING')) AS n_changed FROM lc")
     d["origin_diagnostics"] = _scored(f"SELECT origin, count(*) AS n, {rnd('avg(score)')} AS mean_score, {rnd('median(score)')} AS median_score, {rnd('avg(' + flag('grade IN (' + chr(39) + 'S' + chr(39) + ', ' + chr(39) + 'A' + chr(39) + ')') + ') * 100.0')} AS pct_s_a "
                                       "FROM (SELECT *, CASE WHEN regexp_extract(entity, '([0-9]+)', 1)::INT <= 12 THEN 'PROD' ELSE 'SANDBOX' END AS origin FROM lc WHERE score IS NOT NULL) GROUP BY origin")
-    d["new_entities"] = "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1"
+    d["new_entities"] = "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1"
     d["primary_assignment"] = w(panel("sm"), "SELECT entity, CASE WHEN entity::BIGINT % 10 = 0 THEN max(basket) FILTER (is_primary) ELSE max(basket) FILTER (NOT is_primary) END AS primary_basket FROM mem GROUP BY entity")
-    d["tags_for"] = w(panel("bw"), "SELECT entity, string_agg(basket, '|' ORDER BY basket) AS tags FROM mem WHERE NOT is_primary GROUP BY entity")
+    d["tags_for"] = w(panel("bx"), "SELECT entity, string_agg(basket, '|' ORDER BY basket) AS tags FROM mem WHERE NOT is_primary GROUP BY entity")
     d["universe_nested"] = w(panel("sm"), "SELECT basket, entity, category FROM mem WHERE is_primary")
-    d["sector_assignment"] = w(panel("bw"), "SELECT p_brand AS entity, CASE WHEN max(m.basket) IS NOT NULL THEN max(m.basket) ELSE 'SEC_' || min(p_type) END AS basket FROM part LEFT JOIN (SELECT * FROM mem WHERE is_primary AND basket IN ('G0', 'G1')) m ON m.entity = p_brand GROUP BY p_brand")
+    kinds = "(SELECT basket, min(category) AS category, min(basket_type) AS basket_type FROM mem GROUP BY basket)"
+    d["membership_queries"] = w(panel("bx"), (
+        "SELECT 'entity' AS what, entity AS key, '' AS value FROM (SELECT DISTINCT entity FROM mem) UNION ALL "
+        "SELECT 'tag_basket', basket, '' FROM (SELECT DISTINCT basket FROM mem WHERE basket_type = 'TAG') UNION ALL "
+        "SELECT 'constituent_G1', entity, '' FROM (SELECT DISTINCT entity FROM mem WHERE basket = 'G1') UNION ALL "
+        "SELECT 'tagged_T2', entity, '' FROM (SELECT DISTINCT entity FROM mem WHERE basket = 'T2' AND NOT is_primary) UNION ALL "
+        "SELECT 'primary', entity, min(basket) FROM mem WHERE is_primary GROUP BY entity UNION ALL "
+        f"SELECT 'category', basket, category FROM {kinds} UNION ALL SELECT 'type', basket, basket_type FROM {kinds}"))
+    d["union_universe"] = w(panel("bx"), (
+        "SELECT entity, coalesce(a.basket, b.basket) AS basket, a.basket IS NULL AS only_new "
+        "FROM (SELECT entity, min(basket) AS basket FROM mem WHERE is_primary AND basket IN ('G0', 'G1', 'G2') GROUP BY entity) a "
+        "FULL JOIN (SELECT entity, min(basket) AS basket FROM mem WHERE NOT is_primary GROUP BY entity) b USING (entity)"))
+    total = " + ".join(f"p_{s}" for s in config.STATES)
+    one = ("v AS (SELECT min(score) AS lo, max(score) AS hi, quantile_cont(score, 0.01) AS q1, quantile_cont(score, 0.99) AS q9, "
+           f"max(abs({total} - 1.0)) AS gap, count(score) AS n, avg(CASE WHEN score IS NOT NULL THEN (grade[1:1] IN ('S', 'A'))::INT END) AS top, "
+           "(SELECT count(DISTINCT basket) FROM th) AS g, (SELECT count(DISTINCT entity) FROM mem) AS m FROM lc WHERE date = (SELECT max(date) FROM lc))")
+    checks5 = (("score_min", "lo", "lo >= 0"), ("score_max", "hi", "hi <= 100"), ("score_p1", "q1", "q1 < q9"), ("score_p99", "q9", "q1 < q9"),
+               ("probability_gap", "gap", "gap <= 1e-6"), ("scored", "n::DOUBLE", "n > 0"), ("declared", "m::DOUBLE", "m >= n"), ("groups", "g::DOUBLE", "g > 0"), ("top_grades", "top", "top < 0.5"))
+    d["run_validation"] = _themes(" UNION ALL ".join(f"SELECT '{n}' AS name, {rnd(c)} AS observed, coalesce({ok}, false) AS passed FROM v" for n, c, ok in checks5), one)
+    named = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + f" ELSE {c} END"
+    back = lambda c, m: named(c, {v: k for k, v in m.items()})
+    d["label_translation"] = _scored(
+        f"SELECT state_display, tier_display, {back('state_display', config.STATE_DISPLAY)} AS state, CASE WHEN leadership_tier IS NOT NULL THEN {back('tier_display', config.TIER_DISPLAY)} END AS tier "
+        f"FROM (SELECT DISTINCT primary_state, leadership_tier, coalesce({named('primary_state', config.STATE_DISPLAY)}, '') AS state_display, "
+        f"coalesce({named('leadership_tier', config.TIER_DISPLAY)}, 'No RS Signal') AS tier_display FROM lc)")
+    d["sector_assignment"] = w(panel("bx"), "SELECT p_brand AS entity, CASE WHEN max(m.basket) IS NOT NULL THEN max(m.basket) ELSE 'SEC_' || min(p_type) END AS basket FROM part LEFT JOIN (SELECT * FROM mem WHERE is_primary AND basket IN ('G0', 'G1')) m ON m.entity = p_brand GROUP BY p_brand")
     d["canonical_constituents"] = ("SELECT entity, r.company AS company, r.gics_sector AS gics_sector, '' AS founded FROM (SELECT 'S-' || (s_suppkey % 50)::VARCHAR AS entity, min({'company': s_name, 'gics_sector': n_name}) AS r "
                                    "FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)")
-    d["combine_sources"] = w(f"{panel('ud')}, {NB}", f"SELECT {KEYS}, {cols(close='CASE WHEN day(date) % 2 = 0 THEN close ELSE -close END')} FROM nb")
-    d["stream_bars"] = w(f"{panel('ud')}, {NB}", f"SELECT {KEYS}, {cols('open', 'high', 'low', 'close', 'volume')} FROM nb WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+    d["combine_sources"] = w(f"{panel('ud')}, {NB}, sec AS (SELECT entity, date, arg_max(px, ord) AS own FROM raw WHERE second GROUP BY ALL)",
+                             f"SELECT {KEYS}, {cols(close='coalesce(own, -close)')} FROM nb LEFT JOIN sec USING (entity, date)")
+    d["stream_bars"] = w(f"{panel('ud')}, {NB}", f"SELECT {KEYS}, {cols('open', 'high', 'low', 'close', 'volume')} FROM nb")
     d["stream_indicators"] = w(
-        f"{panel('bw')}, ownb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - 1 AS t FROM bars), {OF.recursion('ownb')}",
+        f"{panel('bx')}, ownb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - 1 AS t FROM bars), {OF.recursion('ownb')}",
         f"SELECT {KEYS}, {cols('ema_21', 'atr_14', 'rsi_14', 'adx_14', 'supertrend_direction')} FROM ownb JOIN rec USING (entity, t) JOIN st USING (entity, t) WHERE {NO_BENCH}")
     return d

@@ -82,7 +82,22 @@ def pct_rank(x: str, by: str = "date") -> str:
             f"+ (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) END)")
 
 
-def _bars(raw: str) -> str:
+ADJUSTED = ("close * (CASE WHEN entity IN ('MKT', 'MKT_R') THEN 1.0 WHEN date < DATE '1998-01-01' THEN 0.5 "
+            "WHEN date < DATE '2000-01-01' THEN 0.94 ELSE 1.0 END)")
+
+
+CARRIED = (
+    "filled AS (SELECT e.entity, d.date, b.open, b.high, b.low, b.close, b.volume, "
+    + ", ".join(f"last_value(b.{c} IGNORE NULLS) OVER (PARTITION BY e.entity ORDER BY d.date ROWS UNBOUNDED PRECEDING) AS {n}"
+                for c, n in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "carried")))
+    + " FROM (SELECT DISTINCT entity FROM bars0) e "
+    "CROSS JOIN (SELECT date FROM bars0 WHERE entity = 'MKT') d LEFT JOIN bars0 b ON b.entity = e.entity AND b.date = d.date), "
+    "bars1 AS (SELECT entity, date, coalesce(open, o) AS open, coalesce(high, h) AS high, coalesce(low, l) AS low, "
+    "coalesce(close, carried) AS close, coalesce(volume, 0.0) AS volume FROM filled WHERE carried IS NOT NULL), "
+)
+
+
+def _bars(raw: str, own: bool = False) -> str:
     one = ("arg_min(px, ord) AS open, max(px) AS high, min(px) AS low, arg_max(px, ord) AS close, "
            "sum(v)::DOUBLE AS volume")
     return (
@@ -90,7 +105,7 @@ def _bars(raw: str) -> str:
         f"bars0 AS (SELECT entity, date, {one} FROM raw GROUP BY ALL "
         f"UNION ALL SELECT 'MKT', date, {one} FROM raw GROUP BY date "
         f"UNION ALL SELECT 'MKT_R', date, {one} FROM raw WHERE second GROUP BY date), "
-        "bars AS MATERIALIZED (SELECT *, close AS adj_close FROM bars0), "
+        f"{CARRIED if own else ''}bars AS MATERIALIZED (SELECT *, {ADJUSTED if own else 'close'} AS adj_close FROM {'bars1' if own else 'bars0'}), "
         "cal AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, close AS b1_close, "
         "(SELECT close FROM bars x WHERE x.entity = 'MKT_R' AND x.date = b.date) AS b2_close "
         "FROM bars b WHERE entity = 'MKT')"
@@ -102,6 +117,8 @@ RAW = {
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem"),
     "bw": ("SELECT p_brand AS entity, date_trunc('week', l_shipdate)::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
+    "bx": ("SELECT p_brand AS entity, l_shipdate::DATE - (date_diff('day', DATE '1970-01-01', l_shipdate::DATE) % 5)::INT AS date, l_returnflag = 'R' AS second, "
+           f"round(pow(l_extendedprice / l_quantity / 1000.0, 0.1) * 100.0, 6) AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "bd": ("SELECT p_brand AS entity, l_shipdate::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "ud": ("SELECT user_id::VARCHAR AS entity, ts::DATE AS date, event_type = 'purchase' AS second, value AS px, "
@@ -117,14 +134,14 @@ MEMBERS = {
 }
 _BRAND = ("SELECT 'G' || (no % 5)::VARCHAR AS basket, p_brand AS entity, 'BRANDS' AS category, 'CORE' AS basket_type, true AS is_primary FROM b "
           "UNION ALL SELECT 'T' || (no % 3)::VARCHAR, p_brand, 'TAGS', 'TAG', false FROM b")
-for _p in ("bw", "bd"):
+for _p in ("bw", "bx", "bd"):
     MEMBERS[_p] = ("WITH b AS (SELECT DISTINCT p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS no FROM part) " + _BRAND)
 
 
 def panel(p: str) -> str:
     """CTEs raw, bars, cal, mem, grp, panel (dense; benchmarks included)."""
     return (
-        f"{_bars(RAW[p])}, mem AS MATERIALIZED ({MEMBERS[p]}), "
+        f"{_bars(RAW[p], p == 'bx')}, mem AS MATERIALIZED ({MEMBERS[p]}), "
         "grp0 AS (SELECT e.entity, coalesce(basket, 'UNKNOWN') AS grp FROM (SELECT DISTINCT entity FROM bars) e "
         "LEFT JOIN (SELECT * FROM mem WHERE is_primary) m USING (entity)), "
         "grp AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS grp_size FROM grp0), "

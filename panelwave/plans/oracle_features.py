@@ -1,4 +1,4 @@
-"""SQL twin of the feature panel on the brand-week panel."""
+"""SQL twin of the feature panel on the brands' five-day panel."""
 
 from __future__ import annotations
 
@@ -300,7 +300,7 @@ def cross(src: str = "tf") -> str:
             f"feat AS MATERIALIZED (SELECT * FROM x2 WHERE {NO_BENCH})")
 
 
-def features(p: str = "bw") -> str:
+def features(p: str = "bx") -> str:
     """All CTEs from the raw tables to ``feat``."""
     return ", ".join([panel(p), recursion(), periods(), vcp(), layers(), cross()])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwave.operators import bars as B
@@ -16,10 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EPOCH = "1970-01-01"
+
+
 def _period(ts: Column, freq: str) -> Column:
+    """First day of the period: day, week, month, or five days counted from the epoch."""
+    if freq == "5day":
+        days = F.datediff(ts, F.lit(EPOCH))
+        return F.date_sub(F.to_date(ts), F.pmod(days, F.lit(5)))
     return F.to_date(F.date_trunc(freq, ts))
 
 
+def adjustment(date: Column) -> Column:
+    """Deterministic price adjustment: a split in 1998 and a 6 % distribution in 2000."""
+    return F.when(date < "1998-01-01", 0.5).when(date < "2000-01-01", 0.94).otherwise(1.0)
+
+
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
@@ -34,8 +46,10 @@ def line_bars(spark: SparkSession, sf_dir: str, by: str, freq: str) -> DataFrame
     rows = rows.withColumns({
         "date": _period(F.col("l_shipdate"), freq), "second": F.col("l_returnflag") == "R",
     })
-    return B.trade_bars(rows, ["entity", "date", "second"], F.col("l_extendedprice") / F.col("l_quantity"),
-                        F.col("l_quantity"), F.struct(*LINE_ORDER))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    if freq == "5day":  # a tenth of the log moves: unit prices of parts jump by a third, which no index survives
+        price = F.round(F.pow(price / 1000.0, F.lit(0.1)) * 100.0, 6)
+    return B.trade_bars(rows, ["entity", "date", "second"], price, F.col("l_quantity"), F.struct(*LINE_ORDER))
 
 
 def event_bars(spark: SparkSession, sf_dir: str, freq: str = "day") -> DataFrame:
@@ -59,6 +73,7 @@ def fine_bars(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
     build = {
         "sm": lambda: line_bars(spark, sf_dir, "supplier", "month"),
         "bw": lambda: line_bars(spark, sf_dir, "brand", "week"),
+        "bx": lambda: line_bars(spark, sf_dir, "brand", "5day"),
         "bd": lambda: line_bars(spark, sf_dir, "brand", "day"),
         "ud": lambda: event_bars(spark, sf_dir),
     }
@@ -95,7 +110,7 @@ def with_groups(bars: DataFrame, members: DataFrame) -> DataFrame:
     prim = members.where("is_primary").select("entity", F.col("basket").alias("grp"))
     present = bars.select("entity").distinct().join(prim, "entity", "left").withColumn(
         "grp", F.coalesce("grp", F.lit("UNKNOWN")))
-    sized = present.withColumn("grp_size", F.count("*").over(Window.partitionBy("grp")))
+    sized = present.join(present.groupBy("grp").agg(F.count("*").alias("grp_size")), "grp")
     return bars.join(small_side(sized), "entity")
 
 
@@ -107,7 +122,14 @@ class PanelSource:
         self._dense: DataFrame | None = None
         fine = materialize(fine_bars(spark, sf_dir, panel))
         self.members = membership(spark, sf_dir, panel)
-        self.bars = materialize(with_groups(entity_bars(fine), self.members))
+        bars = with_groups(entity_bars(fine), self.members)
+        if panel == "bx":  # the panel that features and scores are built on: no gaps, adjusted closes of its own
+            bars = materialize(bars)
+            mkt, second = (bars.where(F.col("entity") == b) for b in BENCHMARKS)
+            bars = B.carry_bars(bars, materialize(B.calendar(mkt, second)), ("grp", "grp_size"))
+            own = ~F.col("entity").isin(*BENCHMARKS)
+            bars = bars.withColumn("adj_close", F.when(own, F.col("close") * adjustment(F.col("date"))).otherwise(F.col("close")))
+        self.bars = materialize(bars)
         mkt, second = (self.bars.where(F.col("entity") == b) for b in BENCHMARKS)
         self.calendar = materialize(B.calendar(mkt, second))
         # proven bound on rows per date: one row per declared entity plus the two benchmarks

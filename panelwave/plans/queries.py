@@ -18,7 +18,7 @@ from panelwave.operators.sizing import materialize
 from panelwave.operators.standardize import standardize
 from panelwave.operators.state import state
 from panelwave.plans import scoring
-from panelwave.plans.panels import BENCHMARKS, PanelSource, table
+from panelwave.plans.panels import BENCHMARKS, PanelSource, adjustment, event_bars, table
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,23 +44,23 @@ def source(spark: SparkSession, sf_dir: str, panel: str) -> PanelSource:
 
 
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """108-column feature panel of the brand-week bars."""
-    s = source(spark, sf_dir, "bw")
+    """108-column feature panel of the brands' five-day bars."""
+    s = source(spark, sf_dir, "bx")
     return _once(spark, sf_dir, "features", lambda: scoring.feature_stage(s.dense(), BENCHMARKS, s.bound))
 
 
 def z_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     return _once(spark, sf_dir, "z", lambda: materialize(standardize(feature_panel(spark, sf_dir), bound=s.bound)))
 
 
 def component_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     return _once(spark, sf_dir, "components", lambda: materialize(components(z_panel(spark, sf_dir), s.bound, demand=True)))
 
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
 
     def build() -> DataFrame:
         df = score(state(component_panel(spark, sf_dir)), s.bound)
@@ -70,7 +70,7 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theme_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     return _once(spark, sf_dir, "themes", lambda: materialize(
         scoring.theme_stage(scored_panel(spark, sf_dir), s.bars, s.members, "MKT", s.bound)))
 
@@ -346,7 +346,7 @@ UD_LIMITS = quality.Limits(min_history=25, min_liquidity=20.0, low_liquidity=60.
 
 
 def dq_firewall(spark, sf_dir):
-    return _report_text(quality.firewall(no_bench(source(spark, sf_dir, "bw").bars)))
+    return _report_text(quality.firewall(no_bench(source(spark, sf_dir, "bx").bars)))
 
 
 def dq_firewall_overrides(spark, sf_dir):
@@ -371,8 +371,7 @@ def ingest_rejects(spark, sf_dir):
 
 def _adjusted(bars: DataFrame) -> DataFrame:
     """Bars with a deterministic adjustment factor: halves before 1998, one 6 % step in 2000."""
-    f = F.when(col("date") < "1998-01-01", 0.5).when(col("date") < "2000-01-01", 0.94).otherwise(1.0)
-    return bars.withColumn("adj_close", col("close") * f)
+    return bars.withColumn("adj_close", col("close") * adjustment(col("date")))
 
 
 def corporate_actions(spark, sf_dir):
@@ -420,21 +419,22 @@ def sanity_checks(spark, sf_dir):
 
 
 def coverage_report(spark, sf_dir):
-    s = source(spark, sf_dir, "bw")
-    x = reliability.coverage(s.members, feature_panel(spark, sf_dir), s.members.limit(0), quality.firewall(no_bench(s.bars)))
+    s = source(spark, sf_dir, "bx")
+    x = reliability.coverage(s.members, feature_panel(spark, sf_dir), quality.ingest_rejects(no_bench(s.bars), s.members.select("entity")),
+                             quality.firewall(no_bench(s.bars)))
     return x.select("declared", "present", "silent_missing", rnd(col("quality_pass_pct")).alias("quality_pass_pct"), rnd(col("coverage_pct")).alias("coverage_pct"))
 
 
 def coverage_anti(spark, sf_dir):
-    """Customers of the supplier nations that never ordered (declared but absent)."""
+    """Customers without a pending order (declared but absent from the pending ones)."""
     declared = table(spark, sf_dir, "customer").select(col("c_custkey").alias("entity"))
-    present = table(spark, sf_dir, "orders").select(col("o_custkey").alias("entity"))
+    present = table(spark, sf_dir, "orders").where(col("o_orderstatus") == "P").select(col("o_custkey").alias("entity"))
     return declared.join(present, "entity", "left_anti")
 
 
 def reconcile_sources(spark, sf_dir):
     """All line items against the returnable half, per brand and week."""
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     a = no_bench(s.bars)
     b = a.withColumn("close", F.when(F.col("entity") == "Brand#3", col("close") * 1.02).otherwise(col("close")))
     x = reliability.reconcile(a, b)
@@ -442,11 +442,11 @@ def reconcile_sources(spark, sf_dir):
 
 
 def key_alignment(spark, sf_dir):
-    return reliability.key_alignment(scored_panel(spark, sf_dir), no_bench(source(spark, sf_dir, "bw").bars))
+    return reliability.key_alignment(scored_panel(spark, sf_dir), no_bench(source(spark, sf_dir, "bx").bars))
 
 
 def level3_findings(spark, sf_dir):
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     x = views.latest(scored_panel(spark, sf_dir))
     t = views.latest(theme_panel(spark, sf_dir))
     parts = [reliability.feature_bounds(x), reliability.score_findings(x), reliability.state_findings(x), reliability.tier_findings(x),
@@ -510,9 +510,9 @@ def forward_return(spark, sf_dir):
 
 
 def _ic(spark, sf_dir) -> tuple[DataFrame, PanelSource]:
-    scores, fwd, s = _eval_inputs(spark, sf_dir)
-    return _once(spark, sf_dir, "ic", lambda: materialize(evaluate.rank_ic(
-        evaluate.unpivot_scores(scores, EVAL_SCORES), fwd, ("score_type", "score_name"), bound=s.bound))), s
+    scores, _, s = _eval_inputs(spark, sf_dir)
+    return _once(spark, sf_dir, "ic", lambda: materialize(evaluate.rank_ic_wide(
+        scores, EVAL_SCORES, no_bench(s.bars), EVAL_H, bound=s.bound))), s
 
 
 def ic_per_date(spark, sf_dir):
@@ -571,11 +571,9 @@ def component_summary(spark, sf_dir):
 
 
 def horizon_audit(spark, sf_dir):
-    """20 / 60-row audit on the stored features of the brand-week panel, against their effective weights."""
-    s = source(spark, sf_dir, "bw")
-    names = ("rs_rating_spy", "adx_14", "rsi_14", "pct_ma_50", "volume_buzz_50", "momentum_21d_pct", "hurst_exponent_252d")
-    scores = evaluate.unpivot_scores(feature_panel(spark, sf_dir), {"feature": names})
-    ic = evaluate.rank_ic(scores, evaluate.forward_returns(no_bench(s.bars), (20, 60)), ("score_type", "score_name"), 15, s.bound)
+    """20 / 60-row audit of every numeric stored feature against its effective weight."""
+    s = source(spark, sf_dir, "bx")
+    ic = evaluate.rank_ic_wide(feature_panel(spark, sf_dir), {"feature": Z_NAMES}, no_bench(s.bars), (20, 60), 15, s.bound)
     diag = evaluate.window_ic(ic, evaluate.window_members(s.calendar, 60, 21, 21))
     x = evaluate.horizon_audit(evaluate.oos_summary(diag))
     return x.select("score_name", rnd(col("oos_ic_20d")).alias("oos_ic_20d"), rnd(col("oos_ic_60d")).alias("oos_ic_60d"),
@@ -611,7 +609,7 @@ def ridge_consensus(spark, sf_dir):
 
 
 # ---- context and views --------------------------------------------------------------------------
-def _bench(spark, sf_dir, panel="bw") -> DataFrame:
+def _bench(spark, sf_dir, panel="bx") -> DataFrame:
     return source(spark, sf_dir, panel).bars.where(col("entity") == "MKT")
 
 
@@ -652,24 +650,26 @@ def contributions(spark, sf_dir):
 
 
 def grade_threshold_history(spark, sf_dir):
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     return shape(views.grade_thresholds(scored_panel(spark, sf_dir), s.bound), ("q30", "q55", "q80", "q92"), keys=("date",))
 
 
 def threshold_alignment(spark, sf_dir):
-    """Month-end thresholds spread over every calendar week (forward fill, then back fill)."""
-    s = source(spark, sf_dir, "bw")
-    t = views.grade_thresholds(scored_panel(spark, sf_dir), s.bound).where(F.dayofmonth("date") <= 7)
+    """Thresholds of each month's last scored date spread over the calendar (forward fill, then back fill)."""
+    s = source(spark, sf_dir, "bx")
+    t = views.grade_thresholds(scored_panel(spark, sf_dir), s.bound)
+    ends = t.groupBy(F.trunc("date", "month").alias("_m")).agg(F.max("date").alias("date")).select("date")
+    t = t.join(ends, "date", "left_semi")
     return shape(views.aligned_thresholds(s.calendar, t), ("q30", "q92"), keys=("date",))
 
 
 def peers(spark, sf_dir):
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     return views.peers(scored_panel(spark, sf_dir), s.members, "Brand#7", 5).select("entity", rnd(col("score")).alias("score"), "grade")
 
 
 def top_by_group(spark, sf_dir):
-    s = source(spark, sf_dir, "bw")
+    s = source(spark, sf_dir, "bx")
     x = views.top_by_group(scored_panel(spark, sf_dir), s.members, 3)
     return x.select("basket", col("rank").cast("long").alias("rank"), "entity", rnd(col("score")).alias("score"))
 
@@ -680,7 +680,7 @@ def label_screen(spark, sf_dir):
 
 
 def themes_view(spark, sf_dir):
-    x = views.themes_view(theme_panel(spark, sf_dir), scored_panel(spark, sf_dir), source(spark, sf_dir, "bw").members)
+    x = views.themes_view(theme_panel(spark, sf_dir), scored_panel(spark, sf_dir), source(spark, sf_dir, "bx").members)
     return x.select("basket", rnd(col("theme_score")).alias("theme_score"), "theme_class", "n_constituents", "top_member", "members")
 
 
@@ -694,7 +694,7 @@ def entity_history(spark, sf_dir):
 
 
 def last_bars(spark, sf_dir):
-    return shape(views.last_bars(source(spark, sf_dir, "bw").bars, "MKT", 30), ("close", "volume"), keys=("date",))
+    return shape(views.last_bars(source(spark, sf_dir, "bx").bars, "MKT", 30), ("close", "volume"), keys=("date",))
 
 
 def last_dates_slice(spark, sf_dir):
@@ -754,9 +754,9 @@ def origin_diagnostics(spark, sf_dir):
 
 
 def new_entities(spark, sf_dir):
-    """Nations of customers whose country has no supplier in the lower half of the key range, counted by nation."""
+    """Customers that have no finished order yet, counted by nation."""
     ref = table(spark, sf_dir, "customer").select(col("c_custkey").alias("entity"), col("c_nationkey").alias("nation"))
-    known = table(spark, sf_dir, "orders").select(col("o_custkey").alias("entity"))
+    known = table(spark, sf_dir, "orders").where(col("o_orderstatus") == "F").select(col("o_custkey").alias("entity"))
     return views.new_entities(ref, known, "nation")
 
 
@@ -768,23 +768,57 @@ def primary_assignment(spark, sf_dir):
 
 
 def tags_for(spark, sf_dir):
-    return themes.tags_for(source(spark, sf_dir, "bw").members).select("entity", F.array_join("tags", "|").alias("tags"))
+    return themes.tags_for(source(spark, sf_dir, "bx").members).select("entity", F.array_join("tags", "|").alias("tags"))
 
 
 def universe_nested(spark, sf_dir):
-    """Region -> nation -> suppliers as nested maps, flattened back to long membership."""
+    """Nested maps (region -> nation -> suppliers), one row for each declared supplier, flattened to long membership."""
     m = source(spark, sf_dir, "sm").members.where("is_primary")
-    inner = m.groupBy("category", "basket").agg(F.collect_list("entity").alias("e"))
-    nested = inner.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("basket", "e"))).alias("b"))
-    one = nested.select(F.create_map("category", "b").alias("universe"))
+    one = m.select(F.create_map("category", F.create_map("basket", F.array("entity"))).alias("universe"))
     return themes.nested_universe(one)
 
 
+def membership_queries(spark, sf_dir):
+    """Answers of the membership queries on the brand groups, one row each: what was asked, key, value."""
+    m = source(spark, sf_dir, "bx").members
+    row = lambda df, what, key, value: df.select(F.lit(what).alias("what"), key.alias("key"), value.alias("value"))
+    empty = F.lit("")
+    parts = [
+        row(themes.all_entities(m), "entity", col("entity"), empty), row(themes.baskets_by_type(m, "TAG"), "tag_basket", col("basket"), empty),
+        row(themes.constituents(m, "G1"), "constituent_G1", col("entity"), empty), row(themes.tagged(m, "T2"), "tagged_T2", col("entity"), empty),
+        row(themes.primary_basket(m), "primary", col("entity"), col("basket")), row(themes.basket_kinds(m), "category", col("basket"), col("category")),
+        row(themes.basket_kinds(m), "type", col("basket"), col("basket_type"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def union_universe(spark, sf_dir):
+    """Brands of three groups as the known universe, all tagged brands as the other one."""
+    m = source(spark, sf_dir, "bx").members
+    return themes.combined_universe(m.where(col("is_primary") & col("basket").isin("G0", "G1", "G2")), m.where(~col("is_primary")))
+
+
+def run_validation(spark, sf_dir):
+    s = source(spark, sf_dir, "bx")
+    x = reliability.run_validation(scored_panel(spark, sf_dir), s.members, theme_panel(spark, sf_dir), config.STATES)
+    return x.select("name", rnd(col("observed")).alias("observed"), "passed")
+
+
+def label_translation(spark, sf_dir):
+    """Display names of states and tiers, and the internal names they translate back to."""
+    x = scored_panel(spark, sf_dir).select("primary_state", "leadership_tier").distinct()
+    x = x.withColumns({"state_display": cascades.display_state(col("primary_state")), "tier_display": cascades.display_tier(col("leadership_tier"))})
+    return x.select("state_display", "tier_display", cascades.internal_state(col("state_display")).alias("state"),
+                    F.when(col("leadership_tier").isNotNull(), cascades.internal_tier(col("tier_display"))).alias("tier"))
+
+
 def sector_assignment(spark, sf_dir):
     """Part types as sectors of brands: group from the type map unless the brand already has one."""
     p = table(spark, sf_dir, "part").groupBy(col("p_brand").alias("entity")).agg(F.min("p_type").alias("sector"))
     smap = table(spark, sf_dir, "part").select(col("p_type").alias("sector")).distinct().withColumn("basket", F.concat(F.lit("SEC_"), "sector"))
-    have = source(spark, sf_dir, "bw").members.where(col("is_primary") & col("basket").isin("G0", "G1"))
+    have = source(spark, sf_dir, "bx").members.where(col("is_primary") & col("basket").isin("G0", "G1"))
     return themes.sector_assignment(p, smap, have)
 
 
@@ -799,11 +833,93 @@ def canonical_constituents(spark, sf_dir):
 
 
 def combine_sources(spark, sf_dir):
+    """Bars of purchases, which only some user days have, before the bars of all events (told apart by their sign)."""
     from panelwave.sources.readers import combine_bars
 
     b = no_bench(source(spark, sf_dir, "ud").bars)
-    even = b.where(F.dayofmonth("date") % 2 == 0)
-    return shape(combine_bars(even, b.withColumn("close", -col("close"))), ("close",))
+    bought = B.finish_bars(B.merge_bars(event_bars(spark, sf_dir).where("second"), ["entity", "date"]))
+    rest = b.withColumn("close", -col("close")).select(*bought.columns)
+    return shape(combine_bars(bought, rest), ("close",))
+
+
+# ---- stored tables ------------------------------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from panelwave.operators.sizing import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+SERVED = ("entity", "date", "score", "grade", "primary_state")
+
+
+def gate_filter(spark, sf_dir):
+    """User bars that pass the firewall under the overrides, and the benchmarks."""
+    s = source(spark, sf_dir, "ud")
+    report = quality.firewall(no_bench(s.bars), s.members, dq_overrides(spark, sf_dir), UD_LIMITS)
+    return shape(scoring.gate(s.bars, report, BENCHMARKS), ("close", "volume"))
+
+
+def overrides_roundtrip(spark, sf_dir):
+    """Firewall under overrides that were written as JSON and read back."""
+    from panelwave.sources.readers import read_overrides
+    from panelwave.sources.sinks import write_report
+
+    s, path = source(spark, sf_dir, "ud"), _folder(spark, "overrides")
+    write_report(dq_overrides(spark, sf_dir), path)
+    return _report_text(quality.firewall(no_bench(s.bars), s.members, read_overrides(spark, path), UD_LIMITS))
+
+
+def snapshot_roundtrip(spark, sf_dir):
+    """Latest-date slice archived under its date, then read back with a pruned scan."""
+    from panelwave.sources.readers import read_table
+    from panelwave.sources.sinks import write_snapshot
+
+    x, path = scored_panel(spark, sf_dir).select(*SERVED), _folder(spark, "snapshot")
+    write_snapshot(x, path)
+    y = read_table(spark, path, x.withColumn("snapshot_date", col("date")).schema, (*SERVED, "snapshot_date"))
+    return shape(y, ("score",), ("grade", "primary_state", day("snapshot_date")))
+
+
+def slim_latest(spark, sf_dir):
+    """Latest rows and a column subset in a zstd serving copy, read through the serving resolution."""
+    from panelwave.sources.readers import read_serving
+    from panelwave.sources.sinks import write_slim
+
+    x, path = scored_panel(spark, sf_dir), _folder(spark, "slim")
+    write_slim(x, f"{path}/slim", SERVED, latest_only=True)
+    return shape(read_serving(spark, f"{path}/slim", f"{path}/full", x.select(*SERVED).schema), ("score",), ("grade", "primary_state"))
+
+
+def serving_resolution(spark, sf_dir):
+    """No slim copy: the full history is served; an absent table reads as empty and adds nothing."""
+    from panelwave.sources.readers import read_serving, read_table
+    from panelwave.sources.sinks import write_if_any, write_table
+
+    x, path = scored_panel(spark, sf_dir).select(*SERVED), _folder(spark, "full")
+    write_table(x, f"{path}/full", partition_by=("grade",))
+    write_if_any(x.where(F.lit(False)), f"{path}/full")  # an empty pull keeps what is there
+    y = read_serving(spark, f"{path}/slim", f"{path}/full", x.schema)
+    return shape(y.unionByName(read_table(spark, f"{path}/none", x.schema)), ("score",), ("grade", "primary_state"))
+
+
+def report_roundtrip(spark, sf_dir):
+    """Label distribution as a JSON report, read back."""
+    from panelwave.sources.readers import read_report
+    from panelwave.sources.sinks import write_report
+
+    x, path = label_distribution(spark, sf_dir), _folder(spark, "report")
+    write_report(x, path)
+    return read_report(spark, path, x.schema)
+
+
+def exclude_sector(spark, sf_dir):
+    """Constituents outside one sector; an unknown sector stays."""
+    from panelwave.sources.readers import exclude_sector as without
+
+    return without(canonical_constituents(spark, sf_dir), "NATION_3").select("entity", "gics_sector")
 
 
 # ---- streaming ----------------------------------------------------------------------------------
@@ -822,12 +938,14 @@ def _run_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def stream_bars(spark, sf_dir):
-    """Daily user bars from the event stream; the newest days stay open behind the watermark."""
+    """Daily user bars from the event stream; days still open behind the watermark come from the batch operator."""
+    from panelwave.streaming.bars import finish_bars
     from panelwave.streaming.bars import stream_bars as sb
 
     ev = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    x = sb(ev, col("user_id").cast("string"), "ts", col("value"), F.lit(1.0), F.struct("ts", "event_id"))
-    return shape(_run_stream(x, spark), ("open", "high", "low", "close", "volume"))
+    args = (col("user_id").cast("string"), "ts", col("value"), F.lit(1.0), F.struct("ts", "event_id"))
+    x = finish_bars(_run_stream(sb(ev, *args), spark), table(spark, sf_dir, "events"), *args)
+    return shape(x, ("open", "high", "low", "close", "volume"))
 
 
 def stream_indicators(spark, sf_dir):
@@ -837,7 +955,7 @@ def stream_indicators(spark, sf_dir):
     from panelwave.operators.sizing import ensure_checkpoint_dir
     from panelwave.streaming.indicators import stream_indicators as si
 
-    bars = no_bench(source(spark, sf_dir, "bw").bars).select("entity", "date", "high", "low", "close")
+    bars = no_bench(source(spark, sf_dir, "bx").bars).select("entity", "date", "high", "low", "close")
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/bars-{uuid.uuid4().hex}"
     bars.write.parquet(path)
@@ -847,7 +965,7 @@ def stream_indicators(spark, sf_dir):
 
 
 DIRECT: dict[str, Query] = {
-    "bars_supplier_month": _bars("sm"), "bars_weekly": _bars("bw"), "bars_user_day": _bars("ud"),
+    "bars_supplier_month": _bars("sm"), "bars_weekly": _bars("bw"), "bars_five_day": _bars("bx"), "bars_user_day": _bars("ud"),
     "densify_panel": densify_panel, "wide_long_roundtrip": wide_long_roundtrip,
     "roll_mean_std": _dense_layer("bd", mean_50=lambda w: w.mean(col("close"), 50, 20), std_20=lambda w: w.std(col("close"), 20, 10),
                                   mean_20=lambda w: w.mean(col("close"), 20)),
@@ -884,6 +1002,9 @@ DIRECT: dict[str, Query] = {
     "run_meta": run_meta, "value_ties": value_ties, "run_comparison": run_comparison, "label_migration": label_migration, "migration_report": migration_report,
     "origin_diagnostics": origin_diagnostics, "new_entities": new_entities, "primary_assignment": primary_assignment, "tags_for": tags_for,
     "universe_nested": universe_nested, "sector_assignment": sector_assignment, "canonical_constituents": canonical_constituents,
+    "membership_queries": membership_queries, "union_universe": union_universe, "run_validation": run_validation, "label_translation": label_translation,
+    "gate_filter": gate_filter, "overrides_roundtrip": overrides_roundtrip, "snapshot_roundtrip": snapshot_roundtrip, "slim_latest": slim_latest,
+    "serving_resolution": serving_resolution, "report_roundtrip": report_roundtrip, "exclude_sector": exclude_sector,
     "combine_sources": combine_sources, "stream_bars": stream_bars, "stream_indicators": stream_indicators,
 }
 

@@ -16,3 +16,9 @@ def stream_bars(events: DataFrame, entity: Column, ts: str, price: Column, size:
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
         F.max_by("_p", "_o").alias("close"), F.sum("_v").alias("volume"))
     return g.select("entity", F.col("window.start").cast("date").alias("date"), "open", "high", "low", "close", "volume")
+
+
+def finish_bars(emitted: DataFrame, events: DataFrame, *args, **kwargs) -> DataFrame:
+    """Bars a drained stream has emitted, and from the batch operator those of windows it still held open."""
+    rest = stream_bars(events, *args, **kwargs).join(emitted.select("entity", "date"), ["entity", "date"], "left_anti")
+    return emitted.unionByName(rest)

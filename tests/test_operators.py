@@ -160,6 +160,22 @@ def test_ranks_and_quantiles_both_plans(tied, bound):
         assert abs(top[g] - x.nlargest(7).sum() / x.sum()) < 1e-12
 
 
+def test_both_plans_agree_on_odd_keys_and_values(spark):
+    """Null group keys are a group like others; NaN, infinities and both zeros rank alike in both plans."""
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, None, 1.5, 1.5, -2.0, 7.0]
+    rows = [(g, h, f"e{g}{h}{i}", odd[i % len(odd)] if i < 30 else float(i % 11)) for g in ("a", None) for h in (1, None) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, h int, entity string, x double").repartition(3)
+    by, one = ["g", "h"], xs.Bound(5000, 10)
+    sized = df.withColumn("size", F.lit(90))
+    for call in (
+        lambda b: xs.pct_rank(df, by, {"r": "x"}, b), lambda b: xs.group_rank(sized, by, "x", "size", "r", "p", bound=b),
+        lambda b: xs.winsorize(df.where(~F.isnan("x")), by, {"r": "x"}, 0.2, 0.8, b), lambda b: xs.top_share(df.where("x between -9 and 9"), by, "x", {"s": F.lit(5)}, b),
+        lambda b: xs.group_quantiles(df.where("x between -9 and 9"), by, {"q": ("x", 0.3)}, b),
+    ):
+        got, want = (sorted(map(str, call(b).collect())) for b in (xs.Bound(), one))
+        assert got == want and len(got) > 3
+
+
 def test_robust_z_fallbacks(tied):
     df, pdf = tied
     got = xs.robust_z(df, ["g"], {"z": "x"}, xs.Bound(5000, 10)).toPandas()
