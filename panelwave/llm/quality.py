@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwave.llm.hashed import Bags, bags, document_means, joined, train_documents
-from panelwave.llm.textvec import ALNUM, NOT_SPACE, Texts, annotate, counts_by, mix, slices
-from panelwave.operators.sizing import materialize
+from panelwave.llm.textvec import ALNUM, NOT_SPACE, Texts, annotate, counts_by, sample_texts, slices
 
 #: most texts the scorer is fitted to, and the most bytes of them that reach the driver at once
 MAX_TRAIN = 8_000
@@ -161,10 +160,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train:
         chance = np.full((len(LABELLERS), 2, 3), 1 / 3)
         return Scorer(LabelModel(0.5, chance), np.zeros(1 << 18), np.zeros(k + 1), np.zeros(k), np.ones(k))
     labels = fit_labels(v, count[order])
-    mean = docs.agg(F.avg(F.octet_length(text))).head()[0] or 1.0
-    keep = max(1, min(max_train, int(max_bytes / max(mean, 1.0))))
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i"), F.xxhash64("t")).limit(keep)
-    sample = rows.select("t").toArrow().combine_chunks().to_batches()[0]
+    sample = sample_texts(docs, doc_id, text, max_train, max_bytes)
 
     def pieces() -> Iterator[tuple[Bags, np.ndarray]]:
         for p in slices(sample, "t", FIT_SLICE_BYTES):

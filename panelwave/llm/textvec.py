@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelwave.operators.sizing import ship_package
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(BASE, -1, 1 << 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -120,6 +121,22 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     yield batch.slice(start, n - start)
 
 
+def sample_texts(docs: DataFrame, doc_id: str, text: str, most: int, max_bytes: int) -> pa.RecordBatch:
+    """At most so many distinct (id, text) rows, those with the smallest hashes of their ids, as one column t.
+
+    Keys are chosen on narrow rows, texts are fetched for the chosen ones only; both bounds are on what reaches the
+    driver. Repeated rows count once.
+    """
+    keyed = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    mean = keyed.agg(F.avg(F.octet_length("t"))).head()[0] or 1.0
+    keep = max(1, min(most, int(max_bytes / max(mean, 1.0))))
+    chosen = keyed.select("i", "h").distinct().orderBy(F.xxhash64("i"), "i", "h").limit(keep).select(
+        F.col("i").alias("ci"), F.col("h").alias("ch"))  # at most keep narrow rows
+    rows = keyed.join(F.broadcast(chosen), F.col("i").eqNullSafe(F.col("ci")) & (F.col("h") == F.col("ch")))
+    one = rows.groupBy("i", "h").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i", "h").select("t")
+    return one.toArrow().combine_chunks().to_batches()[0]
+
+
 def annotate(
     docs: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], result: T.StructType, carry: Sequence[str],
     text: str = "text", inputs: Sequence[str] = (), limit: int = SLICE_BYTES,

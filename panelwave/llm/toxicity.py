@@ -48,7 +48,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     named = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("y is not null")
     named = named.filter(fold(F.col("i")) != 0).groupBy("i").agg(F.max("y").alias("y"))
     chosen = named.orderBy(F.xxhash64("i"), "i").limit(max_train)
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(chosen, "i")
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(chosen, "i").groupBy("i", "y").agg(
+        F.min("t").alias("t"))  # rows that share an id count once, so no more rows than ids
     mean = rows.agg(F.avg(F.octet_length("t"))).head()[0] or 1.0
     keep = max(1, min(max_train, int(max_bytes / max(mean, 1.0))))
     got = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(keep).select("t", "y").toArrow().combine_chunks()
