@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from panelwave.llm.textvec import annotate
 
 MARK = "▁"
-#: words kept per worker between slices; beyond that the table starts anew
-KEPT_WORDS = 400_000
+#: words kept during a task and judged pairs of pieces kept by a worker; beyond these numbers a table starts anew
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 
@@ -107,13 +108,13 @@ class Encoder:
     such path, and it is the segmentation that merging the whole prefix gives.
     """
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, beside: dict[int, bool] | None = None, alone: dict[int, bool] | None = None):
         self.model = model
         self.table: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.begin = np.zeros(1, np.int64)
-        self.beside: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.beside = {} if beside is None else beside
+        self.alone = {} if alone is None else alone
         known = "".join(re.escape(c) for c in model.number if len(c) == 1 and c != MARK)
         # a character that is no piece never joins another, so it is a word of its own
         self.find = re.compile(f"{MARK}+[{known}]*|[{known}]+|[^{known}{MARK}]" if known else f"{MARK}+|[^{MARK}]", re.S).findall
@@ -181,7 +182,8 @@ class Encoder:
         """Encode words that are not in the table yet."""
         if len(self.table) > KEPT_WORDS:
             self.table, self.flat, self.begin = {}, self.flat[:0], self.begin[:1]
-            self.beside = self.beside if len(self.beside) < 8 * KEPT_WORDS else {}
+        if len(self.beside) > KEPT_PAIRS:
+            self.beside.clear()
         model = self.model
         advance = self.advance_bpe if model.algorithm == BPE else self.advance_unigram
         states: list = [(0, -1, 0.0)]
@@ -250,15 +252,15 @@ def decode(model: Model, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     return bounds, data.tobytes()
 
 
-_encoders: dict[int, Encoder] = {}
+_pairs: dict[int, tuple[dict[int, bool], dict[int, bool]]] = {}  # by broadcast, of the one model in use
 
 
 def encode(docs: DataFrame, model_path: str, carry: Sequence[str] = ("doc_id",), prefix: str = "",
            text: str = "text") -> DataFrame:
     """Carried columns with ids (piece numbers), n_pieces and round_trip (decoding the ids gives the text back).
 
-    The ids are those of the library's own encoder. The model (a vocabulary of fixed size) is broadcast; a worker keeps
-    the words it has met, up to a bound, so repeated words cost one look-up. Null or empty text: no pieces,
+    The ids are those of the library's own encoder. The model (a vocabulary of fixed size) is broadcast; a task keeps the
+    words it has met, up to a bound, so repeated words cost one look-up. Null or empty text: no pieces,
     round_trip true. A text that holds the mark (U+2581) itself comes back with a space there, as from the library. A carried column named like a result column is dropped; no shuffle.
     """
     model = load(model_path)
@@ -268,12 +270,16 @@ def encode(docs: DataFrame, model_path: str, carry: Sequence[str] = ("doc_id",),
         T.StructField(prefix + "round_trip", T.BooleanType()),
     ])
 
+    held: list[Encoder] = []  # every task unpickles its own, so a word table ends with its task
+
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = shared.value
-        encoder = _encoders.get(id(m))
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[id(m)] = Encoder(m)
+        if not held:
+            if id(m) not in _pairs:
+                _pairs.clear()
+                _pairs[id(m)] = {}, {}
+            held.append(Encoder(m, *_pairs[id(m)]))
+        encoder = held[0]
         column = batch.column(batch.schema.get_field_index(text))
         texts = column.to_pylist()
         offsets, ids = encoder.encode(texts)
