@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelwave.llm import decontaminate as decon
 from panelwave.llm import minhash, pieces, suffixdedup, toxicity
-from panelwave.llm.textvec import annotate
 from panelwave.operators.sizing import materialize
 
 
@@ -31,16 +28,8 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated strings; characters that a cut goes through go too, as do texts of which nothing is left."""
     found = suffixdedup.remove_repeats(docs, carry=docs.columns, prefix="__rep_")
-    schema = T.StructType([T.StructField("__left", T.StringType())])
-
-    def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        kept = batch.column(batch.schema.get_field_index("__rep_kept")).to_pylist()
-        return {"__left": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())}
-
-    rest = [c for c in found.columns if c in docs.columns or c == "__rep_n_removed"]
-    rows = annotate(found, fn, schema, rest, text="__rep_kept")
     changed = F.col("__rep_n_removed") > 0
-    rows = rows.withColumn("text", F.when(changed, F.col("__left")).otherwise(F.col("text")))
+    rows = found.withColumn("text", F.when(changed, F.col("__rep_left")).otherwise(F.col("text")))
     rows = rows.filter(~changed | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(

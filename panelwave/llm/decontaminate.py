@@ -17,7 +17,7 @@ from panelwave.llm.textvec import ALNUM, Texts, annotate, counts_by
 from panelwave.operators.sizing import materialize
 
 WINDOW_WORDS = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 #: a larger benchmark is broadcast in parts of about this many bytes, one pass over the documents for each
 PART_BYTES = 32 << 20
 

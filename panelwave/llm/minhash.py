@@ -77,6 +77,16 @@ def shingle_sets(texts: Texts) -> Sets:
     return Sets(shingles, begin, sequence, texts.n)
 
 
+def unpacked_sets(bodies: list[bytes], at_once: int = 32) -> list[np.ndarray]:
+    """Distinct shingles of compressed texts, a few texts at a time."""
+    inflate = zstandard.ZstdDecompressor().decompress
+    out: list[np.ndarray] = []
+    for k in range(0, len(bodies), at_once):
+        sets = shingle_sets(Texts(pa.array([inflate(x) for x in bodies[k : k + at_once]], pa.binary())))
+        out += [sets.distinct(i) for i in range(sets.n)]
+    return out
+
+
 def minima(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """(texts that have shingles, their minima: one row for each hash function)."""
     some = np.flatnonzero(np.diff(sets.begin))
@@ -170,18 +180,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THR
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                piece = batch.slice(i, 128)
                 a, b = (piece.column(piece.schema.get_field_index(c)).to_numpy().tolist() for c in "ab")
                 found: dict[int, np.ndarray] = {}
                 for keys, name in ((a, "body_a"), (b, "body_b")):
                     column = piece.column(piece.schema.get_field_index(name))
                     fresh = [j for j, k in enumerate(keys) if k not in found and found.setdefault(k, None) is None]
-                    sets = shingle_sets(Texts(pa.array([open_(column[j].as_py()) for j in fresh], pa.binary())))
-                    for where, j in enumerate(fresh):
-                        found[keys[j]] = sets.distinct(where)
+                    for j, own in zip(fresh, unpacked_sets([column[j].as_py() for j in fresh])):
+                        found[keys[j]] = own
                 good = []
                 for x, y in zip(a, b):
                     s, t = found[x], found[y]
@@ -268,11 +276,9 @@ def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
         for table in _by_block(batches):
             seq, label = table.column("seq").to_numpy(), table.column("label").to_numpy()
-            sets = shingle_sets(Texts(pa.array([open_(x) for x in table.column("body").to_pylist()], pa.binary())))
-            own = [sets.distinct(k) for k in range(sets.n)]
+            own = unpacked_sets(table.column("body").to_pylist())
             linked: set[tuple[int, int]] = set()
             out = []
             for a, b in _likely(table):
