@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +16,7 @@ from panelwave.llm.textvec import Texts, annotate, slices
 
 #: most labelled texts that the model is fitted to, and the most bytes of them that reach the driver at once
 MAX_TRAIN = 12_000
-MAX_TRAIN_BYTES = 64 << 20
+MAX_TRAIN_BYTES = 32 << 20
 FIT_SLICE_BYTES = 1 << 20
 
 SPAN = T.StructType([
@@ -52,13 +51,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         F.min("t").alias("t"))  # rows that share an id count once, so no more rows than ids
     mean = rows.agg(F.avg(F.octet_length("t"))).head()[0] or 1.0
     keep = max(1, min(max_train, int(max_bytes / max(mean, 1.0))))
-    got = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(keep).select("t", "y").toArrow().combine_chunks()
-    seen: set[str] = set()
-    fresh = [x not in seen and not seen.add(x) for x in pc.fill_null(got["t"], "").to_pylist()] if got.num_rows else []
-    if not fresh:
+    got = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(keep).select("t", "y", F.xxhash64("t").alias("h")).toArrow()
+    if not got.num_rows:
         return SentenceModel(np.zeros(1 << 18), -8.0)
-    sample = got.filter(pa.array(fresh)).combine_chunks().to_batches()[0]
-    del got, seen
+    fresh = np.sort(np.unique(got["h"].to_numpy(), return_index=True)[1])  # equal texts count once
+    sample = got.select(["t", "y"]).take(pa.array(fresh)).combine_chunks().to_batches()[0]
+    del got
 
     def pieces() -> Iterator[tuple[Bags, np.ndarray]]:  # small slices twice rather than all features at once
         for p in slices(sample, "t", FIT_SLICE_BYTES):
