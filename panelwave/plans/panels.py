@@ -35,7 +35,7 @@ def adjustment(date: Column) -> Column:
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def line_bars(spark: SparkSession, sf_dir: str, by: str, freq: str) -> DataFrame:
+def line_bars(spark: SparkSession, sf_dir: str, by: str, freq: str, damped: bool = False) -> DataFrame:
     """Bars per (entity, date, flag) from line items; by = supplier or brand."""
     li = table(spark, sf_dir, "lineitem")
     if by == "supplier":
@@ -47,7 +47,7 @@ def line_bars(spark: SparkSession, sf_dir: str, by: str, freq: str) -> DataFrame
         "date": _period(F.col("l_shipdate"), freq), "second": F.col("l_returnflag") == "R",
     })
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    if freq == "5day":  # a tenth of the log moves: unit prices of parts jump by a third, which no index survives
+    if damped:  # a tenth of the log moves: unit prices of parts jump by a third, which no index survives
         price = F.round(F.pow(price / 1000.0, F.lit(0.1)) * 100.0, 6)
     return B.trade_bars(rows, ["entity", "date", "second"], price, F.col("l_quantity"), F.struct(*LINE_ORDER))
 
@@ -73,7 +73,8 @@ def fine_bars(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
     build = {
         "sm": lambda: line_bars(spark, sf_dir, "supplier", "month"),
         "bw": lambda: line_bars(spark, sf_dir, "brand", "week"),
-        "bx": lambda: line_bars(spark, sf_dir, "brand", "5day"),
+        "bx": lambda: line_bars(spark, sf_dir, "brand", "5day", damped=True),
+        "bc": lambda: line_bars(spark, sf_dir, "brand", "day", damped=True),
         "bd": lambda: line_bars(spark, sf_dir, "brand", "day"),
         "ud": lambda: event_bars(spark, sf_dir),
     }
@@ -114,6 +115,9 @@ def with_groups(bars: DataFrame, members: DataFrame) -> DataFrame:
     return bars.join(small_side(sized), "entity")
 
 
+CARRIED = ("bx", "bc")
+
+
 class PanelSource:
     """One panel over the given tables: bars, calendar, membership and the dense grid, each built once."""
 
@@ -123,7 +127,7 @@ class PanelSource:
         fine = materialize(fine_bars(spark, sf_dir, panel))
         self.members = membership(spark, sf_dir, panel)
         bars = with_groups(entity_bars(fine), self.members)
-        if panel == "bx":  # the panel that features and scores are built on: no gaps, adjusted closes of its own
+        if panel in CARRIED:  # panels that features and scores are built on: no gaps, adjusted closes of their own
             bars = materialize(bars)
             mkt, second = (bars.where(F.col("entity") == b) for b in BENCHMARKS)
             bars = B.carry_bars(bars, materialize(B.calendar(mkt, second)), ("grp", "grp_size"))

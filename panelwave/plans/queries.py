@@ -43,36 +43,37 @@ def source(spark: SparkSession, sf_dir: str, panel: str) -> PanelSource:
     return _once(spark, sf_dir, f"source_{panel}", lambda: PanelSource(spark, sf_dir, panel))
 
 
-def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """108-column feature panel of the brands' five-day bars."""
-    s = source(spark, sf_dir, "bx")
-    return _once(spark, sf_dir, "features", lambda: scoring.feature_stage(s.dense(), BENCHMARKS, s.bound))
+def feature_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
+    """108-column feature panel, by default of the brands' five-day bars."""
+    s = source(spark, sf_dir, panel)
+    return _once(spark, sf_dir, f"features_{panel}", lambda: scoring.feature_stage(s.dense(), BENCHMARKS, s.bound))
 
 
-def z_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bx")
-    return _once(spark, sf_dir, "z", lambda: materialize(standardize(feature_panel(spark, sf_dir), bound=s.bound)))
+def z_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
+    s = source(spark, sf_dir, panel)
+    return _once(spark, sf_dir, f"z_{panel}", lambda: materialize(standardize(feature_panel(spark, sf_dir, panel), bound=s.bound)))
 
 
-def component_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bx")
-    return _once(spark, sf_dir, "components", lambda: materialize(components(z_panel(spark, sf_dir), s.bound, demand=True)))
+def component_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
+    s = source(spark, sf_dir, panel)
+    return _once(spark, sf_dir, f"components_{panel}", lambda: materialize(
+        components(z_panel(spark, sf_dir, panel), s.bound, demand=True)))
 
 
-def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bx")
+def scored_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
+    s = source(spark, sf_dir, panel)
 
     def build() -> DataFrame:
-        df = score(state(component_panel(spark, sf_dir)), s.bound)
+        df = score(state(component_panel(spark, sf_dir, panel)), s.bound)
         return materialize(cascades.setups(cascades.leadership(df), s.bound, every_match=True))
 
-    return _once(spark, sf_dir, "scored", build)
+    return _once(spark, sf_dir, f"scored_{panel}", build)
 
 
-def theme_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "bx")
-    return _once(spark, sf_dir, "themes", lambda: materialize(
-        scoring.theme_stage(scored_panel(spark, sf_dir), s.bars, s.members, "MKT", s.bound)))
+def theme_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
+    s = source(spark, sf_dir, panel)
+    return _once(spark, sf_dir, f"themes_{panel}", lambda: materialize(
+        scoring.theme_stage(scored_panel(spark, sf_dir, panel), s.bars, s.members, "MKT", s.bound)))
 
 
 # ---- output helpers -----------------------------------------------------------------------------
@@ -608,6 +609,90 @@ def ridge_consensus(spark, sf_dir):
     return evaluate.ridge_consensus(_ridge(spark, sf_dir)[2], RIDGE_COLS)
 
 
+# ---- full evaluation: composite, components and every numeric feature on the brands' carried daily bars ----
+FULL_SCORES = {"composite": ("score",), "component": config.COMPONENTS, "feature": tuple(Z_NAMES)}
+FULL_WINDOWS = (252, 21, 21)
+FULL_PANEL = "bc"
+RIDGE_HORIZON = 126
+
+
+def _full_ic(spark, sf_dir) -> tuple[DataFrame, PanelSource]:
+    s = source(spark, sf_dir, FULL_PANEL)
+    return _once(spark, sf_dir, "full_ic", lambda: materialize(evaluate.rank_ic_wide(
+        scored_panel(spark, sf_dir, FULL_PANEL), FULL_SCORES, no_bench(s.bars), config.OOS_HORIZONS, bound=s.bound))), s
+
+
+def _full_window_ic(spark, sf_dir) -> DataFrame:
+    ic, s = _full_ic(spark, sf_dir)
+    return _once(spark, sf_dir, "full_window_ic", lambda: materialize(
+        evaluate.window_ic(ic, evaluate.window_members(s.calendar, *FULL_WINDOWS))))
+
+
+def full_ic_per_date(spark, sf_dir):
+    return _full_ic(spark, sf_dir)[0].select(day(), "horizon", "score_type", "score_name", "n", rnd(col("ic")).alias("ic"))
+
+
+def full_ic_summary(spark, sf_dir):
+    by = ("score_type", "score_name", "horizon")
+    x = evaluate.ic_summary(_full_ic(spark, sf_dir)[0], by)
+    return x.select(*by, "n_dates", *[rnd(col(c)).alias(c) for c in ("ic_mean", "ic_median", "ic_std", "ic_t_stat", "hit_rate")])
+
+
+def full_rolling_ic(spark, sf_dir):
+    by = ("score_type", "score_name", "horizon")
+    return evaluate.rolling_ic(_full_ic(spark, sf_dir)[0], by=by).select(*by, day(), rnd(col("rolling_ic")).alias("rolling_ic"))
+
+
+def full_walk_forward_ic(spark, sf_dir):
+    return _full_window_ic(spark, sf_dir).select("score_type", "score_name", "horizon", "window_idx", "n_train_dates", "n_test_dates",
+                                                 rnd(col("is_ic")).alias("is_ic"), rnd(col("oos_ic")).alias("oos_ic"))
+
+
+def full_oos_summary(spark, sf_dir):
+    x = evaluate.oos_summary(_full_window_ic(spark, sf_dir))
+    return x.select("score_type", "score_name", "horizon", "n_windows", *[rnd(col(c)).alias(c) for c in OOS_NUMS])
+
+
+def full_oos_significance(spark, sf_dir):
+    return evaluate.oos_significance(_full_window_ic(spark, sf_dir))
+
+
+def full_feature_audit(spark, sf_dir):
+    x = evaluate.feature_classes(evaluate.horizon_tables(evaluate.oos_summary(_full_window_ic(spark, sf_dir))))
+    return x.select("score_name", "n_top", "n_bottom", "n_horizons", rnd(col("max_abs_oos_ic")).alias("max_abs_oos_ic"),
+                    rnd(col("mean_oos_ic")).alias("mean_oos_ic"), "universally_good", "horizon_specific", "noise_candidate", "sign_flip_candidate")
+
+
+def full_component_summary(spark, sf_dir):
+    x = evaluate.component_summary(evaluate.oos_summary(_full_window_ic(spark, sf_dir)))
+    return x.select("score_name", rnd(col("mean_oos_ic")).alias("mean_oos_ic"), "n_positive_horizons", "n_significant_positive", "n_significant_negative")
+
+
+def _full_ridge(spark, sf_dir):
+    s = source(spark, sf_dir, FULL_PANEL)
+
+    def build():
+        fwd = materialize(evaluate.forward_returns(no_bench(s.bars), config.OOS_HORIZONS))
+        rows = materialize(evaluate.ridge_training_rows(scored_panel(spark, sf_dir, FULL_PANEL), fwd, RIDGE_HORIZON, config.COMPONENTS))
+        members = materialize(evaluate.window_members(s.calendar, *FULL_WINDOWS))
+        return rows, members, materialize(evaluate.ridge_weights(rows, members, config.COMPONENTS)), fwd
+
+    return *_once(spark, sf_dir, "full_ridge", build), s
+
+
+def full_ridge_weights(spark, sf_dir):
+    return _full_ridge(spark, sf_dir)[2]
+
+
+def full_ridge_oos(spark, sf_dir):
+    rows, members, weights, fwd, s = _full_ridge(spark, sf_dir)
+    return evaluate.ridge_oos(rows, members, weights, fwd, config.COMPONENTS, bound=s.bound)
+
+
+def full_ridge_consensus(spark, sf_dir):
+    return evaluate.ridge_consensus(_full_ridge(spark, sf_dir)[2], config.COMPONENTS)
+
+
 # ---- context and views --------------------------------------------------------------------------
 def _bench(spark, sf_dir, panel="bx") -> DataFrame:
     return source(spark, sf_dir, panel).bars.where(col("entity") == "MKT")
@@ -994,6 +1079,10 @@ DIRECT: dict[str, Query] = {
     "walk_forward_windows": walk_forward_windows, "walk_forward_ic": walk_forward_ic, "oos_summary": oos_summary, "oos_significance": oos_significance,
     "feature_audit": feature_audit, "component_summary": component_summary, "horizon_audit": horizon_audit,
     "ridge_weights": ridge_weights, "ridge_oos": ridge_oos, "ridge_consensus": ridge_consensus,
+    "full_ic_per_date": full_ic_per_date, "full_ic_summary": full_ic_summary, "full_rolling_ic": full_rolling_ic,
+    "full_walk_forward_ic": full_walk_forward_ic, "full_oos_summary": full_oos_summary, "full_oos_significance": full_oos_significance,
+    "full_feature_audit": full_feature_audit, "full_component_summary": full_component_summary,
+    "full_ridge_weights": full_ridge_weights, "full_ridge_oos": full_ridge_oos, "full_ridge_consensus": full_ridge_consensus,
     "vol_regime": vol_regime, "drawdown_regime": drawdown_regime, "dvol_quintile": dvol_quintile, "snapshot_view": snapshot_view,
     "gainers": _movers(True), "losers": _movers(False), "grade_moves": grade_moves, "contributions": contributions,
     "grade_threshold_history": grade_threshold_history, "threshold_alignment": threshold_alignment, "peers": peers, "top_by_group": top_by_group,
