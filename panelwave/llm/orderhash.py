@@ -1,10 +1,12 @@
 """Order MinHash fingerprints with built-in functions only.
 
 A text is its sequence of pieces (what stands between white space, cut after PIECE characters), a k-mer is GRAM pieces
-in a row. Each k-mer is numbered by its occurrence in the text, hashed together with that number, and dealt to one of
-SLOTS * DRAWN bins by its hash; the smallest hash of a bin is drawn. The drawn k-mers of DRAWN neighbouring bins make a
-slot: put in the order in which they stand in the text and hashed as a tuple. So a slot agrees between two texts only
-where the same k-mers are drawn and stand in the same order, as edits of a text leave most of them and moves do not.
+in a row. Each k-mer is numbered by its occurrence in the text and hashed together with that number. Each of SLOTS slots
+has an order of its own of all k-mers: first those whose hash deals them to the slot, by that hash, then all others by a
+hash seeded with the slot. The two smallest k-mers of the whole text are drawn, put in the order in which they stand in
+the text and hashed as a pair. So a slot agrees between two texts only where the same k-mers are drawn and stand in the
+same order, as edits of a text leave most of them and moves do not. Seeded hashes are made only for slots that fewer than
+two k-mers are dealt to, as in texts of a few hundred pieces; a single k-mer fills a slot only in texts that have no other.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 SLOTS = 64
-DRAWN = 2
+SLOT_BITS = 6
 PIECE = 16
 #: bits of a sorted key that hold a k-mer's place in the text; beyond 16.7 million pieces places count as equal
 PLACE_BITS = 24
@@ -40,42 +42,56 @@ def fingerprint(text: Column) -> Column:
         ).bitwiseOR(F.least(i, F.lit(_PLACES - 1)).cast("long")))
         return F.sort_array(grams)
 
-    def drawn(s: Column) -> Column:
-        """Sorted array of (bin, hash with occurrence number, place) in one long, the smallest of each bin."""
-        starts = F.filter(F.transform(s, lambda x, i: F.when(
-            (i == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(s, i - 1), PLACE_BITS)), i)), lambda i: i.isNotNull())
-        rest = 63 - PLACE_BITS - 7  # hash bits beside seven bits of bin
-        assert SLOTS * DRAWN == 1 << 7
+    assert SLOTS == 1 << SLOT_BITS
+    hash_bits = 63 - PLACE_BITS
+    place = lambda x: x.bitwiseAND(F.lit(_PLACES - 1).cast("long"))
+    own = lambda x: F.shiftright(x, PLACE_BITS)
+    slot = lambda x: F.shiftright(x, PLACE_BITS + hash_bits - SLOT_BITS).cast("int")
+
+    def packed(h: Column, at: Column) -> Column:
+        """Upper bits of the hash and the place, in one long that is not negative."""
+        return F.shiftleft(F.shiftrightunsigned(h, 1 + PLACE_BITS), PLACE_BITS).bitwiseOR(at)
 
-        def key(x: Column, occurrence: Column) -> Column:
-            h = F.xxhash64(F.shiftright(x, PLACE_BITS), occurrence)
-            return F.shiftrightunsigned(h, 1 + PLACE_BITS).bitwiseAND((1 << (7 + rest)) - 1).cast("long")
+    def keys(s: Column) -> Column:
+        """Sorted array of (hash with occurrence number, place) in one long; the slot is in the upper bits."""
+        starts = F.filter(F.transform(s, lambda x, i: F.when(
+            (i == 0) | (own(x) != own(F.get(s, i - 1))), i)), lambda i: i.isNotNull())
 
         def run(at: Column, j: Column, all_starts: Column) -> Column:
             stop = F.coalesce(F.get(all_starts, j + 1), F.size(s))
-            return F.transform(F.slice(s, at + 1, stop - at), lambda x, n: F.shiftleft(key(x, n), PLACE_BITS).bitwiseOR(
-                x.bitwiseAND(F.lit(_PLACES - 1).cast("long"))))
-
-        keys = _let(starts, lambda st: F.sort_array(F.flatten(F.transform(st, lambda at, j: run(at, j, st)))))
-        bin_ = lambda x: F.shiftright(x, PLACE_BITS + rest)
-        return _let(keys, lambda k: F.filter(k, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(k, i - 1)))))
-
-    def slots(d: Column) -> Column:
-        """One int for each slot: hash of its drawn k-mers in text order."""
-        rest = 63 - PLACE_BITS - 7
-        slot = lambda x: F.shiftright(x, PLACE_BITS + rest + 1).cast("int")  # noqa: E731  DRAWN is 2
-        place = lambda x: x.bitwiseAND(F.lit(_PLACES - 1).cast("long"))
-        own = lambda x: F.shiftright(x, PLACE_BITS)
-        made = F.transform(d, lambda x, i: F.when(
-            (i == 0) | (slot(x) != slot(F.get(d, i - 1))),
-            _let(F.get(d, i + 1), lambda y: F.struct(slot(x).alias("s"), F.when(
-                y.isNull() | (slot(y) != slot(x)), F.hash(own(x), F.lit(-1).cast("long"))
-            ).when(place(x) <= place(y), F.hash(own(x), own(y))).otherwise(F.hash(own(y), own(x))).alias("h")))))
-        pairs = F.map_from_entries(F.filter(made, lambda e: e.isNotNull()))
-        return _let(pairs, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(
-            F.when(m[i] == 0, 1).otherwise(m[i]), F.lit(0))))
-
-    return _let(_let(_let(pieces, numbered), drawn), slots)
+            return F.transform(F.slice(s, at + 1, stop - at), lambda x, n: packed(F.xxhash64(own(x), n), place(x)))
+
+        return _let(starts, lambda st: F.sort_array(F.flatten(F.transform(st, lambda at, j: run(at, j, st)))))
+
+    def pair(x: Column, y: Column) -> Column:
+        """Hash of two k-mers in text order, or of the only one."""
+        h = F.when(y.isNull(), F.hash(own(x), F.lit(-1).cast("long"))).when(
+            place(x) <= place(y), F.hash(own(x), own(y))).otherwise(F.hash(own(y), own(x)))
+        return F.when(h == 0, 1).otherwise(h)
+
+    def slots(k: Column) -> Column:
+        """One int for each slot."""
+        firsts = F.filter(F.transform(k, lambda x, i: F.when((i == 0) | (slot(x) != slot(F.get(k, i - 1))), F.struct(
+            slot(x).alias("s"), F.struct(x.alias("x"), F.when(slot(F.get(k, i + 1)) == slot(x), F.get(k, i + 1)).alias("y")).alias("d")))),
+            lambda e: e.isNotNull())
+
+        def seeded(i: Column) -> Column:
+            """All k-mers that are not dealt to slot i, in the slot's own order."""
+            return F.transform(k, lambda x: F.when(slot(x) != i, packed(F.xxhash64(own(x), i), place(x))))
+
+        def one(i: Column, d: Column) -> Column:
+            def fill(c: Column) -> Column:
+                least = F.array_min(c)
+                return F.when(d.isNotNull(), pair(d["x"], least)).otherwise(
+                    _let(least, lambda m: pair(m, F.array_min(F.filter(c, lambda v: v > m)))))
+
+            return F.when(d["y"].isNotNull(), pair(d["x"], d["y"])).otherwise(_let(seeded(i), fill))
+
+        made = _let(F.map_from_entries(firsts), lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: _let(m[i], lambda d: one(i, d))))
+        return F.when(F.size(k) == 0, F.array_repeat(F.lit(0), SLOTS)).otherwise(made)
+
+    return _let(_let(_let(pieces, numbered), keys), slots)
 
 
 def likeness(a: Column, b: Column) -> Column:

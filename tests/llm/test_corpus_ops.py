@@ -393,6 +393,39 @@ def test_order_matters(spark):
     assert same(p[0], p[3]) > 0.85 > same(p[0], p[2]) > same(p[0], p[1])  # swapping halves turns the order of many pairs
 
 
+def order_minhash_share(a, b, n_slots=1500):
+    """Share of equal slots of order MinHash by definition: the two smallest 3-mers of each slot's own order, in text order."""
+    def numbered(text):
+        words, seen, out = text.split(), {}, []
+        for i in range(len(words) - 2):
+            g = " ".join(words[i : i + 3])
+            seen[g] = seen.get(g, -1) + 1
+            out.append((g, seen[g]))
+        return out
+
+    x, y = numbered(a), numbered(b)
+    every = sorted(set(x) | set(y))
+    rng, equal = np.random.default_rng(5), 0
+    for _ in range(n_slots):
+        rank = dict(zip(every, rng.permutation(len(every)), strict=True))
+        u, v = (sorted(sorted(range(len(t)), key=lambda i: rank[t[i]])[:2]) for t in (x, y))  # noqa: B023
+        equal += [x[i] for i in u] == [y[i] for i in v]
+    return equal / n_slots
+
+
+@pytest.mark.parametrize("words", [20, 40, 100])
+def test_order_matters_in_short_texts(spark, words):
+    rng, got, wanted = random.Random(words), [], []
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(words)] for _ in range(24)]
+    swapped = [a[words // 2 :] + a[: words // 2] for a in texts]
+    p = fingerprints_by_hand(spark, [" ".join(x) for x in texts + swapped])
+    for k, (a, b) in enumerate(zip(texts, swapped, strict=True)):
+        got.append(np.mean([p[k][i : i + 8] == p[24 + k][i : i + 8] for i in range(0, 512, 8)]))
+        if k < 2:
+            wanted.append(order_minhash_share(" ".join(a), " ".join(b)))
+    assert abs(np.mean(got) - np.mean(wanted)) < 0.05
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(6)
