@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from panelwave.functions.expr import div, flag
 from panelwave.functions.rolling import TimeAxis
 from panelwave.operators import xsection as xs
 from panelwave.operators.score import state_weights
+from panelwave.operators.sizing import ship_package
 
 col = F.col
 MIN_NAMES = 20
@@ -52,11 +54,19 @@ def rank_ic(scores: DataFrame, fwd: DataFrame, keys: Sequence[str] = ("score_nam
 
 def rank_ic_wide(df: DataFrame, scores: Mapping[str, Sequence[str]], bars: DataFrame, horizons: Sequence[int],
                  min_names: int = MIN_NAMES, bound: xs.Bound = xs.Bound()) -> DataFrame:
-    """rank_ic of every (score, horizon) by (score_type, score_name): wide rows are joined once and unpivoted after."""
+    """rank_ic of every (score, horizon) by (score_type, score_name): wide rows are joined once.
+
+    Where the number of names of a date is proven, each date is one rank matrix (``rank_ic_matrix``); otherwise the rows
+    are unpivoted and ranked by the plan for groups of any size. Both are exact and give the same rows.
+    """
     fwd = forward_returns(bars, horizons, long=False)
-    wide = df.select("entity", "date", *[c for names in scores.values() for c in names]).join(fwd, ["entity", "date"])
-    items = [F.struct(F.lit(t).alias("score_type"), F.lit(c).alias("score_name"), col(c).cast("double").alias("value"))
-             for t, names in scores.items() for c in names]
+    names = [c for group in scores.values() for c in group]
+    wide = df.select("entity", "date", *[col(c).cast("double").alias(c) for c in names]).join(fwd, ["entity", "date"])
+    width = MATRIX_CELLS // bound.rows - len(horizons) if bound.rows else 0  # scores beside one another in a task
+    if width > 0:
+        return rank_ic_matrix(wide, scores, horizons, min_names, width)
+    items = [F.struct(F.lit(t).alias("score_type"), F.lit(c).alias("score_name"), col(c).alias("value"))
+             for t, group in scores.items() for c in group]
     ahead = [F.struct(F.lit(h).alias("horizon"), col(f"fwd_{h}").alias("fwd")) for h in horizons]
     pairs = wide.select("entity", "date", F.explode(F.array(*items)).alias("s"), F.array(*ahead).alias("f"))
     pairs = pairs.where(col("s.value").isNotNull()).select("entity", "date", "s.*", F.explode("f").alias("f"))
@@ -64,6 +74,87 @@ def rank_ic_wide(df: DataFrame, scores: Mapping[str, Sequence[str]], bars: DataF
     return _rank_ic(pairs, ("score_type", "score_name"), min_names, bound)
 
 
+#: doubles of one date's block of the names x scores matrix
+MATRIX_CELLS = 1 << 23
+
+
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """0-based average-tie ranks inside each column of a matrix without nulls."""
+    n = len(x)
+    order = np.argsort(x, axis=0, kind="stable")
+    ordered = np.take_along_axis(x, order, axis=0)
+    place = np.arange(n)[:, None]
+    new = np.ones(x.shape, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+    closes = np.ones(x.shape, bool)
+    closes[:-1] = new[1:]
+    last = np.minimum.accumulate(np.where(closes, place, n)[::-1], axis=0)[::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0, axis=0)
+    return out
+
+
+def matrix_ic(x: np.ndarray, y: np.ndarray, min_names: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, Spearman correlation) of every column of x with every column of y over complete rows.
+
+    Columns of x with one null pattern are ranked together, the y column once for each pattern, and their correlations
+    are one matrix product. NaN for too few pairs or a constant side.
+    """
+    have_x, have_y = ~np.isnan(x), ~np.isnan(y)
+    n = have_x.T.astype(np.int64) @ have_y.astype(np.int64)
+    ic = np.full(n.shape, np.nan)
+    _, pattern = np.unique(have_x, axis=1, return_inverse=True)
+    pattern = pattern.ravel()
+    for h in range(y.shape[1]):
+        for p in np.unique(pattern[n[:, h] >= min_names]):
+            columns = np.flatnonzero(pattern == p)
+            rows = have_x[:, columns[0]] & have_y[:, h]
+            a, b = average_ranks(x[rows][:, columns]), average_ranks(y[rows, h : h + 1])
+            k = len(a)
+            a, b = (a - a.mean(axis=0)) / k, (b - b.mean(axis=0)) / k
+            cov, sd = (b.T @ a)[0] / k, a.std(axis=0) * b.std(axis=0)
+            known = sd > 1e-12
+            ic[columns[known], h] = cov[known] / sd[known]
+    return n, ic
+
+
+def rank_ic_matrix(wide: DataFrame, scores: Mapping[str, Sequence[str]], horizons: Sequence[int], min_names: int = MIN_NAMES,
+                   width: int = 256) -> DataFrame:
+    """(date, horizon, score_type, score_name, n, ic) from rows (entity, date, scores..., fwd_<h>...): one exchange on date.
+
+    At most ``width`` scores of a date meet in one task: wider sets are cut into blocks of columns, each with the returns.
+    """
+    labels = [(t, c) for t, group in scores.items() for c in group]
+    ahead = [f"fwd_{h}" for h in horizons]
+    blocks = [labels[i : i + width] for i in range(0, len(labels), width)]
+    parts = F.array(*[F.struct(F.lit(i).alias("block"), F.array(*[col(c) for _, c in part]).alias("x")) for i, part in enumerate(blocks)])
+    rows = wide.select("date", F.array(*ahead).alias("y"), F.explode(parts).alias("b")).select("date", "y", "b.*")
+    out = T.StructType([
+        wide.schema["date"], T.StructField("horizon", T.IntegerType()), T.StructField("score_type", T.StringType()),
+        T.StructField("score_name", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ic", T.DoubleType())])
+    steps = np.array(horizons, np.int32)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        mine = blocks[group.column("block")[0].as_py()]
+
+        def matrix(name: str, columns: int) -> np.ndarray:
+            flat = pa.concat_arrays([c.flatten() for c in group.column(name).chunks])
+            return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, columns)
+
+        n, ic = matrix_ic(matrix("x", len(mine)), matrix("y", len(steps)), min_names)
+        some, h = np.nonzero(n)
+        kinds, names = (pa.array([label[k] for label in mine], pa.string()).take(pa.array(some)) for k in (0, 1))
+        value = ic[some, h]
+        date = pa.chunked_array([group.column("date").chunk(0)[:1]]).combine_chunks().take(pa.array(np.zeros(len(some), np.int64)))
+        return pa.table([date, pa.array(steps[h]), kinds, names, pa.array(n[some, h]), pa.array(value, mask=np.isnan(value))],
+                        names=out.fieldNames())
+
+    ship_package(wide.sparkSession)
+    return rows.groupBy("date", "block").applyInArrow(run, out)
+
+
 def _rank_ic(pairs: DataFrame, keys: Sequence[str], min_names: int, bound: xs.Bound) -> DataFrame:
     by = ["date", "horizon", *keys]
     ranked = xs.pct_rank(pairs, by, {"_a": "value", "_b": "fwd"}, bound)
@@ -145,47 +236,36 @@ def oos_summary(diag: DataFrame, keys: Sequence[str] = ("score_type", "score_nam
     return g.withColumns({"oos_ic_t_stat": t_stat(m, s, n), "is_minus_oos": col("is_ic_mean") - m})
 
 
-def _t_two_sided(t: float, df: int) -> float:
-    """Two-sided Student-t p-value through the regularised incomplete beta (continued fraction)."""
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    flip = x > (a + 1.0) / (a + b + 2.0)
-    if flip:
-        a, b, x = b, a, 1.0 - x
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            num = 1.0
-        elif i % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + num / (c if abs(c) > 1e-300 else 1e-300)
-        f *= c * d
-        if abs(1.0 - c * d) < 1e-14:
-            break
-    value = front * (f - 1.0)
-    return 1.0 - value if flip else value
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom.
 
+    With angle = atan(t / sqrt(df)) the distribution is a finite series in cos(angle): even df sum
+    sin * (1 + 1/2 cos^2 + 1*3/(2*4) cos^4 + ...), odd ones 2/pi * (angle + sin * (cos + 2/3 cos^3 + ...)).
+    """
+    df = df.cast("int")
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    sin, cos = F.sin(angle), F.cos(angle)
+    odd = F.pmod(df, F.lit(2)) == 1
+    first = F.when(odd, 1).otherwise(0)
 
-def oos_significance(diag: DataFrame, keys: Sequence[str] = ("score_type", "score_name", "horizon")) -> DataFrame:
-    """Out-of-sample summary with standard error and a two-sided Student-t p-value per row."""
-    @F.pandas_udf(T.DoubleType())
-    def p_value(t, n):  # one small row per score and horizon
-        import pandas as pd
+    def grown(acc: Column, k: Column) -> Column:
+        term = acc["term"] * cos * cos * k / (k + 1)
+        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
 
-        return pd.Series([None if a != a or b < 2 else _t_two_sided(abs(a), int(b) - 1) for a, b in zip(t, n, strict=True)],
-                         dtype="float64")
+    # factors k / (k + 1) with k = 1, 3, 5 ... (even df) or 2, 4, 6 ... (odd df), up to k + 1 = df - 2
+    steps = F.when(df > first + 3, F.sequence(first + 1, F.greatest(df - 3, first + 1), F.lit(2))).otherwise(
+        F.array().cast("array<int>"))
+    start = F.when(odd, cos).otherwise(F.lit(1.0))
+    series = F.aggregate(steps, F.struct(start.alias("total"), start.alias("term")), grown, lambda acc: acc["total"])
+    inside = F.when(odd, (angle + F.when(df > 1, sin * series).otherwise(0.0)) * (2.0 / math.pi)).otherwise(sin * series)
+    return F.when(t.isNotNull() & (df >= 1), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
 
+
+def oos_significance(diag: DataFrame, keys: Sequence[str] = ("score_type", "score_name", "horizon")) -> DataFrame:
+    """Out-of-sample summary with standard error and a two-sided Student-t p-value per row."""
     s = oos_summary(diag, keys)
     return s.withColumns({"oos_ic_se": col("oos_ic_std") / F.sqrt("n_windows"),
-                          "oos_p_value": p_value(col("oos_ic_t_stat"), col("n_windows"))})
+                          "oos_p_value": t_two_sided(col("oos_ic_t_stat"), col("n_windows") - 1)})
 
 
 def ic_gate(summary: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -295,58 +375,71 @@ def ridge_training_rows(scored: DataFrame, fwd: DataFrame, horizon: int, cols: S
     return z.withColumn("y", F.coalesce("_y", F.lit(0.0))).dropna(subset=list(cols)).drop("_y", "fwd")
 
 
+def solved(gram: Column, p: int) -> Column:
+    """Gauss-Jordan elimination of p rows [G | right sides] of a positive definite G: the right sides become the solutions.
+
+    Diagonal pivots are safe for such a matrix; array functions only, so the solve is part of the plan.
+    """
+    def step(m: Column, k: Column) -> Column:
+        pivot = F.element_at(m, k)
+        scaled = F.transform(pivot, lambda v: v / F.element_at(pivot, k))
+        return F.transform(m, lambda row, i: F.when(i + 1 == k, scaled).otherwise(
+            F.zip_with(row, scaled, lambda v, s: v - F.element_at(row, k) * s)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(p)), gram, step)
+
+
 def ridge_weights(rows: DataFrame, members: DataFrame, cols: Sequence[str], alphas: Sequence[float] = ALPHAS,
                   min_rows: int = 1000) -> DataFrame:
     """Ridge fit per training window with leave-one-out alpha choice; weights rescaled to sum to one.
 
-    The data passes are two aggregates (window moments, then leave-one-out errors per alpha). Only the
-    moments, 66 numbers per window for ten components, reach the driver for the small symmetric solves.
+    One plan, nothing is collected: window moments give the Gram matrix, each alpha's inverse and coefficients are solved
+    there, and a second pass over the rows takes the leave-one-out errors from the hat diagonal. The joined side has one
+    row for each window. A coefficient sum near zero gives equal weights; of equal errors the smaller alpha wins.
     """
-    spark = rows.sparkSession
     cols, p = list(cols), len(cols)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     train = rows.join(members.where(col("part") == "train").select("date", "window_idx"), "date")
-    sums = [F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(col("y") * col("y")).alias("syy")]
-    sums += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)] + [F.sum(col(c) * col("y")).alias(f"b{i}") for i, c in enumerate(cols)]
-    sums += [F.sum(col(cols[i]) * col(cols[j])).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-    fits, params = {}, []
-    for r in train.groupBy("window_idx").agg(*sums).where(col("n") >= min_rows).collect():  # one small row per window
-        n, mean = r["n"], np.array([r[f"s{i}"] for i in range(p)]) / r["n"]
-        ybar = r["sy"] / n
-        gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
-        xty = np.array([r[f"b{i}"] for i in range(p)]) - n * mean * ybar
-        lam, vec = np.linalg.eigh(gram)
-        rot = vec.T @ xty
-        fits[r["window_idx"]] = (lam, vec, rot, n)
-        params.append((r["window_idx"], float(n), float(ybar), mean.tolist(), [vec[:, k].tolist() for k in range(p)],
-                       [[float(1.0 / (max(v, 0.0) + a)) for v in lam] for a in alphas],
-                       [[float(q / (max(v, 0.0) + a)) for q, v in zip(rot, lam, strict=True)] for a in alphas]))
-    out_schema = T.StructType([T.StructField("window_idx", T.IntegerType()), T.StructField("alpha", T.DoubleType()),
-                               T.StructField("n_train", T.LongType()), *[T.StructField(f"w_{c}", T.DoubleType()) for c in cols]])
-    if not params:
-        return spark.createDataFrame([], out_schema)
-    table = spark.createDataFrame(params, (
-        "window_idx int, n double, ybar double, mean array<double>, vec array<array<double>>, "
-        "inv array<array<double>>, coef array<array<double>>"))
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    x = train.join(F.broadcast(table), "window_idx")  # one row per window
-    x = x.withColumn("_c", F.zip_with(F.array(*cols), "mean", lambda a, b: a - b))
-    x = x.withColumn("_u", F.transform("vec", lambda v: dot(v, col("_c"))))
-    x = x.withColumn("_u2", F.transform("_u", lambda u: u * u))
-    errs = [F.avg(F.pow((col("y") - col("ybar") - dot(col("coef")[k], col("_u")))
-                        / (F.lit(1.0) - F.lit(1.0) / col("n") - dot(col("inv")[k], col("_u2"))), 2.0)).alias(f"e{k}")
-            for k in range(len(alphas))]
-    out = []
-    for r in x.groupBy("window_idx").agg(*errs).collect():  # one small row per window
-        k = int(np.argmin([r[f"e{i}"] for i in range(len(alphas))]))
-        lam, vec, rot, n = fits[r["window_idx"]]
-        coef = vec @ (rot / (np.maximum(lam, 0.0) + alphas[k]))
-        total = coef.sum()
-        w = np.full(p, 1.0 / p) if abs(total) < 1e-9 else coef / total
-        out.append((r["window_idx"], float(alphas[k]), int(n), *map(float, w)))
-    return spark.createDataFrame(out, out_schema)
+    sums = [F.count("*").alias("n"), F.avg("y").alias("ybar")]
+    sums += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)] + [F.sum(col(c) * col("y")).alias(f"b{i}") for i, c in enumerate(cols)]
+    sums += [F.sum(col(cols[i]) * col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]
+
+    def centred(i: int, j: int) -> Column:
+        return col(f"g{min(i, j)}_{max(i, j)}") - col("n") * col(f"m{i}") * col(f"m{j}")
+
+    def augmented(alpha: float) -> Column:
+        return F.array(*[F.array(
+            *[centred(i, j) + alpha if i == j else centred(i, j) for j in range(p)], *[F.lit(float(i == j)) for j in range(p)],
+            col(f"b{i}") - col("n") * col(f"m{i}") * col("ybar")) for i in range(p)])
+
+    window = train.groupBy("window_idx").agg(*sums).where(col("n") >= min_rows)
+    window = window.select("window_idx", "n", "ybar", *[f"m{i}" for i in range(p)],
+                           *[solved(augmented(a), p).alias(f"s{k}") for k, a in enumerate(alphas)])
+    x = train.join(F.broadcast(window), "window_idx")
+    x = x.select("window_idx", "n", (col("y") - col("ybar")).alias("_y"), *[(col(c) - col(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)],
+                 *[f"s{k}" for k in range(len(alphas))])
+
+    def total(terms: Sequence[Column]) -> Column:
+        out = terms[0]
+        for t in terms[1:]:
+            out = out + t
+        return out
+
+    errs = []
+    for k in range(len(alphas)):
+        at = lambda i, j, k=k: col(f"s{k}")[i][j]
+        hat = total([at(i, p + j) * col(f"c{i}") * col(f"c{j}") * (1.0 if i == j else 2.0) for i, j in pairs]) + 1.0 / col("n")
+        fit = total([at(i, 2 * p) * col(f"c{i}") for i in range(p)])
+        errs.append(F.avg(F.pow((col("_y") - fit) / (1.0 - hat), F.lit(2.0))).alias(f"e{k}"))
+    best = x.groupBy("window_idx").agg(*errs)
+    choice = F.array_min(F.array(*[F.struct(col(f"e{k}").alias("e"), F.lit(k).alias("k")) for k in range(len(alphas))]))["k"]
+    chosen = window.join(best.select("window_idx", choice.alias("k")), "window_idx")
+    table = F.array(*[col(f"s{k}") for k in range(len(alphas))])
+    chosen = chosen.select("window_idx", "n", F.array(*[F.lit(float(a)) for a in alphas])[col("k")].alias("alpha"),
+                           F.transform(table[col("k")], lambda row: row[2 * p]).alias("w"))
+    whole = F.aggregate("w", F.lit(0.0), lambda s, v: s + v)
+    weight = lambda i: F.when(F.abs(whole) < 1e-9, F.lit(1.0 / p)).otherwise(col("w")[i] / whole)
+    return chosen.select("window_idx", "alpha", col("n").alias("n_train"), *[weight(i).alias(f"w_{c}") for i, c in enumerate(cols)])
 
 
 def ridge_oos(rows: DataFrame, members: DataFrame, weights: DataFrame, fwd: DataFrame, cols: Sequence[str],

@@ -227,7 +227,7 @@ def _base_layer(w: TimeAxis) -> dict[str, Column]:
     return layer
 
 
-def _second_layer(w: TimeAxis) -> dict[str, Column]:
+def _second_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
     c, h, l, v, r = col("close"), col("high"), col("low"), col("volume"), col("daily_ret")
     o60 = {k: col(f"_o60_{k}") for k in ("slope", "syy", "sxy", "ybar")}
     rs1, rs2 = col("_rs1") / col("_rs1_base") * 100.0, col("_rs2") / col("_rs2_base") * 100.0
@@ -238,7 +238,9 @@ def _second_layer(w: TimeAxis) -> dict[str, Column]:
     log_ret = F.log1p(r)
     pivots_h, pivots_l = F.when(col("_is_ph"), h), F.when(col("_is_pl"), l)
     cross = col("log_ret_diff") * col("b1_log_ret")
-    return {
+    # order statistics come with the recursion stage
+    tails = {} if recursive else {"p95_252": w.quantile(r, 0.95, 252, 200), "p5_252": w.quantile(r, 0.05, 252, 200)}
+    return tails | {
         "rs_line_spy_value": rs1, "rs_line_qqq_value": rs2,
         "log_ret": log_ret, "clv": clv, "excess_ret": excess,
         "pct_ma_50": (c - col("sma_50")) / col("sma_50") * 100.0,
@@ -263,7 +265,6 @@ def _second_layer(w: TimeAxis) -> dict[str, Column]:
         "mean_126": w.mean(r, 126), "std_126": w.std(r, 126), "down_std_126": w.std(down, 126, 20),
         "mean_60": w.mean(r, 60, 40), "std_60": w.std(r, 60, 40),
         "mean_252": w.mean(r, 252, 200), "std_252": w.std(r, 252, 200),
-        "p95_252": w.quantile(r, 0.95, 252, 200), "p5_252": w.quantile(r, 0.05, 252, 200),
         "excess_mean_252": w.mean(excess, 252, 200), "excess_std_252": w.std(excess, 252, 200),
         "excess_mean_60": w.mean(excess, 60, 40), "excess_std_60": w.std(excess, 60, 40),
         "upside_vol_60d": w.std(up, 60, 20) * 100.0, "downside_vol_60d": w.std(down, 60, 20) * 100.0,
@@ -299,7 +300,6 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
         return F.least(pairs - oldest, F.lit(3.0))
 
     out = {
-        "pct_ma_50_p80_252d": w.quantile(col("pct_ma_50"), 0.8, 252),
         "trend_slope_significant": flag(F.abs("trend_slope_t_stat") > 1.96),
         "up_down_vol_ratio_50": div(col("_up_volume"), col("_down_volume")),
         "ad_line_slope_20": w.slope(col("ad_line"), 20), "ad_line_slope_21d": w.slope(col("ad_line"), 21),
@@ -341,7 +341,9 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
         "consecutive_high_intensity": w.sum(col("_near_high"), 5),
         "_breakdown_level": F.when((c < col("_prior_min_40")) & (c < col("sma_50")), col("_prior_min_40")),
     }
-    if recursive:
+    if not recursive:
+        out["pct_ma_50_p80_252d"] = w.quantile(col("pct_ma_50"), 0.8, 252)
+    else:
         line, sig = col("macd_line"), col("macd_signal")
         hist = line - sig
         out |= {
@@ -384,13 +386,14 @@ def _fourth_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
             + flag((col("_above_50") == 1) & (col("_above_200") == 1) & (col("_50_above_200") == 1)) * 10
         ),
         "trend_integrity": flag((col("hh_count_60d") >= 2) & (col("hl_count_60d") >= 2)),
-        "bb_width_pct_252d": w.rank_in_window(col("_bb_width"), 252, 60) * 100.0,
         "bb_position_21d": w.mean(col("_bb_pos"), 21, 15),
         "volume_leadership_confirmed": flag(
             (col("up_down_vol_ratio_50") >= 1.5) & (col("ad_line_slope_60") > 0.05) & (col("distribution_days_25") <= 3)),
         "pct_above_sma_50": col("_above_50"), "pct_above_sma_200": col("_above_200"),
     }
-    if recursive:
+    if not recursive:
+        out["bb_width_pct_252d"] = w.rank_in_window(col("_bb_width"), 252, 60) * 100.0
+    else:
         line = col("macd_line")
         faster = ((line > 0) & col("_hist_up")) | ((line < 0) & col("_hist_down"))
         out |= {
@@ -418,7 +421,7 @@ def time_features(panel: DataFrame, recursive: bool = True, periods: bool = True
     if periods:
         df = attach_as_of(df, {**calendar_events(panel), "_vcp": vcp_events(panel)})
         df = df.withColumn("vcp_quality_score", F.coalesce("vcp_quality_score", F.lit(0.0)))
-    for layer in (_base_layer(w), _second_layer(w), _third_layer(w, recursive), _fourth_layer(w, recursive), _fifth_layer(w)):
+    for layer in (_base_layer(w), _second_layer(w, recursive), _third_layer(w, recursive), _fourth_layer(w, recursive), _fifth_layer(w)):
         df = df.withColumns(layer)
     if periods:
         rising = [F.coalesce(col(c), F.lit(0.0)) for c in ("_w_rising", "_m_rising")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,6 +202,43 @@ def feature_bounds(latest: DataFrame, bounds: Mapping = FEATURE_BOUNDS) -> DataF
         for f, (lo, hi, hard) in bounds.items()])
 
 
+#: (check, column, low, high, severity): rules are data, one for each range
+RANGE_RULES = (
+    *[(f"C_{f}_bounds", f, lo, hi, "ERROR" if hard else "WARN") for f, (lo, hi, hard) in FEATURE_BOUNDS.items()],
+    *[(f"D_{c}_extreme", c, -5.0, 5.0, "WARN") for c in config.COMPONENTS],
+    ("E_score_bounds", "score", 0.0, 100.0, "ERROR"),
+    *[(f"F_p_{s}_bounds", f"p_{s}", -1e-6, 1 + 1e-6, "ERROR") for s in config.STATES],
+    ("H_setup_confidence_bounds", "setup_confidence", 0.0, 1.0, "ERROR"),
+    ("I_theme_score_bounds", "theme_score", 0.0, 100.0, "ERROR"), ("I_theme_breadth_bounds", "pct_above_50dma", 0.0, 100.0, "ERROR"),
+)
+RULE_SCHEMA = "check string, column string, low double, high double, severity string"
+
+
+def range_findings(df: DataFrame, rules: DataFrame, key: str = "entity") -> DataFrame:
+    """(entity, check, severity, observed, low, high) for every value outside the range of a rule on its column.
+
+    rules is a table (RULE_SCHEMA), so a new check is a new row. Columns that df lacks are passed over; nulls break no rule.
+    """
+    named = {r.column for r in rules.select("column").distinct().collect()}  # at most one for each column of df is used
+    columns = [c for c in df.columns if c in named]
+    wide = df.select(col(key).alias("entity"), *[col(c).cast("double").alias(c) for c in columns])
+    tall = wide.unpivot("entity", columns, "column", "observed")
+    own = F.broadcast(rules.where(col("column").isin(columns)))  # rows for the columns of one table
+    return tall.join(own, "column").where((col("observed") < col("low")) | (col("observed") > col("high"))).select(
+        "entity", "check", "severity", "observed", "low", "high")
+
+
+def all_findings(latest: DataFrame, themes: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every finding on the latest date, errors first: range rules, then consistency of scores, states, tiers, setups, themes."""
+    ranges = range_findings(latest, rules).unionByName(range_findings(themes, rules, "basket"))
+    known = [r.check for r in rules.select("check").collect()]
+    rest = [score_findings(latest), state_findings(latest), tier_findings(latest), setup_findings(latest), theme_findings(themes, members),
+            orphans(latest, members)]
+    others = reduce(DataFrame.unionByName, rest).where(~col("check").isin(known)).select("entity", "check", "severity")
+    found = ranges.unionByName(others, allowMissingColumns=True)
+    return found.orderBy(lookup(col("severity"), {"ERROR": 0, "WARN": 1}), "check", "entity")
+
+
 def component_health(latest: DataFrame, null_rate: float = 0.05, z_limit: float = 5.0) -> DataFrame:
     """Per component: rows, infinite values, NULL rate and |z| beyond the limit, with a verdict."""
     aggs = []
@@ -314,6 +352,25 @@ def reconcile(a: DataFrame, b: DataFrame, sample: int | None = None, seed: int =
          | F.coalesce(F.abs(col("ret_a") - col("ret_b")) > ret_tol, F.lit(False))).alias("discrepant"))
 
 
+def reconcile_keys(a: DataFrame, b: DataFrame, shares: DataFrame, tolerance: float = 0.005, seed: int = 42) -> DataFrame:
+    """(entity, date, grp, close_a, close_b, gap, side, discrepant) of a stratified, reproducible sample of keys.
+
+    A key is in the sample where the hash of seed and key lies below the share of its group (shares: grp, share), so both
+    sources, and every later run, pick the same keys. All sampled keys of either side are returned: side tells whether a
+    key is in both or only_a, only_b; a one-sided key is discrepant.
+    """
+    def picked(x: DataFrame, tag: str) -> DataFrame:
+        mark = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "entity", col("date").cast("string"))), 1, 8), 16, 10)
+        return x.join(F.broadcast(shares), "grp").where(mark.cast("double") < col("share") * 4294967296.0).select(  # one row a group
+            "entity", "date", "grp", col("close").alias(f"close_{tag}"))
+
+    j = picked(a, "a").join(picked(b, "b"), ["entity", "date", "grp"], "full")
+    gap = F.abs(div(col("close_a") - col("close_b"), col("close_b")))
+    side = F.when(col("close_b").isNull(), "only_a").when(col("close_a").isNull(), "only_b").otherwise("both")
+    return j.select("entity", "date", "grp", "close_a", "close_b", gap.alias("gap"), side.alias("side"),
+                    ((side != "both") | F.coalesce(gap > tolerance, F.lit(False))).alias("discrepant"))
+
+
 # ---- history and coverage -----------------------------------------------------------------------
 def nearest_date_value(series: DataFrame, target: Column, value: str) -> list[Column]:
     """First date on or after target, else the last one; returns (date, value) aggregates."""

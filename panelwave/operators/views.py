@@ -131,7 +131,7 @@ def grade_moves(scored: DataFrame, n: int = 10) -> DataFrame:
 
 
 def contributions(scored: DataFrame) -> DataFrame:
-    """z * weight of the row's primary state per component; zero weights hidden."""
+    """z * weight of the row's primary state per component, the largest absolute contribution first; zero weights hidden."""
     w = state_weights()
     items = []
     for i, c in enumerate(config.COMPONENTS):
@@ -139,7 +139,8 @@ def contributions(scored: DataFrame) -> DataFrame:
         items.append(F.struct(F.lit(c).alias("component"), col(c).alias("z_score"),
                               F.element_at(m, F.coalesce("primary_state", F.lit("INDETERMINATE"))).alias("weight")))
     x = scored.select("entity", "date", F.explode(F.array(*items)).alias("r")).select("entity", "date", "r.*")
-    return x.where(col("weight") != 0).withColumn("contribution", F.coalesce(col("z_score"), F.lit(0.0)) * col("weight"))
+    x = x.where(col("weight") != 0).withColumn("contribution", F.coalesce(col("z_score"), F.lit(0.0)) * col("weight"))
+    return x.orderBy("entity", "date", F.abs("contribution").desc(), "component")
 
 
 def grade_thresholds(scored: DataFrame, bound: xs.Bound = xs.Bound()) -> DataFrame:

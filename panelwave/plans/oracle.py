@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from panelwave import config
-from panelwave.operators.evaluate import effective_weights
+from panelwave.operators.evaluate import ALPHAS, effective_weights
+from panelwave.operators.reliability import RANGE_RULES, STRONG, WEAK
 from panelwave.operators.score import state_weights
 from panelwave.operators.standardize import family
 from panelwave.plans import oracle_features as OF
 from panelwave.plans import oracle_scoring as OS
+from panelwave.plans import planted
 from panelwave.plans.oracle_base import (
     KEYS, NO_BENCH, cols, div, flag, lag, last_n, lead, panel, pct_rank, rnd, roll,
 )
 from panelwave.plans.queries import (
-    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, MIGRATION, OOS_NUMS, THEME_QUERIES, UD_LIMITS, Z_NAMES,
+    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, FULL_SCORES, FULL_WINDOWS, LATE_EVERY, MIGRATION, OOS_NUMS, RECONCILE_SHARES, RIDGE_COLS, RIDGE_HORIZON, THEME_QUERIES, UD_LIMITS, Z_NAMES,
 )
 
 
@@ -169,6 +173,102 @@ def _audit_ctes() -> str:
     return f"{OF.features()}, us AS MATERIALIZED ({us}), fw0 AS MATERIALIZED ({fwd}), {rank_ic(need=15)}, {window_ic(60, 21, 21)}"
 
 
+# ---- full evaluation ----------------------------------------------------------------------------
+SCORE_KEYS = "score_type, score_name, horizon"
+
+
+def _full(select: str, extra: str = "") -> str:
+    """Composite, components and features of the three-day panel against the returns of six horizons."""
+    us = " UNION ALL ".join(f"SELECT entity, date, '{t}' AS score_type, '{c}' AS score_name, {c}::DOUBLE AS value FROM sc" for t, ns in FULL_SCORES.items() for c in ns)
+    fwd = " UNION ALL ".join(f"SELECT entity, date, {h} AS horizon, {div(lead('adj_close', h, **_o), 'adj_close')} - 1.0 AS fwd FROM bars WHERE {NO_BENCH}" for h in config.OOS_HORIZONS)
+    ctes = [OF.features("bt"), OS.standardized(), OS.components(), OS.state(), OS.score(), f"us AS MATERIALIZED ({us})", f"fw0 AS MATERIALIZED ({fwd})",
+            rank_ic(), window_ic(*FULL_WINDOWS)]
+    return w(", ".join(ctes) + (", " + extra if extra else ""), select)
+
+
+def t_two_sided(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t by gamma functions: the terms of the finite series for whole degrees of freedom."""
+    ang = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({ang}) * list_sum(list_transform(range(0, ({df}) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * pow(cos({ang}), 2 * j)))"
+    odd = (f"({ang} + coalesce(sin({ang}) * list_sum(list_transform(range(0, ({df}) // 2), "
+           f"lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos({ang}), 2 * j + 1))), 0.0)) * 2 / pi()")
+    return f"(CASE WHEN {t} IS NOT NULL AND {df} >= 1 THEN greatest(1.0 - (CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END), 0.0) END)"
+
+
+def _audit(top: int, least: int) -> str:
+    by = "PARTITION BY score_type, horizon ORDER BY oos_ic_mean"
+    return (f"ha AS (SELECT *, row_number() OVER ({by} DESC, score_name) <= {top} AS top, row_number() OVER ({by}, score_name) <= {top} AS bot FROM os WHERE n_windows >= {least}), "
+            "hb AS (SELECT score_name, count(*) FILTER (top) AS n_top, count(*) FILTER (bot) AS n_bottom, count(oos_ic_mean) AS n_horizons, max(abs(oos_ic_mean)) AS ma, "
+            "avg(oos_ic_mean) AS mo, coalesce(bool_and(oos_ic_mean < 0), false) AS neg FROM ha WHERE score_type = 'feature' GROUP BY 1)")
+
+
+_AUDIT_COLUMNS = (f"SELECT score_name, n_top, n_bottom, n_horizons, {rnd('ma')} AS max_abs_oos_ic, {rnd('mo')} AS mean_oos_ic, n_top >= 3 AS universally_good, "
+                  "n_top BETWEEN 1 AND 2 AS horizon_specific, ma < 0.005 AS noise_candidate")
+_SIGNIFICANCE = (f"SELECT {SCORE_KEYS}, n_windows, {cols(*OOS_NUMS, oos_ic_se='oos_ic_std / sqrt(n_windows)')}, "
+                 f"{rnd(t_two_sided('oos_ic_t_stat', 'n_windows - 1'))} AS oos_p_value FROM os")
+_COMPONENT_COLUMNS = (f"SELECT score_name, {rnd('avg(oos_ic_mean)')} AS mean_oos_ic, count(*) FILTER (oos_ic_mean > 0) AS n_positive_horizons, count(*) FILTER (oos_ic_t_stat > 2) AS n_significant_positive, "
+                      "count(*) FILTER (oos_ic_t_stat < -2) AS n_significant_negative FROM os WHERE score_type = 'component' GROUP BY score_name")
+
+
+def _ic_summary(by: str) -> str:
+    return (f"SELECT {by}, n_dates, " + cols("ic_mean", "ic_median", "ic_std", "hit_rate", ic_t_stat="CASE WHEN n_dates > 1 AND ic_std > 0 THEN ic_mean / (ic_std / sqrt(n_dates)) END")
+            + f" FROM (SELECT {by}, count(ic) AS n_dates, avg(ic) AS ic_mean, median(ic) AS ic_median, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic IS NOT NULL THEN {flag('ic > 0')} END) AS hit_rate FROM ic GROUP BY {by})")
+
+
+# ---- ridge --------------------------------------------------------------------------------------
+def ridge(src: str, names: Sequence[str], horizon: int, min_rows: int) -> str:
+    """CTEs rd (training rows), rt (them in their training windows), rw (a row for each window) from src and fw0, wm."""
+    p = len(names)
+    x = ", ".join(f"{c}::DOUBLE" for c in names)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    g = lambda i, j: f"sum(x[{i}] * x[{j}]) - count(*) * avg(x[{i}]) * avg(x[{j}])"
+    gram = ", ".join("[" + ", ".join([g(i, j) for j in range(1, p + 1)] + [f"sum(x[{i}] * y) - count(*) * avg(x[{i}]) * avg(y)"]) + "]" for i in range(1, p + 1))
+    means = ", ".join(f"avg(x[{i}])" for i in range(1, p + 1))
+    alphas = ", ".join(f"{a}::DOUBLE" for a in ALPHAS)
+    return (
+        f"rf AS (SELECT s.entity, s.date, [{x}] AS x, {known} AS whole, fwd FROM {src} s LEFT JOIN (SELECT entity, date, fwd FROM fw0 WHERE horizon = {horizon}) f USING (entity, date)), "
+        "rd AS MATERIALIZED (SELECT entity, date, x, y FROM (SELECT *, coalesce(CASE WHEN stddev_samp(fwd) OVER (PARTITION BY date) < 1e-10 THEN 0.0 "
+        "ELSE (fwd - avg(fwd) OVER (PARTITION BY date)) / stddev_samp(fwd) OVER (PARTITION BY date) END, 0.0) AS y FROM rf) WHERE whole), "
+        "rt AS MATERIALIZED (SELECT window_idx, x, y FROM rd JOIN wm USING (date) WHERE is_train), "
+        f"rm AS MATERIALIZED (SELECT window_idx, count(*) AS n, avg(y) AS yb, [{means}] AS mu, [{gram}] AS g FROM rt GROUP BY window_idx HAVING count(*) >= {min_rows}), "
+        # rows [G + alpha I | I | moments with y], reduced pivot by pivot
+        f"gj AS (SELECT window_idx, alpha, 0 AS k, list_transform(range(1, {p + 1}), lambda i: list_concat(list_transform(range(1, {p + 1}), lambda j: g[i][j] + CASE WHEN i = j THEN alpha ELSE 0.0 END), "
+        f"list_transform(range(1, {p + 1}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), [g[i][{p + 1}]])) AS m FROM rm, (SELECT unnest([{alphas}]) AS alpha) "
+        f"UNION ALL SELECT window_idx, alpha, k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {2 * p + 2}), lambda j: CASE WHEN i = k + 1 THEN m[i][j] / m[i][i] "
+        f"ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM gj WHERE k < {p}), "
+        f"so AS MATERIALIZED (SELECT window_idx, alpha, n, yb, mu, list_transform(m, lambda r: r[{p + 1}:{2 * p}]) AS inv, list_transform(m, lambda r: r[{2 * p + 1}]) AS co FROM gj JOIN rm USING (window_idx) WHERE k = {p}), "
+        "re AS (SELECT window_idx, alpha, n, yb, y, co, inv, list_transform(list_zip(x, mu), lambda z: z[1] - z[2]) AS c FROM rt JOIN so USING (window_idx)), "
+        "le AS (SELECT window_idx, alpha, avg(pow((y - yb - list_dot_product(co, c)) / (1.0 - 1.0 / n - list_dot_product(c, list_transform(inv, lambda r: list_dot_product(r, c)))), 2)) AS e FROM re GROUP BY 1, 2), "
+        "rw AS MATERIALIZED (SELECT so.window_idx, so.alpha, n AS n_train, list_transform(co, lambda v: CASE WHEN abs(list_sum(co)) < 1e-9 "
+        f"THEN 1.0 / {p} ELSE v / list_sum(co) END) AS w FROM so JOIN (SELECT window_idx, arg_min(alpha, (e, alpha)) AS alpha FROM le GROUP BY 1) b USING (window_idx, alpha)), "
+        "rv AS (SELECT entity, date, window_idx, list_dot_product(w, x) AS value FROM rd JOIN wm USING (date) JOIN rw USING (window_idx) WHERE NOT is_train), "
+        "rp AS (SELECT v.date, window_idx, horizon, value, fwd FROM rv v JOIN fw0 USING (entity, date) WHERE fwd IS NOT NULL), "
+        f"rr AS (SELECT *, {pct_rank('value', 'date, horizon, window_idx')} AS ra, {pct_rank('fwd', 'date, horizon, window_idx')} AS rb FROM rp), "
+        "ri AS (SELECT date, horizon, window_idx, CASE WHEN count(*) >= 20 AND stddev_pop(ra) * stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rr GROUP BY 1, 2, 3), "
+        "ro AS MATERIALIZED (SELECT window_idx, horizon, avg(ic) AS oos_ic, count(*) AS n_dates FROM ri WHERE ic IS NOT NULL GROUP BY 1, 2), "
+        f"rl AS (SELECT unnest([{', '.join(repr(c) for c in names)}]) AS component, unnest(w) AS v FROM rw), "
+        "rc AS MATERIALIZED (SELECT component, avg(v) AS mean_weight, stddev_samp(v) AS std_weight, count(*) AS n_windows, "
+        "coalesce(abs(avg(v)) > 1e-9 AND stddev_samp(v) / abs(avg(v)) > 4.0, false) AS unstable FROM rl GROUP BY 1)"
+    )
+
+
+def _ridge_queries(names: Sequence[str]) -> dict[str, str]:
+    return {
+        "weights": "SELECT window_idx::INT AS window_idx, alpha, n_train, " + cols(**{f"w_{c}": f"w[{i + 1}]" for i, c in enumerate(names)}) + " FROM rw",
+        "oos": f"SELECT window_idx::INT AS window_idx, horizon, {cols('oos_ic')}, n_dates FROM ro",
+        "consensus": f"SELECT component, {cols('mean_weight', 'std_weight')}, n_windows, unstable FROM rc",
+        "alphas": "SELECT alpha, count(*) AS n_windows FROM rw GROUP BY alpha",
+    }
+
+
+def _adopt() -> str:
+    t = "CASE WHEN n > 1 AND sd > 0 THEN m / (sd / sqrt(n)) END"
+    return (f"ad AS (SELECT horizon, (m - oos_ic_mean) / nullif(abs(oos_ic_mean), 0) * 100.0 AS gain, {t} >= oos_ic_t_stat AS t_ok FROM "
+            "(SELECT horizon, avg(oos_ic) AS m, stddev_samp(oos_ic) AS sd, count(*) AS n FROM ro GROUP BY 1) JOIN (SELECT * FROM os WHERE score_type = 'composite') USING (horizon)), "
+            "ao AS (SELECT max(gain) FILTER (horizon = 126) AS gp, max(gain) FILTER (horizon = 1) AS gs, coalesce(bool_or(horizon = 126 AND t_ok), false) AS t_ok FROM ad), "
+            "au AS (SELECT count(*) FILTER (unstable) AS n_unstable FROM rc)")
+
+
 def _lookup(mapping: dict[str, float], key: str, default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in mapping.items()) + f" ELSE {default} END"
 
@@ -192,7 +292,7 @@ def _contrib() -> str:
 
 def _l3() -> str:
     f = []
-    from panelwave.operators.reliability import FEATURE_BOUNDS, STRONG, WEAK
+    from panelwave.operators.reliability import FEATURE_BOUNDS
 
     for c, (lo, hi, hard) in FEATURE_BOUNDS.items():
         f.append(f"SELECT 'C_{c}_bounds' AS \"check\", '{'ERROR' if hard else 'WARN'}' AS severity FROM lt WHERE {c} < {lo} OR {c} > {hi}")
@@ -215,6 +315,70 @@ def _l3() -> str:
                    f"lt AS MATERIALIZED (SELECT * FROM lc WHERE {LATEST}), tl AS MATERIALIZED (SELECT * FROM th WHERE date = (SELECT max(date) FROM th))")
 
 
+# ---- planted faults -----------------------------------------------------------------------------
+_NO = "regexp_extract(entity, '([0-9]+)', 1)::INT"
+
+
+def _put(src: str, faults: Sequence[tuple[str, str, object]]) -> str:
+    """SELECT from src with the value of each (condition, column, value) where it holds; the last one wins."""
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    made = []
+    for c in dict.fromkeys(f[1] for f in faults):
+        whens = " ".join(f"WHEN {cond} THEN {lit(v)}" for cond, name, v in reversed(faults) if name == c)
+        made.append(f"CASE {whens} ELSE {c} END AS {c}")
+    return f"SELECT * REPLACE ({', '.join(made)}) FROM {src}"
+
+
+def _planted_ctes() -> str:
+    faults = [(f"{_NO} = {k}", c, v) for k, c, v in planted.SCORED]
+    q = lambda ts: ", ".join(f"'{t}'" for t in ts)
+    miss = " + ".join(f"({c} IS NULL)::INT" for c in config.COMPONENTS)
+    probs = ", ".join(f"p_{s}" for s in config.STATES)
+    on_themes = {r[0] for r in RANGE_RULES if r[0].startswith("I_")}
+    parts = [f"SELECT {'basket' if n in on_themes else 'entity'} AS entity, '{n}' AS \"check\", '{sev}' AS severity, {c}::DOUBLE AS observed, {lo!r}::DOUBLE AS low, {hi!r}::DOUBLE AS high "
+             f"FROM {'tp' if n in on_themes else 'lp'} WHERE {c} < {lo!r} OR {c} > {hi!r}" for n, c, lo, hi, sev in RANGE_RULES]
+    other = [
+        ("E_score_null_from_components", "WARN", f"score IS NULL AND {miss} > 0"), ("E_score_null_with_components", "ERROR", f"score IS NULL AND {miss} = 0"),
+        ("E_grade_value", "ERROR", "score IS NOT NULL AND coalesce(grade, '') NOT IN ('S', 'A', 'B', 'C', 'D')"),
+        ("F_state_probs_sum", "ERROR", f"abs({probs.replace(', ', ' + ')} - 1.0) > 0.001"),
+        ("F_state_assignment", "WARN", f"primary_state <> ([{q(config.STATES)}])[list_position([{probs}], greatest({probs}))]"),
+        ("G_tier_value", "ERROR", f"coalesce(leadership_tier, 'NULL') NOT IN ({q(config.TIERS)})"),
+        ("G_high_rs_weak_tier", "WARN", f"rs_rating_spy > 80 AND coalesce(leadership_tier, 'NULL') NOT IN ({q(STRONG)})"),
+        ("G_low_rs_strong_tier", "WARN", f"rs_rating_spy < 20 AND coalesce(leadership_tier, 'NULL') NOT IN ({q(WEAK)})"),
+        ("H_setup_missing", "WARN", "setup IS NULL"), ("J_no_basket", "WARN", f"entity NOT IN (SELECT entity FROM mem WHERE entity <> '{planted.ORPHAN}')"),
+    ]
+    parts += [f"SELECT entity, '{n}', '{sev}', NULL, NULL, NULL FROM lp WHERE {cond}" for n, sev, cond in other]
+    parts.append("SELECT basket, 'I_theme_size', 'ERROR', NULL, NULL, NULL FROM tp JOIN (SELECT basket, count(*) AS d FROM mem "
+                 f"WHERE entity <> '{planted.ORPHAN}' GROUP BY 1) USING (basket) WHERE n_constituents > d + 1")
+    return (f"lt AS MATERIALIZED (SELECT * FROM lc WHERE {LATEST}), lp AS MATERIALIZED ({_put('lt', faults)}), "
+            "tl AS MATERIALIZED (SELECT * FROM th WHERE date = (SELECT max(date) FROM th)), "
+            f"tp AS MATERIALIZED ({_put('tl', [(f'basket = {k!r}', c, v) for k, c, v in planted.THEMES])}), fd AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+
+
+def _planted_queries() -> dict[str, str]:
+    found = _planted_ctes()
+    fields = [(c, f"coalesce(abs(a.{c} - e.{c}) <= {tol}, false)") for c, tol in (("score", 0.01), ("rs_rating_spy", 0.01), ("adx_14", 0.5))]
+    fields += [(c, f"a.{c} IS NOT DISTINCT FROM e.{c}") for c in ("grade", "primary_state", "leadership_tier")]
+    pinned = " UNION ALL ".join(f"SELECT e.entity, strftime(e.date, '%Y-%m-%d') AS date, '{c}' AS field, {ok} AS passed FROM lt e LEFT JOIN lp a USING (entity)" for c, ok in fields)
+    flips = [(f"{_NO} = {no} AND coalesce(k, 9) = {back}", c, v) for no, back, c, v in planted.HISTORY]
+    history = f"{DAYS}, lh AS (SELECT lc.*, k FROM lc LEFT JOIN dk ON dk.date = lc.date AND k <= 2), lcp AS MATERIALIZED ({_put('lh', flips)}), " + AN.replace("FROM lc)", "FROM lcp)").replace(
+        "max(date) FROM lcp", "max(date) FROM lc")
+    every = " UNION ALL ".join(f"SELECT entity, date, type, severity FROM an{i}" for i in (1, 2, 3))
+    spoiled = [(f"{_NO} = {no} AND back BETWEEN {a} AND {b}", c, v) for no, a, b, c, v in planted.BARS]
+    bars = f"{panel('bx')}, {NB}, nr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) - 1 AS back FROM nb), nbp AS MATERIALIZED ({_put('nr', spoiled)})"
+    asked = f"SELECT entity FROM nb UNION ALL SELECT '{planted.ABSENT}'"
+    return {
+        "findings_listed": _themes(f'SELECT entity, "check", severity, {cols("observed", "low", "high")} FROM fd', found),
+        "findings_verdict": _themes("SELECT failures, borderlines, CASE WHEN failures > 0 THEN 'FAIL' WHEN borderlines > 10 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM "
+                                    "(SELECT count(*) FILTER (severity = 'ERROR') AS failures, count(*) FILTER (severity = 'WARN') AS borderlines FROM fd)", found),
+        "anomaly_list": _scored(f"SELECT {KEYS}, type, severity, row_number() OVER (ORDER BY severity <> 'high', array_position(['score_jump', 'grade_jump', 'state_flip'], type), entity)::INT AS place FROM ({every})", history),
+        "parity_check": _themes(pinned, found),
+        "dq_planted": w(f"{bars}, {firewall('nbp', DEFAULT_LIMITS, asked)}", FW_TEXT),
+        "ingest_reasons": w(bars, f"SELECT entity, CASE WHEN n IS NULL THEN 'empty_frame' ELSE 'all_close_nan' END AS reason FROM (SELECT DISTINCT entity FROM ({asked})) LEFT JOIN "
+                                  "(SELECT entity, count(close) AS n FROM nbp GROUP BY 1) USING (entity) WHERE coalesce(n, 0) = 0"),
+    }
+
+
 def _metrics() -> str:
     pct = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE printf('%+.1f', {c}) || '%' END"
     num = lambda c, d: f"CASE WHEN {c} IS NULL THEN '-' ELSE format('{{:,.{d}f}}', {c}) END"
@@ -254,7 +418,7 @@ LEGACY = [
 def _legacy() -> str:
     case = lambda i: " ".join(f"WHEN {c} THEN " + (f"'{n}'" if i == 0 else repr(p)) for n, p, c in LEGACY)
     return _scored(f"SELECT {KEYS}, CASE {case(0)} ELSE 'Indeterminate Pattern' END AS legacy_setup, {rnd('CASE ' + case(1) + ' ELSE 0.55 END')} AS legacy_confidence "
-                   "FROM (SELECT * REPLACE (rs_rating_spy AS r), atr_x_50 AS x, pct_ma_50 AS p, (close - sma_50) / nullif(atr_x_50, 0) AS atr FROM lc)")
+                   "FROM (SELECT * REPLACE (rs_rating_spy AS r), atr_x_50 AS x, pct_ma_50 AS p, CASE WHEN atr_14 IS NOT NULL THEN greatest(atr_14, 1e-6) END AS atr FROM lc)")
 
 
 def _z(fams: tuple[str, ...]) -> str:
@@ -360,13 +524,22 @@ def oracle_sql() -> dict[str, str]:
     o = dict(order="date")
     d["reconcile_sources"] = w(
         f"{panel('bx')}, {NB}, ra AS (SELECT entity, date, close, {roll('avg', 'close', 50, **o)} AS ma, {div('close', lag('close', 252, **o))} - 1.0 AS ret, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r FROM nb), "
-        "nc AS (SELECT * REPLACE (CASE WHEN entity = 'Brand#3' THEN close * 1.02 ELSE close END AS close) FROM nb), "
+        "nc AS (SELECT entity, date, arg_max(px, ord) AS close FROM raw WHERE second GROUP BY 1, 2), "
         f"rb AS (SELECT entity, date, close, {roll('avg', 'close', 50, **o)} AS ma, {div('close', lag('close', 252, **o))} - 1.0 AS ret, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r FROM nc)",
         f"SELECT a.entity, {rnd('a.close')} AS close_a, {rnd('a.ma')} AS ma_a, {rnd('abs((a.close - b.close) / b.close)')} AS close_gap, coalesce(abs((a.close - b.close) / b.close) > 0.005, false) OR coalesce(abs((a.ma - b.ma) / b.ma) > 0.01, false) "
         "OR coalesce(abs(a.ret - b.ret) > 0.02, false) AS discrepant FROM (SELECT * FROM ra WHERE r = 1) a JOIN (SELECT * FROM rb WHERE r = 1) b USING (entity)")
+    split = lambda tag, cond: (f"{tag} AS (SELECT r.entity, r.date, m.basket AS grp, arg_max(px, ord) AS close FROM raw r JOIN mem m ON m.entity = r.entity AND m.is_primary WHERE {cond} GROUP BY 1, 2, 3), "
+                               f"{tag}s AS (SELECT * FROM {tag} WHERE CAST('0x' || substr(md5('42|' || entity || '|' || strftime(date, '%Y-%m-%d')), 1, 8) AS BIGINT) < {_lookup(dict(RECONCILE_SHARES), 'grp', '0.0')} * 4294967296.0)")
+    d["reconcile_sampled"] = w(
+        f"{panel('bx')}, {split('ka', 'NOT second')}, {split('kb', 'second')}, kj AS (SELECT entity, date, grp, a.close AS close_a, b.close AS close_b, abs((a.close - b.close) / nullif(b.close, 0)) AS gap "
+        "FROM kas a FULL JOIN kbs b USING (entity, date, grp))",
+        f"SELECT {KEYS}, grp, {cols('close_a', 'close_b', 'gap')}, CASE WHEN close_b IS NULL THEN 'only_a' WHEN close_a IS NULL THEN 'only_b' ELSE 'both' END AS side, "
+        "close_a IS NULL OR close_b IS NULL OR coalesce(gap > 0.005, false) AS discrepant FROM kj")
     d["key_alignment"] = w(f"{panel('bx')}, {NB}, dn AS (SELECT * FROM panel WHERE {NO_BENCH})",
                            "SELECT (SELECT count(*) FROM dn) AS n_left, (SELECT count(*) FROM nb) AS n_right, (SELECT count(*) FROM dn WHERE close IS NULL) AS only_left, 0::BIGINT AS only_right, (SELECT max(date) FROM dn) = (SELECT max(date) FROM nb) AS same_latest")
     d["level3_findings"] = _l3()
+    d.update(_planted_queries())
+    d["check_status"] = f"SELECT passed, count(*) AS n FROM ({d['sanity_checks']}) GROUP BY passed"
     d["component_health"] = _scored(
         f"SELECT component, n, n_inf, n_null, n_extreme, {rnd('n_null / n')} AS null_rate, CASE WHEN n_inf > 0 THEN 'ERROR' WHEN n_null / n > 0.05 OR n_extreme > 0 THEN 'WARN' ELSE 'OK' END AS verdict FROM ("
         + " UNION ALL ".join(f"SELECT '{c}' AS component, count(*) AS n, count(*) FILTER (isinf({c})) AS n_inf, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER (abs({c}) > 5) AS n_extreme FROM lc WHERE {LATEST}" for c in config.COMPONENTS) + ")")
@@ -385,20 +558,35 @@ def oracle_sql() -> dict[str, str]:
 
     d["forward_return"] = w(_EV, f"SELECT {KEYS}, horizon, {cols('fwd')} FROM fw0")
     d["ic_per_date"] = w(_EV, f"SELECT {day()}, horizon, score_name, n, {cols('ic')} FROM ic")
-    d["ic_summary"] = w(_EV, "SELECT score_name, horizon, n_dates, " + cols("ic_mean", "ic_median", "ic_std", "hit_rate", ic_t_stat="CASE WHEN n_dates > 1 AND ic_std > 0 THEN ic_mean / (ic_std / sqrt(n_dates)) END")
-                        + f" FROM (SELECT score_name, horizon, count(ic) AS n_dates, avg(ic) AS ic_mean, median(ic) AS ic_median, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic IS NOT NULL THEN {flag('ic > 0')} END) AS hit_rate FROM ic GROUP BY 1, 2)")
+    d["ic_summary"] = w(_EV, _ic_summary("score_name, horizon"))
     d["rolling_ic"] = w(_EV, f"SELECT score_name, horizon, {day()}, {cols('rolling_ic')} FROM (SELECT *, {roll('avg', 'ic', 12, part='score_name, horizon', order='date')} AS rolling_ic FROM ic WHERE ic IS NOT NULL) WHERE rolling_ic IS NOT NULL")
     tr, te, st = EVAL_WINDOWS
     at = lambda off: f"(SELECT strftime(date, '%Y-%m-%d') FROM cal WHERE t = a + {off})"
     d["walk_forward_windows"] = w(_EVW, f"SELECT window_idx::INT AS window_idx, {at(0)} AS train_start, {at(tr - 1)} AS train_end, {at(tr)} AS test_start, {at(tr + te - 1)} AS test_end FROM wn")
     d["walk_forward_ic"] = w(_EVW, f"SELECT score_type, score_name, horizon, window_idx::INT AS window_idx, n_train_dates, n_test_dates, {cols('is_ic', 'oos_ic')} FROM wi")
     d["oos_summary"] = w(_EVW, f"SELECT score_type, score_name, horizon, n_windows, {cols(*OOS_NUMS)} FROM os")
-    d["feature_audit"] = w(
-        _EVW + ", ha AS (SELECT *, row_number() OVER (PARTITION BY score_type, horizon ORDER BY oos_ic_mean DESC, score_name) <= 2 AS top, row_number() OVER (PARTITION BY score_type, horizon ORDER BY oos_ic_mean, score_name) <= 2 AS bot FROM os WHERE n_windows >= 3), "
-        "hb AS (SELECT score_name, count(*) FILTER (top) AS n_top, count(*) FILTER (bot) AS n_bottom, count(oos_ic_mean) AS n_horizons, max(abs(oos_ic_mean)) AS ma, avg(oos_ic_mean) AS mo FROM ha WHERE score_type = 'feature' GROUP BY 1)",
-        f"SELECT score_name, n_top, n_bottom, n_horizons, {rnd('ma')} AS max_abs_oos_ic, {rnd('mo')} AS mean_oos_ic, n_top >= 3 AS universally_good, n_top BETWEEN 1 AND 2 AS horizon_specific, ma < 0.005 AS noise_candidate FROM hb")
-    d["component_summary"] = w(_EVW, f"SELECT score_name, {rnd('avg(oos_ic_mean)')} AS mean_oos_ic, count(*) FILTER (oos_ic_mean > 0) AS n_positive_horizons, count(*) FILTER (oos_ic_t_stat > 2) AS n_significant_positive, "
-                               "count(*) FILTER (oos_ic_t_stat < -2) AS n_significant_negative FROM os WHERE score_type = 'component' GROUP BY score_name")
+    d["feature_audit"] = w(f"{_EVW}, {_audit(2, 3)}", f"{_AUDIT_COLUMNS} FROM hb")
+    d["component_summary"] = w(_EVW, _COMPONENT_COLUMNS)
+    d["oos_significance"] = w(_EVW, _SIGNIFICANCE)
+    rolled = roll("avg", "ic", 60, part=SCORE_KEYS, order="date")
+    d["full_ic_per_date"] = _full(f"SELECT {day()}, {SCORE_KEYS}, n, {cols('ic')} FROM ic")
+    d["full_ic_summary"] = _full(_ic_summary(SCORE_KEYS))
+    d["full_rolling_ic"] = _full(f"SELECT {SCORE_KEYS}, {day()}, {cols('rolling_ic')} FROM (SELECT *, {rolled} AS rolling_ic FROM ic WHERE ic IS NOT NULL) WHERE rolling_ic IS NOT NULL")
+    d["full_walk_forward_ic"] = _full(f"SELECT {SCORE_KEYS}, window_idx::INT AS window_idx, n_train_dates, n_test_dates, {cols('is_ic', 'oos_ic')} FROM wi")
+    d["full_oos_summary"] = _full(f"SELECT {SCORE_KEYS}, n_windows, {cols(*OOS_NUMS)} FROM os")
+    d["full_oos_significance"] = _full(_SIGNIFICANCE)
+    d["full_feature_audit"] = _full(f"{_AUDIT_COLUMNS}, neg AND n_horizons >= 4 AS sign_flip_candidate FROM hb", _audit(20, 10))
+    d["full_component_summary"] = _full(_COMPONENT_COLUMNS)
+    zed = ", ".join(f"CASE WHEN stddev_pop({c[2:]}) OVER d < 1e-10 THEN 0.0 ELSE ({c[2:]} - avg({c[2:]}) OVER d) / nullif(stddev_pop({c[2:]}) OVER d, 0) END AS {c}" for c in RIDGE_COLS)
+    small = f"{_EVW}, rz AS (SELECT entity, date, {zed} FROM ev1 WINDOW d AS (PARTITION BY date)), {ridge('rz', RIDGE_COLS, 3, 200)}"
+    for k, sql in _ridge_queries(RIDGE_COLS).items():
+        d[f"ridge_{k}"] = w(small, sql)
+    large = ridge("sc", config.COMPONENTS, RIDGE_HORIZON, 1000)
+    for k, sql in _ridge_queries(config.COMPONENTS).items():
+        if k != "alphas":
+            d[f"full_ridge_{k}"] = _full(sql, large)
+    d["full_ridge_adopt"] = _full(f"SELECT {cols(gain_primary='gp', gain_short='gs')}, t_ok, n_unstable, coalesce(gp >= 10 AND gs >= 10, false) AND t_ok AND n_unstable = 0 AS adopt FROM ao, au",
+                                  f"{large}, {_adopt()}")
     ew = _lookup(effective_weights(), "score_name", "0.0")
     d["horizon_audit"] = w(
         _audit_ctes() + f", hz AS (SELECT score_name, max(oos_ic_mean) FILTER (horizon = 20) AS a, max(oos_ic_mean) FILTER (horizon = 60) AS b, max({ew}) AS e FROM os GROUP BY score_name)",
@@ -414,6 +602,8 @@ def oracle_sql() -> dict[str, str]:
     d["drawdown_regime"] = w(
         f"{panel('bx')}, {bench}, r0 AS (SELECT date, adj_close, {roll('max', 'adj_close', 252, 63, **one)} AS h, {roll('avg', 'adj_close', 200, 50, **one)} AS m FROM bm), r1 AS (SELECT *, (adj_close - h) / h AS dd, coalesce(adj_close > m, false) AS up FROM r0 WHERE h IS NOT NULL)",
         f"SELECT {day()}, {rnd('dd')} AS drawdown, up AS above_ma, CASE WHEN NOT dd > -0.15 THEN 'RED' WHEN up THEN 'GREEN' ELSE 'YELLOW' END AS regime_state FROM r1")
+    d["regime_context"] = (f"SELECT v.regime, v.latest_vol, r.regime_state, r.drawdown, 'G3|G4' AS weak_groups FROM ({d['vol_regime']}) v, "
+                           f"(SELECT * FROM ({d['drawdown_regime']}) ORDER BY date DESC LIMIT 1) r")
     d["dvol_quintile"] = w(
         f"{panel('sm')}, {NB}, q0 AS (SELECT entity, date, {roll('avg', '(close * volume)', 20, 10, order='date')} AS dvol FROM nb), q1 AS (SELECT *, row_number() OVER (ORDER BY dvol, entity) / count(*) OVER () AS r FROM q0 WHERE date = (SELECT max(date) FROM nb) AND dvol IS NOT NULL)",
         f"SELECT entity, {cols('dvol')}, (CASE WHEN r <= 0.2 THEN 1 WHEN r <= 0.4 THEN 2 WHEN r <= 0.6 THEN 3 WHEN r <= 0.8 THEN 4 ELSE 5 END)::BIGINT AS quintile FROM q1")
@@ -494,6 +684,13 @@ def oracle_sql() -> dict[str, str]:
     d["combine_sources"] = w(f"{panel('ud')}, {NB}, sec AS (SELECT entity, date, arg_max(px, ord) AS own FROM raw WHERE second GROUP BY ALL)",
                              f"SELECT {KEYS}, {cols(close='coalesce(own, -close)')} FROM nb LEFT JOIN sec USING (entity, date)")
     d["stream_bars"] = w(f"{panel('ud')}, {NB}", f"SELECT {KEYS}, {cols('open', 'high', 'low', 'close', 'volume')} FROM nb")
+    d["stream_bars_closed"] = w(f"{panel('ud')}, {NB}", f"SELECT {KEYS}, {cols('open', 'high', 'low', 'close', 'volume')} FROM nb "
+                                "WHERE date + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+    d["stream_bars_rejected"] = (
+        "WITH a AS (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events), b AS (SELECT min(s) AS lo, greatest(max(s) - min(s), 1) AS span FROM a), "
+        "c AS (SELECT a.*, least(2, (s - lo) * 3 // span) AS third FROM a, b), "
+        f"p AS (SELECT *, CASE WHEN third = 0 AND event_id % {LATE_EVERY} = 0 THEN 2 ELSE third END AS part FROM c) "
+        "SELECT event_id, user_id, 'late' AS reason FROM p WHERE part = 2 AND ts < (SELECT max(ts) - INTERVAL 2 DAY FROM p WHERE part < 2)")
     d["stream_indicators"] = w(
         f"{panel('bx')}, ownb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - 1 AS t FROM bars), {OF.recursion('ownb')}",
         f"SELECT {KEYS}, {cols('ema_21', 'atr_14', 'rsi_14', 'adx_14', 'supertrend_direction')} FROM ownb JOIN rec USING (entity, t) JOIN st USING (entity, t) WHERE {NO_BENCH}")

@@ -112,13 +112,18 @@ def _bars(raw: str, own: bool = False) -> str:
     )
 
 
+def _days(n: int) -> str:
+    """Brand bars of so many days, counted from the epoch."""
+    return (f"SELECT p_brand AS entity, l_shipdate::DATE - (date_diff('day', DATE '1970-01-01', l_shipdate::DATE) % {n})::INT AS date, l_returnflag = 'R' AS second, "
+            f"round(pow(l_extendedprice / l_quantity / 1000.0, 0.1) * 100.0, 6) AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey")
+
+
 RAW = {
     "sm": ("SELECT l_suppkey::VARCHAR AS entity, date_trunc('month', l_shipdate)::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem"),
     "bw": ("SELECT p_brand AS entity, date_trunc('week', l_shipdate)::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
-    "bx": ("SELECT p_brand AS entity, l_shipdate::DATE - (date_diff('day', DATE '1970-01-01', l_shipdate::DATE) % 5)::INT AS date, l_returnflag = 'R' AS second, "
-           f"round(pow(l_extendedprice / l_quantity / 1000.0, 0.1) * 100.0, 6) AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
+    "bx": _days(5), "bt": _days(3),
     "bd": ("SELECT p_brand AS entity, l_shipdate::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "ud": ("SELECT user_id::VARCHAR AS entity, ts::DATE AS date, event_type = 'purchase' AS second, value AS px, "
@@ -134,14 +139,14 @@ MEMBERS = {
 }
 _BRAND = ("SELECT 'G' || (no % 5)::VARCHAR AS basket, p_brand AS entity, 'BRANDS' AS category, 'CORE' AS basket_type, true AS is_primary FROM b "
           "UNION ALL SELECT 'T' || (no % 3)::VARCHAR, p_brand, 'TAGS', 'TAG', false FROM b")
-for _p in ("bw", "bx", "bd"):
+for _p in ("bw", "bx", "bt", "bd"):
     MEMBERS[_p] = ("WITH b AS (SELECT DISTINCT p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS no FROM part) " + _BRAND)
 
 
 def panel(p: str) -> str:
     """CTEs raw, bars, cal, mem, grp, panel (dense; benchmarks included)."""
     return (
-        f"{_bars(RAW[p], p == 'bx')}, mem AS MATERIALIZED ({MEMBERS[p]}), "
+        f"{_bars(RAW[p], p in ('bx', 'bt'))}, mem AS MATERIALIZED ({MEMBERS[p]}), "
         "grp0 AS (SELECT e.entity, coalesce(basket, 'UNKNOWN') AS grp FROM (SELECT DISTINCT entity FROM bars) e "
         "LEFT JOIN (SELECT * FROM mem WHERE is_primary) m USING (entity)), "
         "grp AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS grp_size FROM grp0), "

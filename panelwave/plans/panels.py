@@ -20,10 +20,10 @@ EPOCH = "1970-01-01"
 
 
 def _period(ts: Column, freq: str) -> Column:
-    """First day of the period: day, week, month, or five days counted from the epoch."""
-    if freq == "5day":
+    """First day of the period: day, week, month, or so many days ("5day") counted from the epoch."""
+    if freq.endswith("day") and freq != "day":
         days = F.datediff(ts, F.lit(EPOCH))
-        return F.date_sub(F.to_date(ts), F.pmod(days, F.lit(5)))
+        return F.date_sub(F.to_date(ts), F.pmod(days, F.lit(int(freq[:-3]))))
     return F.to_date(F.date_trunc(freq, ts))
 
 
@@ -74,7 +74,7 @@ def fine_bars(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
         "sm": lambda: line_bars(spark, sf_dir, "supplier", "month"),
         "bw": lambda: line_bars(spark, sf_dir, "brand", "week"),
         "bx": lambda: line_bars(spark, sf_dir, "brand", "5day", damped=True),
-        "bc": lambda: line_bars(spark, sf_dir, "brand", "day", damped=True),
+        "bt": lambda: line_bars(spark, sf_dir, "brand", "3day", damped=True),
         "bd": lambda: line_bars(spark, sf_dir, "brand", "day"),
         "ud": lambda: event_bars(spark, sf_dir),
     }
@@ -115,7 +115,7 @@ def with_groups(bars: DataFrame, members: DataFrame) -> DataFrame:
     return bars.join(small_side(sized), "entity")
 
 
-CARRIED = ("bx", "bc")
+CARRIED = ("bx", "bt")
 
 
 class PanelSource:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwave import config
@@ -13,12 +13,13 @@ from panelwave.operators import bars as B
 from panelwave.operators import cascades, evaluate, quality, reliability, themes, views
 from panelwave.operators import xsection as xs
 from panelwave.operators.components import components
+from panelwave.operators import orderwin as OW
 from panelwave.operators.score import score
 from panelwave.operators.sizing import materialize
 from panelwave.operators.standardize import standardize
 from panelwave.operators.state import state
-from panelwave.plans import scoring
-from panelwave.plans.panels import BENCHMARKS, PanelSource, adjustment, event_bars, table
+from panelwave.plans import planted, scoring
+from panelwave.plans.panels import BENCHMARKS, PanelSource, adjustment, event_bars, fine_bars, table
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def source(spark: SparkSession, sf_dir: str, panel: str) -> PanelSource:
 def feature_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
     """108-column feature panel, by default of the brands' five-day bars."""
     s = source(spark, sf_dir, panel)
-    return _once(spark, sf_dir, f"features_{panel}", lambda: scoring.feature_stage(s.dense(), BENCHMARKS, s.bound))
+    return _once(spark, sf_dir, f"features_{panel}", lambda: scoring.feature_stage(s.dense(), BENCHMARKS, s.bound, ("atr_14",)))
 
 
 def z_panel(spark: SparkSession, sf_dir: str, panel: str = "bx") -> DataFrame:
@@ -114,6 +115,15 @@ def _dense_layer(panel: str, **exprs: Callable[[TimeAxis], Column]) -> Query:
     return run
 
 
+def _order_layer(panel: str, **windows: OW.Window) -> Query:
+    """Query = order statistics of the closes of one dense panel."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = source(spark, sf_dir, panel).dense().select("entity", "date", "t", "close")
+        return shape(no_bench(OW.order_windows(d, "close", windows)), list(windows))
+
+    return run
+
+
 def _features(*names: str, text: Sequence[str] = ()) -> Query:
     return lambda spark, sf_dir: shape(feature_panel(spark, sf_dir), names, text)
 
@@ -323,8 +333,8 @@ def _themes(name: str) -> Query:
 
 
 def legacy_setup_cascade(spark, sf_dir):
-    """Legacy 27-label cascade on the scored panel (ATR rebuilt from the stored distance columns)."""
-    x = scored_panel(spark, sf_dir).withColumn("atr_14", F.try_divide(col("close") - col("sma_50"), col("atr_x_50")))
+    """Legacy 27-label cascade on the scored panel; the average range is held above zero."""
+    x = scored_panel(spark, sf_dir).withColumn("atr_14", F.when(col("atr_14").isNotNull(), F.greatest("atr_14", F.lit(1e-6))))
     return shape(cascades.legacy_setups(x), ("legacy_confidence",), ("legacy_setup",))
 
 
@@ -433,15 +443,29 @@ def coverage_anti(spark, sf_dir):
     return declared.join(present, "entity", "left_anti")
 
 
+def _returned_bars(spark, sf_dir, returned: bool = True) -> DataFrame:
+    """Brand bars of the returned line items alone (or of all others): a source of its own, with gaps."""
+    fine = _once(spark, sf_dir, "fine_bx", lambda: materialize(fine_bars(spark, sf_dir, "bx")))
+    return B.finish_bars(B.merge_bars(fine.where(col("second") if returned else ~col("second")), ["entity", "date"]))
+
+
 def reconcile_sources(spark, sf_dir):
-    """All line items against the returnable half, per brand and week."""
-    s = source(spark, sf_dir, "bx")
-    a = no_bench(s.bars)
-    b = a.withColumn("close", F.when(F.col("entity") == "Brand#3", col("close") * 1.02).otherwise(col("close")))
-    x = reliability.reconcile(a, b)
+    """Latest close, average and long return of all line items against those of the returned ones, per brand."""
+    x = reliability.reconcile(no_bench(source(spark, sf_dir, "bx").bars), _returned_bars(spark, sf_dir))
     return x.select("entity", rnd(col("close_a")).alias("close_a"), rnd(col("ma_a")).alias("ma_a"), rnd(col("close_gap")).alias("close_gap"), "discrepant")
 
 
+RECONCILE_SHARES = (("G0", 1.0), ("G1", 0.5), ("G2", 0.5), ("G3", 0.25), ("G4", 0.1))
+
+
+def reconcile_sampled(spark, sf_dir):
+    """Kept against returned items on a sample of keys by brand group, keys of one side included."""
+    members = source(spark, sf_dir, "bx").members.where("is_primary").select("entity", col("basket").alias("grp"))
+    kept, back = (_returned_bars(spark, sf_dir, r).join(F.broadcast(members), "entity") for r in (False, True))  # a row for each brand
+    x = reliability.reconcile_keys(kept, back, spark.createDataFrame(list(RECONCILE_SHARES), "grp string, share double"))
+    return shape(x, ("close_a", "close_b", "gap"), ("grp", "side", "discrepant"))
+
+
 def key_alignment(spark, sf_dir):
     return reliability.key_alignment(scored_panel(spark, sf_dir), no_bench(source(spark, sf_dir, "bx").bars))
 
@@ -458,6 +482,68 @@ def level3_findings(spark, sf_dir):
     return out.groupBy("check", "severity").agg(F.count("*").alias("n"))
 
 
+def _planted_findings(spark, sf_dir) -> DataFrame:
+    s = source(spark, sf_dir, "bx")
+    rules = spark.createDataFrame(list(reliability.RANGE_RULES), reliability.RULE_SCHEMA)
+    return reliability.all_findings(
+        planted.scored(views.latest(scored_panel(spark, sf_dir))), planted.themes(views.latest(theme_panel(spark, sf_dir))),
+        s.members.where(col("entity") != planted.ORPHAN), rules)
+
+
+def findings_listed(spark, sf_dir):
+    """Every finding on the latest date of tables with planted faults, with what was seen and what is allowed."""
+    x = _planted_findings(spark, sf_dir)
+    return x.select("entity", "check", "severity", *[rnd(col(c)).alias(c) for c in ("observed", "low", "high")])
+
+
+def findings_verdict(spark, sf_dir):
+    return reliability.verdict(_planted_findings(spark, sf_dir))
+
+
+def anomaly_list(spark, sf_dir):
+    """All anomalies of the latest date of a history with planted jumps and flips, in reporting order."""
+    x = scored_panel(spark, sf_dir)
+    found = reliability.anomalies(planted.history(x, views.ranked_dates(x)))
+    order = [F.when(col("severity") == "high", 0).otherwise(1), F.col("type").isin("grade_jump", "state_flip").cast("int"),
+             (col("type") == "state_flip").cast("int"), col("entity")]
+    place = F.row_number().over(Window.partitionBy("date").orderBy(*order))  # a few rows for each name of one date
+    return found.select("entity", day(), "type", "severity", place.alias("place"))
+
+
+def dq_planted(spark, sf_dir):
+    """The firewall on bars with planted faults and a universe with a name that has no bars."""
+    b = no_bench(source(spark, sf_dir, "bx").bars)
+    universe = b.select("entity").unionByName(spark.createDataFrame([(planted.ABSENT,)], "entity string"))
+    return _report_text(quality.firewall(planted.bars(b), universe))
+
+
+def ingest_reasons(spark, sf_dir):
+    """Reasons of names whose closes are all missing or that have no rows at all."""
+    b = no_bench(source(spark, sf_dir, "bx").bars)
+    asked = b.select("entity").unionByName(spark.createDataFrame([(planted.ABSENT,)], "entity string"))
+    return quality.ingest_rejects(planted.bars(b), asked)
+
+
+def parity_check(spark, sf_dir):
+    """Pinned values of the latest date against tables with planted faults: tolerance by field, exact labels."""
+    pinned = views.latest(scored_panel(spark, sf_dir))
+    x = reliability.parity(planted.scored(pinned), pinned, {"score": 0.01, "rs_rating_spy": 0.01, "adx_14": 0.5}, ("grade", "primary_state", "leadership_tier"))
+    return x.select("entity", day(), "field", "passed")
+
+
+def regime_context(spark, sf_dir):
+    """Both market regimes and the groups of the configured weak list, as the serving layer reads them."""
+    x = views.regime_context(_bench(spark, sf_dir), ("G3", "G4"))
+    return x.select(col("market_vol.regime").alias("regime"), rnd(col("market_vol.latest_vol")).alias("latest_vol"),
+                    col("design_space.regime_state").alias("regime_state"), rnd(col("design_space.drawdown")).alias("drawdown"),
+                    F.array_join("weak_groups", "|").alias("weak_groups"))
+
+
+def check_status(spark, sf_dir):
+    """How many sanity checks pass."""
+    return views.check_status_counts(sanity_checks(spark, sf_dir))
+
+
 def component_health(spark, sf_dir):
     x = reliability.component_health(views.latest(scored_panel(spark, sf_dir)))
     return x.select("component", "n", "n_inf", "n_null", "n_extreme", rnd(col("null_rate")).alias("null_rate"), "verdict")
@@ -554,9 +640,14 @@ def oos_summary(spark, sf_dir):
     return x.select("score_type", "score_name", "horizon", "n_windows", *[rnd(col(c)).alias(c) for c in OOS_NUMS])
 
 
+def _significance(diag: DataFrame) -> DataFrame:
+    nums = (*OOS_NUMS, "oos_ic_se", "oos_p_value")
+    return evaluate.oos_significance(diag).select("score_type", "score_name", "horizon", "n_windows", *[rnd(col(c)).alias(c) for c in nums])
+
+
 def oos_significance(spark, sf_dir):
-    """With standard error and Student-t p-value (no SQL counterpart for the p-value)."""
-    return evaluate.oos_significance(_window_ic(spark, sf_dir))
+    """With standard error and Student-t p-value."""
+    return _significance(_window_ic(spark, sf_dir))
 
 
 def feature_audit(spark, sf_dir):
@@ -596,23 +687,40 @@ def _ridge(spark, sf_dir):
     return *_once(spark, sf_dir, "ridge", build), fwd, s
 
 
+def _ridge_weight_columns(w: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return w.select("window_idx", "alpha", "n_train", *[rnd(col(f"w_{c}")).alias(f"w_{c}") for c in cols])
+
+
+def _ridge_oos_columns(x: DataFrame) -> DataFrame:
+    return x.select("window_idx", "horizon", rnd(col("oos_ic")).alias("oos_ic"), "n_dates")
+
+
+def _ridge_consensus_columns(x: DataFrame) -> DataFrame:
+    return x.select("component", rnd(col("mean_weight")).alias("mean_weight"), rnd(col("std_weight")).alias("std_weight"), "n_windows", "unstable")
+
+
 def ridge_weights(spark, sf_dir):
-    return _ridge(spark, sf_dir)[2]
+    return _ridge_weight_columns(_ridge(spark, sf_dir)[2], RIDGE_COLS)
 
 
 def ridge_oos(spark, sf_dir):
     rows, members, weights, fwd, s = _ridge(spark, sf_dir)
-    return evaluate.ridge_oos(rows, members, weights, fwd, RIDGE_COLS, bound=s.bound)
+    return _ridge_oos_columns(evaluate.ridge_oos(rows, members, weights, fwd, RIDGE_COLS, bound=s.bound))
 
 
 def ridge_consensus(spark, sf_dir):
-    return evaluate.ridge_consensus(_ridge(spark, sf_dir)[2], RIDGE_COLS)
+    return _ridge_consensus_columns(evaluate.ridge_consensus(_ridge(spark, sf_dir)[2], RIDGE_COLS))
+
+
+def ridge_alphas(spark, sf_dir):
+    """How often each penalty was chosen."""
+    return evaluate.alpha_histogram(_ridge(spark, sf_dir)[2])
 
 
-# ---- full evaluation: composite, components and every numeric feature on the brands' carried daily bars ----
+# ---- full evaluation: composite, components and every numeric feature on the brands' carried three-day bars ----
 FULL_SCORES = {"composite": ("score",), "component": config.COMPONENTS, "feature": tuple(Z_NAMES)}
 FULL_WINDOWS = (252, 21, 21)
-FULL_PANEL = "bc"
+FULL_PANEL = "bt"
 RIDGE_HORIZON = 126
 
 
@@ -654,7 +762,7 @@ def full_oos_summary(spark, sf_dir):
 
 
 def full_oos_significance(spark, sf_dir):
-    return evaluate.oos_significance(_full_window_ic(spark, sf_dir))
+    return _significance(_full_window_ic(spark, sf_dir))
 
 
 def full_feature_audit(spark, sf_dir):
@@ -681,16 +789,30 @@ def _full_ridge(spark, sf_dir):
 
 
 def full_ridge_weights(spark, sf_dir):
-    return _full_ridge(spark, sf_dir)[2]
+    return _ridge_weight_columns(_full_ridge(spark, sf_dir)[2], config.COMPONENTS)
 
 
-def full_ridge_oos(spark, sf_dir):
+def _full_ridge_oos(spark, sf_dir) -> DataFrame:
     rows, members, weights, fwd, s = _full_ridge(spark, sf_dir)
     return evaluate.ridge_oos(rows, members, weights, fwd, config.COMPONENTS, bound=s.bound)
 
 
+def full_ridge_oos(spark, sf_dir):
+    return _ridge_oos_columns(_full_ridge_oos(spark, sf_dir))
+
+
 def full_ridge_consensus(spark, sf_dir):
-    return evaluate.ridge_consensus(_full_ridge(spark, sf_dir)[2], config.COMPONENTS)
+    return _ridge_consensus_columns(evaluate.ridge_consensus(_full_ridge(spark, sf_dir)[2], config.COMPONENTS))
+
+
+def full_ridge_adopt(spark, sf_dir):
+    """Whether learned component weights replace the hand-set composite: gains, t-statistics and stability."""
+    g = _full_ridge_oos(spark, sf_dir).groupBy("horizon").agg(
+        F.avg("oos_ic").alias("oos_ic_mean"), F.stddev_samp("oos_ic").alias("_s"), F.count("*").alias("_n"))
+    learned = g.select("horizon", "oos_ic_mean", evaluate.t_stat(col("oos_ic_mean"), col("_s"), col("_n")).alias("oos_ic_t_stat"))
+    hand_set = evaluate.oos_summary(_full_window_ic(spark, sf_dir)).where(col("score_type") == "composite")
+    x = evaluate.adopt_rule(learned, hand_set, evaluate.ridge_consensus(_full_ridge(spark, sf_dir)[2], config.COMPONENTS))
+    return x.select(rnd(col("gain_primary")).alias("gain_primary"), rnd(col("gain_short")).alias("gain_short"), "t_ok", "n_unstable", "adopt")
 
 
 # ---- context and views --------------------------------------------------------------------------
@@ -1022,31 +1144,99 @@ def _run_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def _arrivals(spark: SparkSession, rows: DataFrame, part: Column, run: Callable[[DataFrame, str], object]) -> str:
+    """Rows arrive in three writes; the streaming query (by its input and folder) is started anew for each of them."""
+    import uuid
+
+    from panelwave.operators.sizing import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder)
+    return folder
+
+
+def _thirds(df: DataFrame, at: Column) -> Column:
+    """Which third of the time span a row lies in: 0, 1 or 2."""
+    low, high = df.agg(F.min(at), F.max(at)).head()  # two numbers
+    span = max(high - low, 1)
+    return F.least(F.lit(2), F.floor((at - low) * 3 / span)).cast("int")
+
+
+def _event_bars() -> tuple:
+    return col("user_id").cast("string"), "ts", col("value"), F.lit(1.0), F.struct("ts", "event_id")
+
+
+LATE_EVERY = 97  # every so many-th event of the first third arrives with the last one
+
+
+def _event_arrivals(spark, sf_dir, lateness: str) -> str:
+    from panelwave.streaming.bars import upsert_bars
+
+    def build() -> str:
+        ev = table(spark, sf_dir, "events")
+        third = _thirds(ev, F.unix_timestamp(col("ts").cast("timestamp")))
+        part = F.when((third == 0) & (F.pmod("event_id", F.lit(LATE_EVERY)) == 0), 2).otherwise(third)
+        return _arrivals(spark, ev, part, lambda rows, folder: upsert_bars(rows, folder, *_event_bars(), lateness=lateness)
+                         .trigger(availableNow=True).start().awaitTermination())
+
+    return _once(spark, sf_dir, f"arrivals_{lateness}", build)
+
+
 def stream_bars(spark, sf_dir):
-    """Daily user bars from the event stream; days still open behind the watermark come from the batch operator."""
-    from panelwave.streaming.bars import finish_bars
+    """Daily user bars from events that arrive in three files, the last with late ones, and two restarts between them."""
+    from panelwave.streaming.bars import read_bars
+
+    return shape(read_bars(spark, _event_arrivals(spark, sf_dir, "10000 days")), ("open", "high", "low", "close", "volume"))
+
+
+def stream_bars_rejected(spark, sf_dir):
+    """Events that came more than two days behind what earlier files held."""
+    from panelwave.streaming.bars import read_rejected
+
+    return read_rejected(spark, _event_arrivals(spark, sf_dir, "2 days")).select("event_id", "user_id", "reason")
+
+
+def stream_bars_closed(spark, sf_dir):
+    """Daily user bars that the watermark has closed once the stream is drained: nothing from a batch."""
     from panelwave.streaming.bars import stream_bars as sb
 
     ev = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    args = (col("user_id").cast("string"), "ts", col("value"), F.lit(1.0), F.struct("ts", "event_id"))
-    x = finish_bars(_run_stream(sb(ev, *args), spark), table(spark, sf_dir, "events"), *args)
-    return shape(x, ("open", "high", "low", "close", "volume"))
+    return shape(_run_stream(sb(ev, *_event_bars()), spark), ("open", "high", "low", "close", "volume"))
+
+
+INDICATOR_COLUMNS = ("ema_21", "atr_14", "rsi_14", "adx_14", "supertrend_direction")
 
 
 def stream_indicators(spark, sf_dir):
-    """Incremental EMA / Wilder / supertrend of the brand-week bars, read as a stream."""
-    import uuid
+    """EMA, Wilder and supertrend of the brands' bars: the first third in batch, whose last states seed a stream of the rest.
 
-    from panelwave.operators.sizing import ensure_checkpoint_dir
+    The rest arrives in three files, with a restart of the query between them.
+    """
+    from panelwave.operators.recursive import recursive_indicators
+    from panelwave.streaming.indicators import PROVIDER, last_states
     from panelwave.streaming.indicators import stream_indicators as si
 
     bars = no_bench(source(spark, sf_dir, "bx").bars).select("entity", "date", "high", "low", "close")
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/bars-{uuid.uuid4().hex}"
-    bars.write.parquet(path)
-    return shape(_run_stream(si(spark.readStream.schema(bars.schema).parquet(path)), spark), ("ema_21", "atr_14", "rsi_14", "adx_14", "supertrend_direction"))
+    third = _thirds(bars, F.datediff("date", F.lit("1970-01-01")))
+    old, new = bars.where(third == 0), bars.where(third > 0)
+    states = materialize(last_states(old))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
 
+    def run(rows: DataFrame, folder: str) -> None:
+        (si(rows, states).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+         .trigger(availableNow=True).outputMode("append").start().awaitTermination())
 
+    spark.conf.set(key, PROVIDER)
+    try:
+        folder = _arrivals(spark, new, _thirds(new, F.datediff("date", F.lit("1970-01-01"))), run)
+    finally:
+        spark.conf.set(key, before)
+    batch = recursive_indicators(old.withColumn("t", F.datediff("date", F.lit("1970-01-01")))).select("entity", "date", *INDICATOR_COLUMNS)
+    return shape(batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/out")), INDICATOR_COLUMNS)
 
 
 DIRECT: dict[str, Query] = {
@@ -1057,8 +1247,8 @@ DIRECT: dict[str, Query] = {
     "roll_minmax": _dense_layer("bd", max_40=lambda w: w.max(col("high"), 40, 10), min_40=lambda w: w.min(col("low"), 40, 10),
                                 prior_max_20=lambda w: w.max(col("high"), 20, 5, shift=1)),
     "roll_sum_count": _dense_layer("bd", vol_25=lambda w: w.sum(col("volume"), 25, 10)),
-    "roll_quantile": _dense_layer("bw", q80=lambda w: w.quantile(col("close"), 0.8, 52, 40), q05=lambda w: w.quantile(col("close"), 0.05, 52, 40)),
-    "roll_rank": _dense_layer("bw", rank_52=lambda w: w.rank_in_window(col("close"), 52, 20), share_le_52=lambda w: w.share_le(col("close"), 52, 20)),
+    "roll_quantile": _order_layer("bw", q80=OW.Window("quantile", 52, 40, 0.8), q05=OW.Window("quantile", 52, 40, 0.05)),
+    "roll_rank": _order_layer("bw", rank_52=OW.Window("rank", 52, 20), share_le_52=OW.Window("share_le", 52, 20)),
     "pct_changes": _dense_layer("bd", ret_1=lambda w: w.change(col("close"), 1), ret_21=lambda w: w.change(col("close"), 21),
                                 lead_5=lambda w: w.lead(col("close"), 5)),
     "pct_rank": pct_rank, "pct_rank_bucketed": pct_rank_bucketed, "robust_z": robust_z, "standard_z": standard_z, "winsorize": winsorize,
@@ -1073,16 +1263,19 @@ DIRECT: dict[str, Query] = {
     "corporate_actions": corporate_actions, "corporate_action_summary": corporate_action_summary, "most_affected": most_affected,
     "anomalies_score": anomalies_score, "anomalies_grade": anomalies_grade, "anomalies_state": anomalies_state, "anomaly_summary": anomaly_summary,
     "label_transitions": label_transitions, "sanity_checks": sanity_checks, "coverage_report": coverage_report, "coverage_anti": coverage_anti,
-    "reconcile_sources": reconcile_sources, "key_alignment": key_alignment, "level3_findings": level3_findings, "component_health": component_health,
+    "reconcile_sources": reconcile_sources, "reconcile_sampled": reconcile_sampled, "key_alignment": key_alignment, "level3_findings": level3_findings, "findings_listed": findings_listed, "findings_verdict": findings_verdict,
+    "anomaly_list": anomaly_list, "dq_planted": dq_planted, "ingest_reasons": ingest_reasons, "parity_check": parity_check,
+    "regime_context": regime_context, "check_status": check_status, "component_health": component_health,
     "grade_monotonic": grade_monotonic, "price_freshness": price_freshness, "history_coverage": history_coverage,
     "forward_return": forward_return, "ic_per_date": ic_per_date, "ic_summary": ic_summary, "rolling_ic": rolling_ic,
     "walk_forward_windows": walk_forward_windows, "walk_forward_ic": walk_forward_ic, "oos_summary": oos_summary, "oos_significance": oos_significance,
     "feature_audit": feature_audit, "component_summary": component_summary, "horizon_audit": horizon_audit,
-    "ridge_weights": ridge_weights, "ridge_oos": ridge_oos, "ridge_consensus": ridge_consensus,
+    "ridge_weights": ridge_weights, "ridge_oos": ridge_oos, "ridge_consensus": ridge_consensus, "ridge_alphas": ridge_alphas,
     "full_ic_per_date": full_ic_per_date, "full_ic_summary": full_ic_summary, "full_rolling_ic": full_rolling_ic,
     "full_walk_forward_ic": full_walk_forward_ic, "full_oos_summary": full_oos_summary, "full_oos_significance": full_oos_significance,
     "full_feature_audit": full_feature_audit, "full_component_summary": full_component_summary,
     "full_ridge_weights": full_ridge_weights, "full_ridge_oos": full_ridge_oos, "full_ridge_consensus": full_ridge_consensus,
+    "full_ridge_adopt": full_ridge_adopt,
     "vol_regime": vol_regime, "drawdown_regime": drawdown_regime, "dvol_quintile": dvol_quintile, "snapshot_view": snapshot_view,
     "gainers": _movers(True), "losers": _movers(False), "grade_moves": grade_moves, "contributions": contributions,
     "grade_threshold_history": grade_threshold_history, "threshold_alignment": threshold_alignment, "peers": peers, "top_by_group": top_by_group,
@@ -1094,7 +1287,8 @@ DIRECT: dict[str, Query] = {
     "membership_queries": membership_queries, "union_universe": union_universe, "run_validation": run_validation, "label_translation": label_translation,
     "gate_filter": gate_filter, "overrides_roundtrip": overrides_roundtrip, "snapshot_roundtrip": snapshot_roundtrip, "slim_latest": slim_latest,
     "serving_resolution": serving_resolution, "report_roundtrip": report_roundtrip, "exclude_sector": exclude_sector,
-    "combine_sources": combine_sources, "stream_bars": stream_bars, "stream_indicators": stream_indicators,
+    "combine_sources": combine_sources, "stream_bars": stream_bars, "stream_bars_rejected": stream_bars_rejected,
+    "stream_bars_closed": stream_bars_closed, "stream_indicators": stream_indicators,
 }
 
 

@@ -1,69 +1,98 @@
-"""Incremental indicators: the same state object as the batch stage, kept per entity by Spark."""
+"""Incremental indicators: the batch kernel with an entity's state kept by Spark between micro-batches."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from panelwave.operators.recursive import RECURSIVE_COLUMNS, IndicatorState
-from panelwave.operators.sizing import ship_package
+from panelwave.operators.recursive import RECURSIVE_COLUMNS, indicators
+from panelwave.operators.sizing import ship_package, spread
 
-STATE = T.StructType([T.StructField("payload", T.BinaryType())])
+#: one named field for each smoothing; a field that a stored state lacks starts anew
+STATE_FIELDS = (
+    "bar", "ema_8", "ema_20", "ema_21", "ema_50", "fast", "slow", "signal", "atr_14_run", "atr_14", "atr_10_run", "atr_10",
+    "plus_run", "plus", "minus_run", "minus", "adx_run", "adx", "gain_run", "gain", "loss_run", "loss", "trend",
+)
+STATE = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in STATE_FIELDS])
 OUTPUT = T.StructType([
     T.StructField("entity", T.StringType()), T.StructField("date", T.DateType()),
     *[T.StructField(c, T.DoubleType()) for c in RECURSIVE_COLUMNS],
 ])
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _rows(pdf: pd.DataFrame, state: IndicatorState, key) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    bars = ([None if v != v else v for v in pdf[c].astype("float64")] for c in ("high", "low", "close"))
-    out = [state.step(*b) for b in zip(*bars, strict=True)]
-    res = pd.DataFrame(out, columns=list(RECURSIVE_COLUMNS), dtype="float64")
-    res.insert(0, "entity", key)
-    res.insert(1, "date", pdf["date"].to_numpy())
-    return res
+def _advance(high: np.ndarray, low: np.ndarray, close: np.ndarray, state: dict) -> dict[str, np.ndarray]:
+    start = np.zeros(len(close), bool)
+    start[0] = not state
+    with np.errstate(invalid="ignore"):
+        return indicators(high, low, close, start, state)
 
 
 class IndicatorProcessor(StatefulProcessor):
-    """transformWithState processor (needs the RocksDB state store)."""
+    """transformWithState processor: typed state, and an initial state from a batch run."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("indicators", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else IndicatorState()
-        for pdf in rows:
-            yield _rows(pdf, s, key[0])
-        self.state.update((pickle.dumps(s),))
+        held = dict(zip(STATE_FIELDS, self.state.get())) if self.state.exists() else {}
+        state = {c: list(v) for c, v in held.items() if v is not None}
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("date")  # one entity's bars of one micro-batch
+        made = _advance(*(pdf[c].to_numpy("float64") for c in ("high", "low", "close")), state)
+        self.state.update(tuple([float(x) for x in state[c]] for c in STATE_FIELDS))
+        yield pd.DataFrame({"entity": key[0], "date": pdf["date"].to_numpy(), **made})[OUTPUT.fieldNames()]
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
+        row = initial.iloc[-1]
+        self.state.update(tuple([float(x) for x in row[c]] for c in STATE_FIELDS))
 
     def close(self) -> None:
         pass
 
 
-def stream_indicators(bars: DataFrame) -> DataFrame:
-    """EMA, Wilder averages and supertrend of an arriving bar stream (entity, date, high, low, close).
+def last_states(panel: DataFrame, order: str = "date") -> DataFrame:
+    """(entity, STATE_FIELDS...) after the last row of each entity of a batch panel."""
+    schema = T.StructType([panel.schema["entity"], *STATE.fields])
 
-    Bars of one entity must arrive in date order across micro-batches; inside a micro-batch they are sorted.
-    """
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(state.get[0]) if state.exists else IndicatorState()
-        pdf = pd.concat(list(batches), ignore_index=True)  # one entity's bars of one micro-batch
-        out = _rows(pdf, s, key[0])
-        state.update((pickle.dumps(s),))
-        yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, {}
 
-    ship_package(bars.sparkSession)
-    return bars.groupBy("entity").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout")
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([last[0]], pa.string()), *[pa.array([state[c]], pa.list_(pa.float64())) for c in STATE_FIELDS]], schema.fieldNames())
+
+        for batch in batches:
+            names = batch.column(batch.schema.get_field_index("entity")).to_pylist()
+            bars = [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("high", "low", "close")]
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(names)]):
+                if last != (names[a],):
+                    if last is not None:
+                        yield out()
+                    last, state = (names[a],), {}
+                _advance(*(c[a:b] for c in bars), state)
+        if last is not None:
+            yield out()
 
+    ship_package(panel.sparkSession)
+    rows = panel.select("entity", order, "high", "low", "close")
+    return spread(rows, "entity").sortWithinPartitions("entity", order).mapInArrow(run, schema)
 
-def stream_indicators_tws(bars: DataFrame) -> DataFrame:
-    """Same operator on the transformWithState API."""
+
+def stream_indicators(bars: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """EMA, Wilder averages and supertrend of an arriving bar stream (entity, date, high, low, close).
+
+    Bars of one entity must arrive in date order across micro-batches; inside a micro-batch they are sorted. ``initial``
+    (``last_states`` of a batch panel) seeds entities that the batch has seen; it counts in a query's first run only.
+    The session's state store provider must be PROVIDER.
+    """
     ship_package(bars.sparkSession)
     return bars.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=IndicatorProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+        statefulProcessor=IndicatorProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="none",
+        initialState=None if initial is None else initial.groupBy("entity"))

@@ -15,7 +15,8 @@ from panelwave.functions.rolling import TimeAxis
 from panelwave.operators import bars as B
 from panelwave.operators import cascades, evaluate, quality, reliability, views
 from panelwave.operators import xsection as xs
-from panelwave.operators.recursive import Ema, IndicatorState, Rma, Supertrend, recursive_indicators, rolling_hurst
+from panelwave.operators.orderwin import Wavelet, Window, order_statistics, order_windows
+from panelwave.operators.recursive import Supertrend, affine_scan, indicators, recursive_indicators, rolling_hurst, smooth, wilder
 from panelwave.operators.score import composite, state_weights
 from panelwave.operators.state import state
 
@@ -44,26 +45,43 @@ def gap_series():
     return x
 
 
+def whole_and_cut(fn, x):
+    """fn over the whole series, after checking that pieces with a carried state, and a neighbour before, give the same."""
+    begin = np.zeros(len(x), bool)
+    begin[0] = True
+    whole = fn(x, begin, {})
+    for cut in (1, 3, 22, 41, 70, 89):
+        state = {}
+        np.testing.assert_allclose(np.concatenate([fn(x[:cut], begin[:cut], state), fn(x[cut:], begin[cut:], state)]), whole, rtol=1e-11)
+    both = fn(np.concatenate([x[5:], x]), np.concatenate([begin[:-5], begin]), {})
+    np.testing.assert_allclose(both[len(x) - 5 :], whole, rtol=1e-11)
+    return whole
+
+
+def test_affine_scan():
+    rng = np.random.default_rng(4)
+    a, b, y, want = rng.uniform(-1, 1, 77), rng.normal(size=77), 0.0, []
+    for i in range(77):
+        y = a[i] * y + b[i]
+        want.append(y)
+    np.testing.assert_allclose(affine_scan(a, b), want, rtol=1e-12)
+
+
 def test_ema_matches_ewm_with_gaps():
     x = gap_series()
-    e = Ema(2 / 6, 5)
-    got = [e.step(None if np.isnan(v) else v) for v in x]
     want = pd.Series(x).ewm(span=5, adjust=False, min_periods=5).mean()
-    for g, w in zip(got, want, strict=True):
-        assert (g is None and np.isnan(w)) or abs(g - w) < 1e-9
+    np.testing.assert_allclose(whole_and_cut(lambda part, start, state: smooth(part, start, 2 / 6, 5, state, "e"), x), want, rtol=1e-11)
 
 
 def test_rma_reseeds_after_gap():
     x = pd.Series(gap_series())
-    r = Rma(5)
-    got = [r.step(None if np.isnan(v) else v) for v in x]
     sma = x.rolling(5, min_periods=5).mean()
     fed = x.where(sma.notna())
     first = sma.notna() & sma.shift(1).isna()
     fed[first] = sma[first]
     want = fed.ewm(alpha=0.2, adjust=False).mean()
-    for g, w in zip(got, want, strict=True):
-        assert (g is None and np.isnan(w)) or abs(g - w) < 1e-9
+    got = whole_and_cut(lambda part, start, state: wilder(part, start, 5, state, "r"), x.to_numpy())
+    np.testing.assert_allclose(got, want, rtol=1e-11)
 
 
 def test_supertrend_flip_and_restart():
@@ -99,9 +117,43 @@ def test_recursion_independent_of_batches_and_partitions(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     pd.testing.assert_frame_equal(a, b)
-    s = IndicatorState()
-    first = [s.step(h, l, c) for e, _, h, l, c in rows if e == "e0"]
-    assert abs(first[-1][0] - a[a.entity == "e0"].ema_8.iloc[-1]) < 1e-12
+    own = np.array([r[2:] for r in rows if r[0] == "e0"]).T
+    begin = np.arange(60) == 0
+    first = indicators(*own, begin, {})
+    for name in ("ema_8", "adx_14", "rsi_14", "supertrend_direction"):
+        np.testing.assert_allclose(first[name], a[a.entity == "e0"][name], rtol=1e-12)
+
+
+def test_order_statistics_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=400), 1)  # many ties
+    x[rng.random(400) < 0.1] = np.nan
+    first = np.where(np.arange(400) < 150, 0, 150)
+    windows = {"q": Window("quantile", 25, 10, 0.8), "p": Window("quantile", 400, 1, 0.0), "r": Window("rank", 25, 5), "s": Window("share_le", 25, 5)}
+    got = order_statistics(x, first, windows)
+    for i in range(400):
+        for name, w in windows.items():
+            win = x[max(i - w.n + 1, first[i]) : i + 1]
+            win = win[~np.isnan(win)]
+            if len(win) < w.need or (w.kind != "quantile" and np.isnan(x[i])):
+                assert np.isnan(got[name][i])
+                continue
+            want = {"quantile": lambda: np.quantile(win, w.q), "rank": lambda: ((win < x[i]).sum() + ((win == x[i]).sum() + 1) / 2) / len(win),
+                    "share_le": lambda: (win <= x[i]).mean()}[w.kind]()
+            assert abs(got[name][i] - want) < 1e-12
+    rows = [("a" if i < 150 else None, i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity string, t int, x double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        frame = order_windows(df, "x", windows).orderBy("t").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for name in windows:
+        np.testing.assert_allclose(frame[name].to_numpy(), got[name], rtol=1e-12)
+    assert order_windows(df.limit(0), "x", windows).count() == 0
+    assert np.isnan(order_statistics(np.full(3, np.nan), np.zeros(3, int), windows)["p"]).all()
+    assert Wavelet(np.array([2.0])).kth(np.array([0]), np.array([1]), np.array([0])) == [2.0]
 
 
 def bars(spark, closes, entity="A", start=0):
@@ -309,10 +361,44 @@ def test_ridge_matches_direct_solve(spark):
         np.testing.assert_allclose([got[k][f"w_{c}"] for c in cols], best[2], rtol=1e-9)
 
 
-def test_student_t():
-    assert abs(evaluate._t_two_sided(2.228, 10) - 0.05) < 1e-4
-    assert abs(evaluate._t_two_sided(0.0, 5) - 1.0) < 1e-12
-    assert abs(evaluate._t_two_sided(1.0, 1) - 0.5) < 1e-10
+def test_student_t(spark):
+    known = [(2.228, 10, 0.05), (0.0, 5, 1.0), (1.0, 1, 0.5), (-12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.776, 4, 0.05), (1.96, 100000, 0.05)]
+    df = spark.createDataFrame(known + [(None, 3, None), (1.0, 0, None)], "t double, df int, p double")
+    for r in df.withColumn("got", evaluate.t_two_sided(F.col("t"), F.col("df"))).collect():
+        assert r.got is None if r.p is None else abs(r.got - r.p) < 1e-4
+    # the integral of the density for every small number of degrees of freedom
+    for n in range(1, 12):
+        x = np.linspace(-1.3, 1.3, 200_001)
+        c = math.gamma((n + 1) / 2) / math.sqrt(n * math.pi) / math.gamma(n / 2)
+        inside = np.trapezoid(c * (1 + x * x / n) ** (-(n + 1) / 2), x)
+        got = spark.range(1).select(evaluate.t_two_sided(F.lit(1.3), F.lit(n)).alias("p")).head().p
+        assert abs(got - (1 - inside)) < 1e-8
+
+
+def test_rank_matrix_by_hand(spark):
+    rng = np.random.default_rng(7)
+    names = [f"x{i}" for i in range(7)]
+    rows = []
+    for d in range(4):
+        for e in range(30):
+            x = [None if rng.random() < 0.2 * (i % 3) else float(np.round(rng.normal(), 1)) for i in range(7)]
+            x[6] = 1.0  # constant
+            rows.append((f"e{e}", day(d), *x, None if d == 3 or rng.random() < 0.1 else float(rng.normal()), float(np.round(rng.normal(), 1))))
+    schema = "entity string, date date, " + ", ".join(f"{n} double" for n in names) + ", fwd_1 double, fwd_5 double"
+    df = spark.createDataFrame(rows, schema)
+    pdf = df.toPandas()
+    for width in (256, 3):
+        got = {(r.date, r.score_name, r.horizon): r for r in evaluate.rank_ic_matrix(df, {"a": names[:2], "b": names[2:]}, (1, 5), 20, width).collect()}
+        for (d, part), n, h in ((g, n, h) for g in pdf.groupby("date") for n in names for h in (1, 5)):
+            both = part[[n, f"fwd_{h}"]].astype(float).dropna()
+            r = got.pop((d, n, h), None)
+            if not len(both):
+                assert r is None
+                continue
+            assert r.n == len(both) and r.score_type == ("a" if n in names[:2] else "b")
+            ic = both[n].rank().corr(both[f"fwd_{h}"].rank())
+            assert r.ic is None if len(both) < 20 or np.isnan(ic) else abs(r.ic - ic) < 1e-12
+        assert not got
 
 
 def test_top_by_group_counts(spark):
