@@ -22,7 +22,8 @@ from panelwave import config
 from panelwave.functions.expr import clip, div, flag
 from panelwave.functions.rolling import TimeAxis, ols_last_residual_z, ols_r2, ols_tstat
 from panelwave.operators import xsection as xs
-from panelwave.operators.sizing import spread
+from panelwave.operators.entity_kernel import kernel_features
+from panelwave.operators.sizing import materialize, spread
 from panelwave.operators.recursive import period_indicators, recursive_indicators
 
 YEAR = math.sqrt(252.0)
@@ -346,6 +347,7 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
     else:
         line, sig = col("macd_line"), col("macd_signal")
         hist = line - sig
+        rsi = F.round("rsi_14", 9)  # flat closes leave it unchanged but for the last bits
         out |= {
             "atr_pct": col("atr_14") / c * 100.0,
             "atr_x_50": div(c - col("sma_50"), col("atr_14")), "atr_x_200": div(c - col("sma_200"), col("atr_14")),
@@ -363,11 +365,9 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
             "_hist_up": hist > w.lag(hist), "_hist_down": hist < w.lag(hist),
             "_hist_bar": w.mean(F.abs(hist), 50, 10) * 1.5,
             "bullish_divergence_20d": flag(
-                (w.min(c, 10) < w.min(c, 10, shift=10))
-                & (w.min(col("rsi_14"), 10) > w.min(col("rsi_14"), 10, shift=10))),
+                (w.min(c, 10) < w.min(c, 10, shift=10)) & (w.min(rsi, 10) > w.min(rsi, 10, shift=10))),
             "bearish_divergence_20d": flag(
-                (w.max(c, 10) > w.max(c, 10, shift=10))
-                & (w.max(col("rsi_14"), 10) < w.max(col("rsi_14"), 10, shift=10))),
+                (w.max(c, 10) > w.max(c, 10, shift=10)) & (w.max(rsi, 10) < w.max(rsi, 10, shift=10))),
             "bb_squeeze_flag": flag(
                 (col("bb_upper_20") < col("ema_20") + col("atr_10") * 1.5)
                 & (col("bb_lower_20") > col("ema_20") - col("atr_10") * 1.5)),
@@ -412,11 +412,35 @@ def _fifth_layer(w: TimeAxis) -> dict[str, Column]:
     return {f"residual_momentum_{n}d": w.sum(col("_resid"), n) for n in (63, 126, 252)}
 
 
-def time_features(panel: DataFrame, recursive: bool = True, periods: bool = True) -> DataFrame:
+#: most calendar days of a panel whose entities are held whole, one at a time (about 250 doubles a day)
+KERNEL_DATES = 100_000
+FROM_EVENTS = (
+    "weekly_stack_alignment", "weekly_higher_highs", "weekly_rs_rising", "weekly_rsi_14", "weekly_macd_posture", "weekly_trend_slope_sign",
+    "weekly_rs_new_high_26w", "monthly_close_above_sma_10", "monthly_higher_highs_3m", "monthly_rs_rising_3m", "monthly_rs_rising_6m",
+    "vcp_quality_score",
+)
+PEER_RETURNS = ("ret_21", "ret_63", "ret_126")
+RATING_INPUTS = ("rs_composite", *RATED.values(), *PEER_RETURNS)
+CROSS = (
+    "rs_rating_spy", *RATED, *[f"within_basket_z_{n}d" for n in (21, 63, 126)], "within_basket_rank", "within_basket_rank_pct",
+    "rs_rating_slope_60d", "rs_rating_slope_120d",
+)
+
+
+def time_features(panel: DataFrame, recursive: bool = True, periods: bool = True, bound: xs.Bound = xs.Bound(),
+                  keep: Sequence[str] = ()) -> DataFrame:
     """E1: every per-entity feature. ``recursive=False`` skips the Arrow stage and what depends on it;
     ``periods=False`` skips the weekly, monthly and peak-segment branches.
+
+    A calendar that is proven short lets a task hold one entity's history: then all window layers are array operations on
+    it (``entity_kernel``). Otherwise recursions stream and windows are planned by Spark. Both give the same columns.
     """
     w = TimeAxis("entity", "date", "t")
+    if recursive and periods and bound.groups is not None and bound.groups <= KERNEL_DATES:
+        df = attach_as_of(panel, {**calendar_events(panel), "_vcp": vcp_events(panel)})
+        df = df.withColumn("vcp_quality_score", F.coalesce("vcp_quality_score", F.lit(0.0)))
+        columns = [c for c in config.FEATURES if c not in FROM_EVENTS and c not in CROSS]
+        return kernel_features(df, list(dict.fromkeys([*columns, *RATING_INPUTS, *keep])))
     df = recursive_indicators(panel) if recursive else panel
     if periods:
         df = attach_as_of(df, {**calendar_events(panel), "_vcp": vcp_events(panel)})
@@ -430,22 +454,30 @@ def time_features(panel: DataFrame, recursive: bool = True, periods: bool = True
 
 
 def cross_features(df: DataFrame, bound: xs.Bound = xs.Bound(), rated: Sequence[str] | None = None) -> DataFrame:
-    """X1 + E2: percentile ratings, peer-group z / rank, and shifts of the relative-strength rating."""
+    """X1 + E2: percentile ratings, peer-group z / rank, and shifts of the relative-strength rating.
+
+    Only keys and rating inputs go to the dates and back; the other columns meet the ratings in one join on the key.
+    """
     w = TimeAxis("entity", "date", "t")
     wanted = {k: v for k, v in RATED.items() if rated is None or k in rated}
-    df = spread(df, "date")
-    df = xs.percentile_rating(df, ["date"], {"rs_rating_spy": "rs_composite"}, bound, rounded=False)
-    df = xs.percentile_rating(df, ["date"], wanted, bound)
-    df = xs.group_z(df, ["date", "grp"], {f"within_basket_z_{n}d": f"ret_{n}" for n in (21, 63, 126)}, "grp_size", bound=xs.Bound(bound.rows))
-    df = xs.group_rank(df, ["date", "grp"], "ret_63", "grp_size", "within_basket_rank", "within_basket_rank_pct",
-                       bound=bound)
-    return spread(df, "entity").withColumns({
+    inputs = list(dict.fromkeys(["rs_composite", *wanted.values(), *PEER_RETURNS]))
+    x = spread(df.select("entity", "date", "t", "grp", "grp_size", *inputs), "date")
+    x = xs.percentile_rating(x, ["date"], {"rs_rating_spy": "rs_composite"}, bound, rounded=False)
+    x = xs.percentile_rating(x, ["date"], wanted, bound)
+    x = xs.group_z(x, ["date", "grp"], {f"within_basket_z_{n}d": f"ret_{n}" for n in (21, 63, 126)}, "grp_size", bound=xs.Bound(bound.rows))
+    x = xs.group_rank(x, ["date", "grp"], "ret_63", "grp_size", "within_basket_rank", "within_basket_rank_pct",
+                      bound=bound)
+    x = spread(x, "entity").withColumns({
         f"rs_rating_slope_{n}d": col("rs_rating_spy") - w.lag(col("rs_rating_spy"), n) for n in (60, 120)
     })
+    made = [c for c in CROSS if c in x.columns]
+    return df.drop(*made).join(x.select("entity", "date", *made), ["entity", "date"])
 
 
 def compute_features(panel: DataFrame, benchmarks: Sequence[str], bound: xs.Bound = xs.Bound(),
                      keep: Sequence[str] = ()) -> DataFrame:
     """The stored feature panel: keys, grp and the 108 feature columns, benchmarks removed."""
-    df = cross_features(time_features(panel), bound)
+    own = materialize(time_features(panel, bound=bound, keep=keep).select(
+        "entity", "date", "t", "grp", "grp_size", *dict.fromkeys([*keep, *RATING_INPUTS, *[c for c in config.FEATURES if c not in CROSS]])))
+    df = cross_features(own, bound)
     return df.where(~col("entity").isin(*benchmarks)).select("entity", "date", "t", "grp", "grp_size", *keep, *config.FEATURES)

@@ -199,6 +199,7 @@ def layers(src: str = "panel") -> str:
     place = div("close - low_50", "high_50 - low_50")
     piv = lambda n: (f"least(coalesce(sum({n}) {w60}, 0.0) - coalesce(first_value({n} IGNORE NULLS) {w60}, 0.0), 3.0)")
     nh = lambda x, n: flag(f"{x} >= {roll('max', x, n - 1, shift=1)}")
+    rsi = "round(rsi_14, 9)"  # flat closes leave it unchanged but for the last bits
     f3 = {
         "pct_ma_50_p80_252d": roll("quantile_cont({x}, 0.8) {w}", "pct_ma_50", 252),
         "trend_slope_significant": flag("abs(trend_slope_t_stat) > 1.96"), "up_down_vol_ratio_50": div("upv", "dnv"),
@@ -227,8 +228,8 @@ def layers(src: str = "panel") -> str:
         "ema_stack_score": (f"{flag('close > ema_8')} * 30 + {flag('ema_8 > ema_21')} * 30 + {flag('ema_21 > ema_50')} * 30 + "
                             f"{flag('close > ema_8 AND ema_8 > ema_21 AND ema_21 > ema_50')} * 10"),
         "hist": "macd_line - macd_signal",
-        "bullish_divergence_20d": flag(f"{roll('min', c, 10)} < {roll('min', c, 10, shift=10)} AND {roll('min', 'rsi_14', 10)} > {roll('min', 'rsi_14', 10, shift=10)}"),
-        "bearish_divergence_20d": flag(f"{roll('max', c, 10)} > {roll('max', c, 10, shift=10)} AND {roll('max', 'rsi_14', 10)} < {roll('max', 'rsi_14', 10, shift=10)}"),
+        "bullish_divergence_20d": flag(f"{roll('min', c, 10)} < {roll('min', c, 10, shift=10)} AND {roll('min', rsi, 10)} > {roll('min', rsi, 10, shift=10)}"),
+        "bearish_divergence_20d": flag(f"{roll('max', c, 10)} > {roll('max', c, 10, shift=10)} AND {roll('max', rsi, 10)} < {roll('max', rsi, 10, shift=10)}"),
         "bb_squeeze_flag": flag("bbu < ema_20 + atr_10 * 1.5 AND bbl > ema_20 - atr_10 * 1.5"),
     }
     w252 = "OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"

@@ -75,6 +75,7 @@ def fine_bars(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
         "bw": lambda: line_bars(spark, sf_dir, "brand", "week"),
         "bx": lambda: line_bars(spark, sf_dir, "brand", "5day", damped=True),
         "bt": lambda: line_bars(spark, sf_dir, "brand", "3day", damped=True),
+        "sd": lambda: line_bars(spark, sf_dir, "supplier", "day", damped=True),
         "bd": lambda: line_bars(spark, sf_dir, "brand", "day"),
         "ud": lambda: event_bars(spark, sf_dir),
     }
@@ -83,7 +84,7 @@ def fine_bars(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
 
 def membership(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
     """basket, entity, category, basket_type, is_primary."""
-    if panel == "sm":
+    if panel in ("sm", "sd"):
         s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
         j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
         j = j.select(F.col("s_suppkey").cast("string").alias("entity"), "n_name", "r_name")
@@ -115,7 +116,7 @@ def with_groups(bars: DataFrame, members: DataFrame) -> DataFrame:
     return bars.join(small_side(sized), "entity")
 
 
-CARRIED = ("bx", "bt")
+CARRIED = ("bx", "bt", "sd")
 
 
 class PanelSource:
