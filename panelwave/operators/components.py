@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,24 @@ def z0(name: str) -> Column:
     return F.coalesce(zc(name), F.lit(0.0))
 
 
+_ROBUST = {
+    "x_resid": "residual_momentum_126d", "x_super": "_super", "x_di": "_di", "x_low": "low_rel_vol_10d", "x_buzz": "volume_buzz_50",
+    "x_ud": "_ln_ud",
+}
+_STANDARD = {"x_wmacd": "_wmacd", "x_wslope": "_wslope", "x_macd": "_macd", "x_rsi": "_rsi", "x_div": "_div"}
+
+
+def extra_matrix(x: np.ndarray) -> np.ndarray:
+    """z-scores of one date's derived inputs (robust ones first) and of the volume blend made of two of them."""
+    k = len(_ROBUST)
+    robust, rest = xs.matrix_robust_z(x[:, :k]), x[:, k:]
+    _, mean, sd = xs.matrix_moments(rest)
+    standard = np.where(sd < 1e-10, 0.0, (rest - mean) / np.where(sd == 0, np.nan, sd))
+    low, buzz = (list(_ROBUST).index(c) for c in ("x_low", "x_buzz"))
+    blend = robust[:, low] * 0.5 + robust[:, buzz] * 0.5
+    return np.concatenate([robust, standard, xs.matrix_robust_z(blend[:, None])], axis=1)
+
+
 def extra_inputs(df: DataFrame, bound: xs.Bound = xs.Bound()) -> DataFrame:
     """Derived inputs that need their own cross-section on each date."""
     rsi = col("rsi_14")
@@ -34,13 +53,10 @@ def extra_inputs(df: DataFrame, bound: xs.Bound = xs.Bound()) -> DataFrame:
         "_div": (F.coalesce("bullish_divergence_20d", F.lit(0.0)) - F.coalesce("bearish_divergence_20d", F.lit(0.0))) * 15.0,
         "_ln_ud": F.ln(clip(col("up_down_vol_ratio_50"), lo=1e-10)),
     })
-    rz = xs.robust_z(raw, ["date"], {
-        "x_resid": "residual_momentum_126d", "x_super": "_super", "x_di": "_di", "x_low": "low_rel_vol_10d",
-        "x_buzz": "volume_buzz_50", "x_ud": "_ln_ud",
-    }, bound)
-    sz = xs.standard_z(rz, ["date"], {
-        "x_wmacd": "_wmacd", "x_wslope": "_wslope", "x_macd": "_macd", "x_rsi": "_rsi", "x_div": "_div",
-    }, bound=bound)
+    if xs._fits(bound, len(_ROBUST) + len(_STANDARD)):
+        return xs.matrix_columns(raw, ["date"], [*_ROBUST.values(), *_STANDARD.values()], [*_ROBUST, *_STANDARD, "x_vol"], extra_matrix)
+    rz = xs.robust_z(raw, ["date"], _ROBUST, bound)
+    sz = xs.standard_z(rz, ["date"], _STANDARD, bound=bound)
     return xs.robust_z(
         sz.withColumn("_vol", col("x_low") * 0.5 + col("x_buzz") * 0.5), ["date"], {"x_vol": "_vol"}, bound
     )

@@ -20,6 +20,7 @@ from panelwave.operators.sizing import ship_package
 
 col = F.col
 MIN_NAMES = 20
+TIE_DIGITS = 9
 
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int] = config.HORIZONS, long: bool = True) -> DataFrame:
@@ -61,7 +62,8 @@ def rank_ic_wide(df: DataFrame, scores: Mapping[str, Sequence[str]], bars: DataF
     """
     fwd = forward_returns(bars, horizons, long=False)
     names = [c for group in scores.values() for c in group]
-    wide = df.select("entity", "date", *[col(c).cast("double").alias(c) for c in names]).join(fwd, ["entity", "date"])
+    # blends that agree but for the last bits of a double are ties
+    wide = df.select("entity", "date", *[F.round(col(c).cast("double"), TIE_DIGITS).alias(c) for c in names]).join(fwd, ["entity", "date"])
     width = MATRIX_CELLS // bound.rows - len(horizons) if bound.rows else 0  # scores beside one another in a task
     if width > 0:
         return rank_ic_matrix(wide, scores, horizons, min_names, width)
@@ -78,23 +80,6 @@ def rank_ic_wide(df: DataFrame, scores: Mapping[str, Sequence[str]], bars: DataF
 MATRIX_CELLS = 1 << 23
 
 
-def average_ranks(x: np.ndarray) -> np.ndarray:
-    """0-based average-tie ranks inside each column of a matrix without nulls."""
-    n = len(x)
-    order = np.argsort(x, axis=0, kind="stable")
-    ordered = np.take_along_axis(x, order, axis=0)
-    place = np.arange(n)[:, None]
-    new = np.ones(x.shape, bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
-    closes = np.ones(x.shape, bool)
-    closes[:-1] = new[1:]
-    last = np.minimum.accumulate(np.where(closes, place, n)[::-1], axis=0)[::-1]
-    out = np.empty(x.shape)
-    np.put_along_axis(out, order, (first + last) / 2.0, axis=0)
-    return out
-
-
 def matrix_ic(x: np.ndarray, y: np.ndarray, min_names: int) -> tuple[np.ndarray, np.ndarray]:
     """(pairs, Spearman correlation) of every column of x with every column of y over complete rows.
 
@@ -110,7 +95,7 @@ def matrix_ic(x: np.ndarray, y: np.ndarray, min_names: int) -> tuple[np.ndarray,
         for p in np.unique(pattern[n[:, h] >= min_names]):
             columns = np.flatnonzero(pattern == p)
             rows = have_x[:, columns[0]] & have_y[:, h]
-            a, b = average_ranks(x[rows][:, columns]), average_ranks(y[rows, h : h + 1])
+            a, b = xs.average_ranks(x[rows][:, columns]), xs.average_ranks(y[rows, h : h + 1])
             k = len(a)
             a, b = (a - a.mean(axis=0)) / k, (b - b.mean(axis=0)) / k
             cov, sd = (b.T @ a)[0] / k, a.std(axis=0) * b.std(axis=0)

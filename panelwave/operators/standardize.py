@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +32,49 @@ def _transformed(name: str, fam: str) -> Column:
     return {"logit": logit01, "correlation": logit_sym, "log": signed_log}.get(fam, lambda c: c)(x)
 
 
+def matrix_z(x: np.ndarray, kinds: Sequence[str], share: Sequence[bool]) -> np.ndarray:
+    """The z-scores of one date: columns by their family, NULL (NaN) where fewer than MIN_POPULATION have a value."""
+    out = x.copy()
+    kind = np.array(kinds)
+
+    def put(label: str, fn) -> None:
+        at = np.flatnonzero(kind == label)
+        if len(at):
+            out[:, at] = fn(x[:, at])
+
+    def logit(p: np.ndarray) -> np.ndarray:
+        return np.log(p / (1.0 - p))
+
+    def standard(t: np.ndarray, middle: float | None) -> np.ndarray:
+        _, mean, sd = xs.matrix_moments(t)
+        return np.where(sd < 1e-10, 0.0, (t - (mean if middle is None else middle)) / sd)
+
+    put("robust", xs.matrix_robust_z)
+    put("logit", lambda t: xs.matrix_robust_z(logit(np.clip(t, 0.001, 0.999))))
+    put("correlation", lambda t: xs.matrix_robust_z(logit((np.clip(t, -0.999, 0.999) + 1.0) / 2.0)))
+    put("bounded", lambda t: standard(t, 50.0))
+    put("log", lambda t: standard(np.sign(t) * np.log1p(np.abs(t)), None))
+    put("percentile", lambda t: (t - 50.0) / 28.87)
+    part = np.flatnonzero(share)
+    out[:, part] = (0.5 - x[:, part]) / 0.2887
+    few = (~np.isnan(x)).sum(axis=0) < MIN_POPULATION
+    out[:, few] = np.nan
+    return np.clip(out, -LIMIT, LIMIT)
+
+
 def standardize(features: DataFrame, names: Sequence[str] | None = None, bound: xs.Bound = xs.Bound(),
                 by: str = "date") -> DataFrame:
     """Append ``z_<feature>`` for every numeric feature.
 
-    Two wide aggregates per date serve all features: one for medians, moments and counts, one for the MADs.
+    Where a date's names are proven to fit a task, they are one matrix there. Otherwise two wide aggregates per date serve
+    all features: one for medians, moments and counts, one for the MADs. Both are exact.
     """
     names = [n for n in (names or config.FEATURES) if family(n) != "categorical"]
     fam = {n: family(n) for n in names}
+    if xs._fits(bound, len(names)):
+        kinds = [fam[n] for n in names]
+        share = [n == "within_basket_rank_pct" for n in names]
+        return xs.matrix_columns(features, [by], names, [f"z_{n}" for n in names], lambda x: matrix_z(x, kinds, share))
     robust = [n for n in names if fam[n] in ("robust", "logit", "correlation")]
     standard = [n for n in names if fam[n] in ("bounded", "log")]
     df = features.withColumns({f"_x_{n}": _transformed(n, fam[n]) for n in robust + standard})

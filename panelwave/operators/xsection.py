@@ -2,22 +2,26 @@
 
 Two exact plans exist for everything that needs an order inside a group:
 
-* ``Bound.rows`` is a proven bound on rows per group and fits a task: one window / one aggregate;
+* ``Bound.rows`` is a proven bound on rows per group and fits a task: one window / one aggregate, or for several columns
+  at once one matrix of the group's rows (``matrix_columns``);
 * otherwise the group is split into value buckets by a bounded-size sketch, counted per bucket and
   stitched together with prefix sums, so no task ever holds a whole group and ties are pre-aggregated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwave.functions.expr import clip, div
-from panelwave.operators.sizing import BROADCAST_BYTES, CELL_BYTES, WINDOW_ROWS
+from panelwave.operators.sizing import BROADCAST_BYTES, CELL_BYTES, WINDOW_ROWS, ship_package, spread
 
 SALTS = 16
 
@@ -42,6 +46,102 @@ def join_same(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
     return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in by])
 
 
+def matrix_columns(df: DataFrame, by: Sequence[str], inputs: Sequence[str], outputs: Sequence[str],
+                   fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """df with the columns fn makes of each group's matrix (rows x inputs, NaN for null): one exchange on the group.
+
+    For groups that are proven to fit a task. NaN and infinite results are null.
+    """
+    by, inputs = list(by), list(inputs)
+    own = [f for f in df.schema.fields if f.name not in outputs]
+    schema = T.StructType(own + [T.StructField(c, T.DoubleType()) for c in outputs])
+    kept = [f.name for f in own]
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table.column(c).cast(pa.float64()).to_numpy() for c in inputs]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            made = fn(np.stack(columns, axis=1))
+        arrays = [table.column(c).chunk(0) for c in kept]
+        arrays += [pa.array(made[:, i], mask=~np.isfinite(made[:, i])) for i in range(len(outputs))]
+        return pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in by]
+            new = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                code = k.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new |= code[1:] != code[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                here = tuple(k[a].as_py() for k in keys)
+                if held and here != last:
+                    yield one(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = here
+        if held:
+            yield one(held)
+
+    ship_package(df.sparkSession)
+    return spread(df, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """0-based average-tie ranks inside each column of a matrix without nulls."""
+    n = len(x)
+    order = np.argsort(x, axis=0, kind="stable")
+    ordered = np.take_along_axis(x, order, axis=0)
+    place = np.arange(n)[:, None]
+    new = np.ones(x.shape, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+    closes = np.ones(x.shape, bool)
+    closes[:-1] = new[1:]
+    last = np.minimum.accumulate(np.where(closes, place, n)[::-1], axis=0)[::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0, axis=0)
+    return out
+
+
+def matrix_pct_rank(x: np.ndarray) -> np.ndarray:
+    """Average-tie percentile rank among the values of each column."""
+    out = np.full(x.shape, np.nan)
+    for i in range(x.shape[1]):
+        rows = np.flatnonzero(~np.isnan(x[:, i]))
+        if len(rows):
+            out[rows, i] = (average_ranks(x[rows, i : i + 1])[:, 0] + 1) / len(rows)
+    return out
+
+
+def matrix_median(x: np.ndarray) -> np.ndarray:
+    """Median of the values of each column; NaN where there are none."""
+    ordered, n = np.sort(x, axis=0), (~np.isnan(x)).sum(axis=0)  # NaN goes last
+    at = lambda k: np.take_along_axis(ordered, np.maximum(k, 0)[None, :], axis=0)[0]
+    return np.where(n > 0, at((n - 1) // 2) * 0.5 + at(n // 2) * 0.5, np.nan)
+
+
+def matrix_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, mean, population deviation) of each column."""
+    known = ~np.isnan(x)
+    n = known.sum(axis=0)
+    mean = np.where(known, x, 0.0).sum(axis=0) / n
+    return n, mean, np.sqrt((np.where(known, x - mean, 0.0) ** 2).sum(axis=0) / n)
+
+
+def matrix_robust_z(x: np.ndarray) -> np.ndarray:
+    """(x - median) / (1.4826 MAD); population std where MAD ~ 0; 0.0 for a constant column."""
+    med, sd = matrix_median(x), matrix_moments(x)[2]
+    mad = matrix_median(np.abs(x - med))
+    by = np.where(mad < 1e-8, np.where(sd == 0, np.nan, sd), 1.4826 * mad)
+    return np.where((mad < 1e-8) & (sd < 1e-8), 0.0, (x - med) / by)
+
+
 def ordered_counts(long: DataFrame, keys: Sequence[str], value: str, splits: int = 64) -> DataFrame:
     """Per distinct value of each group: n (ties), below (rows with a smaller value), total.
 
@@ -86,6 +186,8 @@ def average_rank(x: Column, spec_by: Sequence[str]) -> Column:
 def pct_rank(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: Bound = Bound()) -> DataFrame:
     """Average-tie percentile rank (rank / non-null count) of ``cols[out] = in`` inside each group."""
     by = list(by)
+    if len(cols) > 2 and _fits(bound, len(cols)):
+        return matrix_columns(df, by, list(cols.values()), list(cols), matrix_pct_rank)
     if _fits(bound):
         whole = Window.partitionBy(*by)
         return df.withColumns(
@@ -181,6 +283,9 @@ def robust_z(df: DataFrame, by: Sequence[str], cols: Mapping[str, str], bound: B
     """(x - median) / (1.4826 MAD); population std where MAD ~ 0; 0.0 for a constant group."""
     by = list(by)
     outs = list(cols.items())
+    if _fits(bound, len(cols)):
+        z = (lambda x: matrix_robust_z(x)) if limit is None else (lambda x: np.clip(matrix_robust_z(x), -limit, limit))
+        return matrix_columns(df, by, list(cols.values()), list(cols), z)
     med = group_quantiles(df, by, {f"_med{i}": (c, 0.5) for i, (_, c) in enumerate(outs)}, bound)
     sds = df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"_sd{i}") for i, (_, c) in enumerate(outs)])
     step = attach(df, join_same(med, sds, by, "left"), by, bound)

@@ -145,7 +145,7 @@ EV = (
 def rank_ic(us: str = "us", fw: str = "fw0", need: int = 20) -> str:
     by = "date, horizon, score_type, score_name"
     return (
-        f"pr AS MATERIALIZED (SELECT u.*, f.horizon, f.fwd FROM {us} u JOIN {fw} f USING (entity, date) WHERE value IS NOT NULL AND fwd IS NOT NULL), "
+        f"pr AS MATERIALIZED (SELECT u.* REPLACE (round(value, 9) AS value), f.horizon, f.fwd FROM {us} u JOIN {fw} f USING (entity, date) WHERE value IS NOT NULL AND fwd IS NOT NULL), "
         f"rk AS MATERIALIZED (SELECT *, {pct_rank('value', by)} AS ra, {pct_rank('fwd', by)} AS rb FROM pr), "
         f"ic AS MATERIALIZED (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= {need} AND stddev_pop(ra) * stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) END AS ic FROM rk GROUP BY {by})"
     )
