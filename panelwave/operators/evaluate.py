@@ -154,11 +154,16 @@ def t_stat(mean: Column, sd: Column, n: Column) -> Column:
     return F.when((n > 1) & (sd > 0), mean / (sd / F.sqrt(n)))
 
 
+def positive(name: str) -> Column:
+    """Above zero by more than the rounding of a mean of doubles."""
+    return F.round(col(name), 12) > 0
+
+
 def ic_summary(ic: DataFrame, by: Sequence[str] = ("score_name", "horizon")) -> DataFrame:
     """Mean, median, std, t, number of dates and hit rate of an IC series."""
     g = ic.where(col("ic").isNotNull()).groupBy(*by).agg(
         F.avg("ic").alias("ic_mean"), F.median("ic").alias("ic_median"), F.stddev_samp("ic").alias("ic_std"),
-        F.count("*").alias("n_dates"), F.avg(flag(col("ic") > 0)).alias("hit_rate"))
+        F.count("*").alias("n_dates"), F.avg(flag(positive("ic"))).alias("hit_rate"))
     every = ic.select(*by).distinct()
     g = every.join(g, list(by), "left").withColumn("n_dates", F.coalesce("n_dates", F.lit(0)))
     return g.withColumn("ic_t_stat", t_stat(col("ic_mean"), col("ic_std"), col("n_dates")))
@@ -216,7 +221,7 @@ def oos_summary(diag: DataFrame, keys: Sequence[str] = ("score_type", "score_nam
     m, s, n = col("oos_ic_mean"), col("oos_ic_std"), col("n_windows")
     g = diag.groupBy(*keys).agg(
         F.count("oos_ic").alias("n_windows"), F.avg("oos_ic").alias("oos_ic_mean"),
-        F.stddev_samp("oos_ic").alias("oos_ic_std"), F.avg(flag(col("oos_ic") > 0)).alias("oos_hit_rate"),
+        F.stddev_samp("oos_ic").alias("oos_ic_std"), F.avg(flag(positive("oos_ic"))).alias("oos_hit_rate"),
         F.avg("is_ic").alias("is_ic_mean"))
     return g.withColumns({"oos_ic_t_stat": t_stat(m, s, n), "is_minus_oos": col("is_ic_mean") - m})
 

@@ -158,7 +158,7 @@ def window_ic(train: int, test: int, step: int) -> str:
         "wi AS MATERIALIZED (SELECT * FROM (SELECT score_type, score_name, horizon, window_idx, avg(ic) FILTER (is_train) AS is_ic, avg(ic) FILTER (NOT is_train) AS oos_ic, "
         "count(*) FILTER (is_train) AS n_train_dates, count(*) FILTER (NOT is_train) AS n_test_dates FROM ic JOIN wm USING (date) WHERE ic IS NOT NULL GROUP BY 1, 2, 3, 4) WHERE n_train_dates >= 5 AND n_test_dates >= 5), "
         "os0 AS (SELECT score_type, score_name, horizon, count(oos_ic) AS n_windows, avg(oos_ic) AS oos_ic_mean, stddev_samp(oos_ic) AS oos_ic_std, "
-        f"avg({flag('oos_ic > 0')}) AS oos_hit_rate, avg(is_ic) AS is_ic_mean FROM wi GROUP BY 1, 2, 3), "
+        f"avg({flag('round(oos_ic, 12) > 0')}) AS oos_hit_rate, avg(is_ic) AS is_ic_mean FROM wi GROUP BY 1, 2, 3), "
         "os AS MATERIALIZED (SELECT *, CASE WHEN n_windows > 1 AND oos_ic_std > 0 THEN oos_ic_mean / (oos_ic_std / sqrt(n_windows)) END AS oos_ic_t_stat, is_ic_mean - oos_ic_mean AS is_minus_oos FROM os0)"
     )
 
@@ -212,7 +212,7 @@ _COMPONENT_COLUMNS = (f"SELECT score_name, {rnd('avg(oos_ic_mean)')} AS mean_oos
 
 def _ic_summary(by: str) -> str:
     return (f"SELECT {by}, n_dates, " + cols("ic_mean", "ic_median", "ic_std", "hit_rate", ic_t_stat="CASE WHEN n_dates > 1 AND ic_std > 0 THEN ic_mean / (ic_std / sqrt(n_dates)) END")
-            + f" FROM (SELECT {by}, count(ic) AS n_dates, avg(ic) AS ic_mean, median(ic) AS ic_median, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic IS NOT NULL THEN {flag('ic > 0')} END) AS hit_rate FROM ic GROUP BY {by})")
+            + f" FROM (SELECT {by}, count(ic) AS n_dates, avg(ic) AS ic_mean, median(ic) AS ic_median, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic IS NOT NULL THEN {flag('round(ic, 12) > 0')} END) AS hit_rate FROM ic GROUP BY {by})")
 
 
 # ---- ridge --------------------------------------------------------------------------------------

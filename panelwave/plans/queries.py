@@ -724,10 +724,22 @@ FULL_PANEL = "bt"
 RIDGE_HORIZON = 126
 
 
+def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite, components and features of the evaluation's panel, written once; labels are not needed there."""
+    s = source(spark, sf_dir, FULL_PANEL)
+    names = [c for ns in FULL_SCORES.values() for c in ns]
+
+    def build() -> DataFrame:
+        z = standardize(feature_panel(spark, sf_dir, FULL_PANEL), bound=s.bound)
+        return materialize(score(state(components(z, s.bound)), s.bound).select("entity", "date", *names))
+
+    return _once(spark, sf_dir, "full_panel", build)
+
+
 def _full_ic(spark, sf_dir) -> tuple[DataFrame, PanelSource]:
     s = source(spark, sf_dir, FULL_PANEL)
     return _once(spark, sf_dir, "full_ic", lambda: materialize(evaluate.rank_ic_wide(
-        scored_panel(spark, sf_dir, FULL_PANEL), FULL_SCORES, no_bench(s.bars), config.OOS_HORIZONS, bound=s.bound))), s
+        full_panel(spark, sf_dir), FULL_SCORES, no_bench(s.bars), config.OOS_HORIZONS, bound=s.bound))), s
 
 
 def _full_window_ic(spark, sf_dir) -> DataFrame:
@@ -781,7 +793,7 @@ def _full_ridge(spark, sf_dir):
 
     def build():
         fwd = materialize(evaluate.forward_returns(no_bench(s.bars), config.OOS_HORIZONS))
-        rows = materialize(evaluate.ridge_training_rows(scored_panel(spark, sf_dir, FULL_PANEL), fwd, RIDGE_HORIZON, config.COMPONENTS))
+        rows = materialize(evaluate.ridge_training_rows(full_panel(spark, sf_dir), fwd, RIDGE_HORIZON, config.COMPONENTS))
         members = materialize(evaluate.window_members(s.calendar, *FULL_WINDOWS))
         return rows, members, materialize(evaluate.ridge_weights(rows, members, config.COMPONENTS)), fwd
 
