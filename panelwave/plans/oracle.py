@@ -16,7 +16,7 @@ from panelwave.plans.oracle_base import (
     KEYS, NO_BENCH, cols, div, flag, lag, last_n, lead, panel, pct_rank, rnd, roll,
 )
 from panelwave.plans.queries import (
-    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, FULL_SCORES, FULL_WINDOWS, LATE_EVERY, MIGRATION, OOS_NUMS, RECONCILE_SHARES, RIDGE_COLS, RIDGE_HORIZON, THEME_QUERIES, UD_LIMITS, Z_NAMES,
+    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, FULL_SCORES, FULL_WINDOWS, LATE_EVERY, MIGRATION, OOS_NUMS, RECONCILE_SHARES, RIDGE_COLS, RIDGE_HORIZON, SUPPLIER_FEATURES, THEME_QUERIES, UD_LIMITS, Z_NAMES,
 )
 
 
@@ -537,6 +537,10 @@ def oracle_sql() -> dict[str, str]:
         "close_a IS NULL OR close_b IS NULL OR coalesce(gap > 0.005, false) AS discrepant FROM kj")
     d["key_alignment"] = w(f"{panel('bx')}, {NB}, dn AS (SELECT * FROM panel WHERE {NO_BENCH})",
                            "SELECT (SELECT count(*) FROM dn) AS n_left, (SELECT count(*) FROM nb) AS n_right, (SELECT count(*) FROM dn WHERE close IS NULL) AS only_left, 0::BIGINT AS only_right, (SELECT max(date) FROM dn) = (SELECT max(date) FROM nb) AS same_latest")
+    days = [OF.features("sd"), OS.standardized(), OS.components(), OS.state(), OS.score()]
+    d["features_supplier_day"] = w(days[0], f"SELECT {KEYS}, {cols(*SUPPLIER_FEATURES)} FROM feat")
+    d["z_supplier_day"] = w(", ".join(days[:2]), f"SELECT {KEYS}, {cols(*[f'z_{c}' for c in SUPPLIER_FEATURES])} FROM zp")
+    d["score_supplier_day"] = w(", ".join(days), f"SELECT {KEYS}, {cols(*config.COMPONENTS, 'score')}, grade, primary_state FROM sc")
     d["level3_findings"] = _l3()
     d.update(_planted_queries())
     d["check_status"] = f"SELECT passed, count(*) AS n FROM ({d['sanity_checks']}) GROUP BY passed"

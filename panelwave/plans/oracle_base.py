@@ -124,6 +124,8 @@ RAW = {
     "bw": ("SELECT p_brand AS entity, date_trunc('week', l_shipdate)::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "bx": _days(5), "bt": _days(3),
+    "sd": ("SELECT l_suppkey::VARCHAR AS entity, l_shipdate::DATE AS date, l_returnflag = 'R' AS second, "
+           f"round(pow(l_extendedprice / l_quantity / 1000.0, 0.1) * 100.0, 6) AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem"),
     "bd": ("SELECT p_brand AS entity, l_shipdate::DATE AS date, l_returnflag = 'R' AS second, "
            f"l_extendedprice / l_quantity AS px, l_quantity AS v, {ORDER} AS ord FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "ud": ("SELECT user_id::VARCHAR AS entity, ts::DATE AS date, event_type = 'purchase' AS second, value AS px, "
@@ -137,6 +139,7 @@ MEMBERS = {
     "ud": ("SELECT 'U' || (user_id % 10)::VARCHAR AS basket, user_id::VARCHAR AS entity, 'USERS' AS category, "
            "'CORE' AS basket_type, true AS is_primary FROM (SELECT DISTINCT user_id FROM events)"),
 }
+MEMBERS["sd"] = MEMBERS["sm"]
 _BRAND = ("SELECT 'G' || (no % 5)::VARCHAR AS basket, p_brand AS entity, 'BRANDS' AS category, 'CORE' AS basket_type, true AS is_primary FROM b "
           "UNION ALL SELECT 'T' || (no % 3)::VARCHAR, p_brand, 'TAGS', 'TAG', false FROM b")
 for _p in ("bw", "bx", "bt", "bd"):
@@ -146,7 +149,7 @@ for _p in ("bw", "bx", "bt", "bd"):
 def panel(p: str) -> str:
     """CTEs raw, bars, cal, mem, grp, panel (dense; benchmarks included)."""
     return (
-        f"{_bars(RAW[p], p in ('bx', 'bt'))}, mem AS MATERIALIZED ({MEMBERS[p]}), "
+        f"{_bars(RAW[p], p in ('bx', 'bt', 'sd'))}, mem AS MATERIALIZED ({MEMBERS[p]}), "
         "grp0 AS (SELECT e.entity, coalesce(basket, 'UNKNOWN') AS grp FROM (SELECT DISTINCT entity FROM bars) e "
         "LEFT JOIN (SELECT * FROM mem WHERE is_primary) m USING (entity)), "
         "grp AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS grp_size FROM grp0), "

@@ -327,6 +327,31 @@ def theme_rs_line(spark, sf_dir):
     return shape(x, ("theme_rs_line_log", "theme_rs_new_60d_high", "theme_rs_new_252d_high", "theme_rs_pct_252d"), keys=("basket", "date"))
 
 
+# ---- the same stages on supplier days: as many entities as suppliers, so rows grow with the tables -----------------
+SUPPLIER_FEATURES = (
+    "close", "sma_50", "ema_21", "rsi_14", "adx_14", "atr_x_50", "pct_ma_200", "rs_rating_spy", "sharpe_rank_252d", "hurst_exponent_252d",
+    "pct_ma_50_p80_252d", "residual_momentum_126d", "hh_count_60d", "within_basket_rank", "weekly_rsi_14", "volume_z_20_252",
+)
+
+
+def features_supplier_day(spark, sf_dir):
+    return shape(feature_panel(spark, sf_dir, "sd"), SUPPLIER_FEATURES)
+
+
+def z_supplier_day(spark, sf_dir):
+    return shape(z_panel(spark, sf_dir, "sd"), [f"z_{c}" for c in SUPPLIER_FEATURES])
+
+
+def score_supplier_day(spark, sf_dir):
+    s = source(spark, sf_dir, "sd")
+
+    def build() -> DataFrame:
+        return materialize(score(state(components(z_panel(spark, sf_dir, "sd"), s.bound)), s.bound).select(
+            "entity", "date", *config.COMPONENTS, "score", "grade", "primary_state"))
+
+    return shape(_once(spark, sf_dir, "score_sd", build), (*config.COMPONENTS, "score"), ("grade", "primary_state"))
+
+
 def _themes(name: str) -> Query:
     nums, keep = THEME_QUERIES[name]
     return lambda spark, sf_dir: shape(theme_panel(spark, sf_dir), nums, keep, keys=("basket", "date"))
@@ -1275,7 +1300,8 @@ DIRECT: dict[str, Query] = {
     "corporate_actions": corporate_actions, "corporate_action_summary": corporate_action_summary, "most_affected": most_affected,
     "anomalies_score": anomalies_score, "anomalies_grade": anomalies_grade, "anomalies_state": anomalies_state, "anomaly_summary": anomaly_summary,
     "label_transitions": label_transitions, "sanity_checks": sanity_checks, "coverage_report": coverage_report, "coverage_anti": coverage_anti,
-    "reconcile_sources": reconcile_sources, "reconcile_sampled": reconcile_sampled, "key_alignment": key_alignment, "level3_findings": level3_findings, "findings_listed": findings_listed, "findings_verdict": findings_verdict,
+    "reconcile_sources": reconcile_sources, "reconcile_sampled": reconcile_sampled, "key_alignment": key_alignment, "features_supplier_day": features_supplier_day, "z_supplier_day": z_supplier_day, "score_supplier_day": score_supplier_day,
+    "level3_findings": level3_findings, "findings_listed": findings_listed, "findings_verdict": findings_verdict,
     "anomaly_list": anomaly_list, "dq_planted": dq_planted, "ingest_reasons": ingest_reasons, "parity_check": parity_check,
     "regime_context": regime_context, "check_status": check_status, "component_health": component_health,
     "grade_monotonic": grade_monotonic, "price_freshness": price_freshness, "history_coverage": history_coverage,
