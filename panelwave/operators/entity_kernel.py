@@ -37,6 +37,11 @@ def flag(cond: np.ndarray) -> np.ndarray:
     return cond.astype(float)
 
 
+def above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b by more than the rounding of an average."""
+    return np.round(a - b, 9) > 0
+
+
 def lag(x: np.ndarray, k: int = 1) -> np.ndarray:
     return np.concatenate([np.full(min(k, len(x)), NAN), x[: max(len(x) - k, 0)]])
 
@@ -277,11 +282,12 @@ def entity_features(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume
     f["residual_momentum_126d"] = Rolling(lrd - lag(beta) * b1_lr).sum(126)
 
     # structure
-    a50, a200, cross = c > sma_50, c > sma_200, sma_50 > sma_200
+    a50, a200, cross = above(c, sma_50), above(c, sma_200), above(sma_50, sma_200)
     f["sma_stack_score"] = flag(a50) * 30 + flag(a200) * 30 + flag(cross) * 30 + flag(a50 & a200 & cross) * 10
     f["pct_above_sma_50"], f["pct_above_sma_200"] = flag(a50), flag(a200)
     e8, e21, e50 = f["ema_8"], f["ema_21"], f["ema_50"]
-    f["ema_stack_score"] = flag(c > e8) * 30 + flag(e8 > e21) * 30 + flag(e21 > e50) * 30 + flag((c > e8) & (e8 > e21) & (e21 > e50)) * 10
+    up_8, up_21, up_50 = above(c, e8), above(e8, e21), above(e21, e50)
+    f["ema_stack_score"] = flag(up_8) * 30 + flag(up_21) * 30 + flag(up_50) * 30 + flag(up_8 & up_21 & up_50) * 10
     f["hh_count_60d"], f["hl_count_60d"] = rising_count(h, pivots(h, True)), rising_count(l, pivots(l, False))
     f["trend_integrity"] = flag((f["hh_count_60d"] >= 2) & (f["hl_count_60d"] >= 2))
     f["new_252d_high"] = flag(c >= H.max(252, shift=1))

@@ -36,6 +36,11 @@ RATED = {  # rating -> raw input; every one but rs_rating_spy is rounded
 }
 
 
+def above(a: Column, b: Column) -> Column:
+    """a > b by more than the rounding of an average: flat prices meet their averages but for the last bits."""
+    return F.round(a - b, 9) > 0
+
+
 # ---- weekly / monthly branch --------------------------------------------------------------------
 def week_zero() -> Column:
     """A Friday: label of week 0."""
@@ -329,8 +334,8 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
         "rs_line_spy_r_squared_60d": w.r2(F.ln(rs1), 60),
         "_d_rising": flag(rs1 > w.lag(rs1, 5)),
         "beta_252d": div(col("_cov_252"), col("_b1_var_252")),
-        "_above_50": flag(c > col("sma_50")), "_above_200": flag(c > col("sma_200")),
-        "_50_above_200": flag(col("sma_50") > col("sma_200")),
+        "_above_50": flag(above(c, col("sma_50"))), "_above_200": flag(above(c, col("sma_200"))),
+        "_50_above_200": flag(above(col("sma_50"), col("sma_200"))),
         "hh_count_60d": rising_pivots("_ph_up"), "hl_count_60d": rising_pivots("_pl_up"),
         "failed_breakout_flag_10d": flag((F.max("_broke_20").over(w.frame(-9, 0)) == 1.0) & (c < col("high_20_prior"))),
         "_bb_width": div(col("bb_upper_20") - col("bb_lower_20"), col("sma_20")),
@@ -357,9 +362,9 @@ def _third_layer(w: TimeAxis, recursive: bool) -> dict[str, Column]:
             "adx_trend_direction": F.when(col("plus_di") > col("minus_di"), 1.0).when(
                 col("plus_di").isNotNull() & col("minus_di").isNotNull(), -1.0),
             "ema_stack_score": (
-                flag(c > col("ema_8")) * 30 + flag(col("ema_8") > col("ema_21")) * 30
-                + flag(col("ema_21") > col("ema_50")) * 30
-                + flag((c > col("ema_8")) & (col("ema_8") > col("ema_21")) & (col("ema_21") > col("ema_50"))) * 10
+                flag(above(c, col("ema_8"))) * 30 + flag(above(col("ema_8"), col("ema_21"))) * 30
+                + flag(above(col("ema_21"), col("ema_50"))) * 30
+                + flag(above(c, col("ema_8")) & above(col("ema_8"), col("ema_21")) & above(col("ema_21"), col("ema_50"))) * 10
             ),
             "macd_histogram": hist,
             "_hist_up": hist > w.lag(hist), "_hist_down": hist < w.lag(hist),

@@ -216,7 +216,7 @@ def layers(src: str = "panel") -> str:
         "rs_line_spy_slope_20d": f"{_chg('rs1', 20)} * 100.0", "rs_line_spy_slope_60d": f"{_chg('rs1', 60)} * 100.0",
         "rs_line_spy_slope_21d": f"{_chg('rs1', 21)} * 100.0", "rs_line_qqq_slope_60d": f"{_chg('rs2', 60)} * 100.0",
         "rs_line_spy_r_squared_60d": r2("ln(rs1)", 60), "d_rising": flag(f"rs1 > {lag('rs1', 5)}"),
-        "beta": div("cov252", "bvar"), "a50": flag("close > sma_50"), "a200": flag("close > sma_200"), "x50": flag("sma_50 > sma_200"),
+        "beta": div("cov252", "bvar"), "a50": flag("round(close - sma_50, 9) > 0"), "a200": flag("round(close - sma_200, 9) > 0"), "x50": flag("round(sma_50 - sma_200, 9) > 0"),
         "hh_count_60d": piv("ph_up"), "hl_count_60d": piv("pl_up"),
         "failed_breakout_flag_10d": flag(f"max(broke20) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 1.0 AND close < high_20_prior"),
         "bb_width": div("bbu - bbl", "sma_20"), "mdd_raw": roll("min", "drawdown_pct", 60, 20),
@@ -225,8 +225,8 @@ def layers(src: str = "panel") -> str:
         "atr_x_50": div("close - sma_50", "atr_14"), "true_range_x_atr14": div("true_range", "atr_14"),
         "breakout_level": f"CASE WHEN close > pmax40 AND {div('true_range', 'atr_14')} > 1.3 THEN pmax40 END",
         "adx_trend_direction": "CASE WHEN plus_di > minus_di THEN 1.0 WHEN plus_di IS NOT NULL AND minus_di IS NOT NULL THEN -1.0 END",
-        "ema_stack_score": (f"{flag('close > ema_8')} * 30 + {flag('ema_8 > ema_21')} * 30 + {flag('ema_21 > ema_50')} * 30 + "
-                            f"{flag('close > ema_8 AND ema_8 > ema_21 AND ema_21 > ema_50')} * 10"),
+        "ema_stack_score": (f"{flag('round(close - ema_8, 9) > 0')} * 30 + {flag('round(ema_8 - ema_21, 9) > 0')} * 30 + {flag('round(ema_21 - ema_50, 9) > 0')} * 30 + "
+                            f"{flag('round(close - ema_8, 9) > 0 AND round(ema_8 - ema_21, 9) > 0 AND round(ema_21 - ema_50, 9) > 0')} * 10"),
         "hist": "macd_line - macd_signal",
         "bullish_divergence_20d": flag(f"{roll('min', c, 10)} < {roll('min', c, 10, shift=10)} AND {roll('min', rsi, 10)} > {roll('min', rsi, 10, shift=10)}"),
         "bearish_divergence_20d": flag(f"{roll('max', c, 10)} > {roll('max', c, 10, shift=10)} AND {roll('max', rsi, 10)} < {roll('max', rsi, 10, shift=10)}"),
