@@ -329,8 +329,10 @@ def _put(src: str, faults: Sequence[tuple[str, str, object]]) -> str:
     return f"SELECT * REPLACE ({', '.join(made)}) FROM {src}"
 
 
-def _planted_ctes() -> str:
+def _planted_ctes(plant: bool = True) -> str:
+    """CTE fd: findings of the latest date, of tables with planted faults or of the tables as they are."""
     faults = [(f"{_NO} = {k}", c, v) for k, c, v in planted.SCORED]
+    orphan = planted.ORPHAN if plant else ""
     q = lambda ts: ", ".join(f"'{t}'" for t in ts)
     miss = " + ".join(f"({c} IS NULL)::INT" for c in config.COMPONENTS)
     probs = ", ".join(f"p_{s}" for s in config.STATES)
@@ -345,14 +347,14 @@ def _planted_ctes() -> str:
         ("G_tier_value", "ERROR", f"coalesce(leadership_tier, 'NULL') NOT IN ({q(config.TIERS)})"),
         ("G_high_rs_weak_tier", "WARN", f"rs_rating_spy > 80 AND coalesce(leadership_tier, 'NULL') NOT IN ({q(STRONG)})"),
         ("G_low_rs_strong_tier", "WARN", f"rs_rating_spy < 20 AND coalesce(leadership_tier, 'NULL') NOT IN ({q(WEAK)})"),
-        ("H_setup_missing", "WARN", "setup IS NULL"), ("J_no_basket", "WARN", f"entity NOT IN (SELECT entity FROM mem WHERE entity <> '{planted.ORPHAN}')"),
+        ("H_setup_missing", "WARN", "setup IS NULL"), ("J_no_basket", "WARN", f"entity NOT IN (SELECT entity FROM mem WHERE entity <> '{orphan}')"),
     ]
     parts += [f"SELECT entity, '{n}', '{sev}', NULL, NULL, NULL FROM lp WHERE {cond}" for n, sev, cond in other]
     parts.append("SELECT basket, 'I_theme_size', 'ERROR', NULL, NULL, NULL FROM tp JOIN (SELECT basket, count(*) AS d FROM mem "
-                 f"WHERE entity <> '{planted.ORPHAN}' GROUP BY 1) USING (basket) WHERE n_constituents > d + 1")
-    return (f"lt AS MATERIALIZED (SELECT * FROM lc WHERE {LATEST}), lp AS MATERIALIZED ({_put('lt', faults)}), "
+                 f"WHERE entity <> '{orphan}' GROUP BY 1) USING (basket) WHERE n_constituents > d + 1")
+    return (f"lt AS MATERIALIZED (SELECT * FROM lc WHERE {LATEST}), lp AS MATERIALIZED ({_put('lt', faults) if plant else 'FROM lt'}), "
             "tl AS MATERIALIZED (SELECT * FROM th WHERE date = (SELECT max(date) FROM th)), "
-            f"tp AS MATERIALIZED ({_put('tl', [(f'basket = {k!r}', c, v) for k, c, v in planted.THEMES])}), fd AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+            f"tp AS MATERIALIZED ({_put('tl', [(f'basket = {k!r}', c, v) for k, c, v in planted.THEMES]) if plant else 'FROM tl'}), fd AS MATERIALIZED ({' UNION ALL '.join(parts)})")
 
 
 def _planted_queries() -> dict[str, str]:

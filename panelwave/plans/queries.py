@@ -1159,6 +1159,60 @@ def report_roundtrip(spark, sf_dir):
     return read_report(spark, path, x.schema)
 
 
+RUN_LIMITS = quality.Limits(min_liquidity=0.0, low_liquidity=0.0, big_range=1e9)
+#: range checks on heavy tails do not stop a run
+RUN_TOLERATED = frozenset(c for c, *_ in reliability.RANGE_RULES if c.startswith(("C_", "D_")))
+
+
+def _published_run(spark, sf_dir) -> str:
+    """Folder of two runs: a good one with a name that the gate drops, and one with planted faults that must not show."""
+    from panelwave.plans import run
+
+    def build() -> str:
+        s, root = source(spark, sf_dir, "bx"), _folder(spark, "published")
+        short = s.bars.where(col("entity") == "Brand#1").join(F.broadcast(views.ranked_dates(s.bars).where("k < 30").select("date")), "date", "left_semi")
+        bars = s.bars.unionByName(short.select(*s.bars.columns).withColumn("entity", F.lit(planted.ABSENT)))
+        tables = run.score_run(bars, s.calendar, s.members, BENCHMARKS, s.bound, RUN_LIMITS)
+        run.publish(spark, root, "good", 1, tables, RUN_TOLERATED)
+        rules = spark.createDataFrame(list(reliability.RANGE_RULES), reliability.RULE_SCHEMA)
+        faults = reliability.all_findings(planted.scored(views.latest(tables["scored"])), views.latest(tables["themes"]), s.members, rules)
+        bad = {"scored": tables["scored"], "findings": faults}
+        run.publish(spark, root, "bad", 2, bad, RUN_TOLERATED)
+        run.archive(spark, root)
+        return root
+
+    return _once(spark, sf_dir, "published", build)
+
+
+def pipeline_run(spark, sf_dir):
+    """What readers see after a good run and a failed one: the seven tables of the good one."""
+    from panelwave.plans import run
+
+    return run.published(spark, _published_run(spark, sf_dir)).select("run_id", "table", "n_rows", day("latest"))
+
+
+def run_archive(spark, sf_dir):
+    """Rows of the dated archive of all seven tables."""
+    from panelwave.plans import run
+
+    root = _published_run(spark, sf_dir)
+    parts = [spark.read.parquet(f"{root}/archive/{t}").select(F.lit(t).alias("table"), "snapshot_date") for t in run.TABLES]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("table", "snapshot_date").agg(F.count("*").alias("n_rows")).select("table", day("snapshot_date"), "n_rows")
+
+
+def slim_history(spark, sf_dir):
+    """All dates of a column subset in a zstd copy of the published scores."""
+    from panelwave.plans import run
+    from panelwave.sources.sinks import write_slim
+
+    path = _folder(spark, "slim")
+    write_slim(run.read_published(spark, _published_run(spark, sf_dir), "scored"), path, SERVED)
+    return shape(spark.read.parquet(path), ("score",), ("grade", "primary_state"))
+
+
 def exclude_sector(spark, sf_dir):
     """Constituents outside one sector; an unknown sector stays."""
     from panelwave.sources.readers import exclude_sector as without
