@@ -1,47 +1,45 @@
-"""Both plans of the wide stages give the same columns; published runs, upserts and rule tables behave at their edges."""
+"""Matrix statistics by hand; published runs, upserts and rule tables at their edges."""
 
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from panelwave import config
 from panelwave.operators import reliability
 from panelwave.operators import xsection as xs
-from panelwave.operators.components import extra_inputs
-from panelwave.operators.standardize import standardize
 from panelwave.plans import planted, run
 from panelwave.streaming.bars import read_bars, read_rejected, upsert_bars
 
 D0 = dt.date(2020, 1, 1)
 
 
-def values(df, columns):
-    pdf = df.select("entity", "date", *columns).toPandas().sort_values(["entity", "date"]).reset_index(drop=True)
-    return {c: pdf[c] for c in columns}
-
-
-def test_matrix_and_aggregate_plans_agree(spark):
+def test_matrix_statistics_by_hand():
     rng = np.random.default_rng(2)
-    names = [c for c in config.FEATURES if c not in config.CATEGORICAL]
-    rows = []
-    for d in range(4):
-        for e in range(12 if d else 4):  # the first date has too few names
-            x = np.round(rng.normal(size=len(names)), 1)
-            x[:3] = 1.5  # constant
-            rows.append((f"e{e}", D0 + dt.timedelta(d), *[None if rng.random() < 0.1 or i == 5 and d == 1 else float(v) for i, v in enumerate(x)]))
-    schema = "entity string, date date, " + ", ".join(f"{c} double" for c in names)
-    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit("Positive/Decelerating/Weak") for c in config.CATEGORICAL}).cache()
-    zs = [f"z_{c}" for c in names]
-    extra = ["x_resid", "x_super", "x_di", "x_low", "x_buzz", "x_ud", "x_wmacd", "x_wslope", "x_macd", "x_rsi", "x_div", "x_vol"]
-    for fn, columns in ((standardize, zs), (lambda x, bound: extra_inputs(x, bound), extra)):
-        one, other = (values(fn(df, bound=b), columns) for b in (xs.Bound(12, 4), xs.Bound()))
-        for c in columns:
-            np.testing.assert_allclose(one[c].astype(float), other[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
-    ranked = {f"r{i}": c for i, c in enumerate(names[4:9])}
-    one, other = (values(xs.pct_rank(df, ["date"], ranked, b), list(ranked)) for b in (xs.Bound(12, 4), xs.Bound()))
-    for c in ranked:
-        np.testing.assert_allclose(one[c].astype(float), other[c].astype(float), rtol=1e-12)
+    x = np.round(rng.normal(size=(23, 6)), 1)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[:, 4], x[:, 5] = 1.5, np.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rank, z = xs.matrix_pct_rank(x), xs.matrix_robust_z(x)
+    for i in range(5):
+        col = pd.Series(x[:, i])
+        np.testing.assert_allclose(rank[:, i], col.rank(pct=True), rtol=1e-12)
+        mad = (col - col.median()).abs().median()
+        want = (col - col.median()) / (1.4826 * mad) if mad > 1e-8 else col * 0.0
+        np.testing.assert_allclose(z[:, i], want, rtol=1e-12)
+    assert np.isnan(rank[:, 5]).all() and np.isnan(z[:, 5]).all()
+
+
+def test_matrix_columns_groups_across_batches(spark):
+    df = spark.range(60).selectExpr("cast(id % 3 as int) as g", "case when id % 7 = 0 then null else cast(id as double) end as x").repartition(4)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = xs.matrix_columns(df, ["g"], ["x"], ["r"], xs.matrix_pct_rank).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    np.testing.assert_allclose(got.r, got.groupby("g").x.rank(pct=True), rtol=1e-12)
+    assert xs.matrix_columns(df.limit(0), ["g"], ["x"], ["r"], xs.matrix_pct_rank).count() == 0
 
 
 def test_a_failed_run_leaves_the_last_good_one(spark, tmp_path):
