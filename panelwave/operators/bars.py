@@ -118,25 +118,11 @@ def long_to_wide(bars: DataFrame, entities: Sequence[str], fields: Sequence[str]
     return bars.groupBy("date").agg(*aggs)
 
 
-def week_end(date: Column) -> Column:
-    """Friday on or after the date."""
-    return F.next_day(F.date_sub(date, 1), "FRI")
-
-
-def month_end(date: Column) -> Column:
-    return F.last_day(date)
-
-
 def last_week_end(date: Column) -> Column:
     """Latest Friday label on or before the date (as-of key; no look-ahead)."""
     return F.date_sub(F.next_day(date, "FRI"), 7)
 
 
-def last_month_end(date: Column) -> Column:
-    """Latest month-end label on or before the date."""
-    return F.when(F.last_day(date) == date, date).otherwise(F.last_day(F.add_months(date, -1)))
-
-
 def resample(panel: DataFrame, label: Column) -> DataFrame:
     """Period bars: last non-null close, max high, min low, summed volume (0 for an empty period).
 

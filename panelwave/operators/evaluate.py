@@ -258,9 +258,12 @@ def oos_significance(diag: DataFrame, keys: Sequence[str] = ("score_type", "scor
                           "oos_p_value": t_two_sided(col("oos_ic_t_stat"), col("n_windows") - 1)})
 
 
-def ic_gate(summary: DataFrame, baseline: DataFrame) -> DataFrame:
-    """IC regression gate: (horizon, ic_mean, expected, tolerance, passed)."""
-    j = baseline.join(summary.select("horizon", "ic_mean"), "horizon", "left")
+def ic_gate(summary: DataFrame, baseline: DataFrame, by: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Regression gate: pinned rows (by, expected, tolerance) with the mean IC found and whether it is inside the tolerance.
+
+    A pinned series that the summary lacks, or whose mean is null, does not pass.
+    """
+    j = baseline.join(summary.select(*by, "ic_mean"), list(by), "left")
     return j.withColumn("passed", F.coalesce(F.abs(col("ic_mean") - col("expected")) <= col("tolerance"), F.lit(False)))
 
 

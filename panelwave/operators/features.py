@@ -52,20 +52,10 @@ def week_index(date: Column) -> Column:
     return F.ceil(F.datediff(date, week_zero()) / 7.0).cast("int")
 
 
-def week_seen(date: Column) -> Column:
-    """Index of the latest Friday on or before the date."""
-    return F.floor(F.datediff(date, week_zero()) / 7.0).cast("int")
-
-
 def month_index(date: Column) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
-def month_seen(date: Column) -> Column:
-    """Latest month whose last calendar day is on or before the date."""
-    return F.when(F.last_day(date) == date, month_index(date)).otherwise(month_index(date) - 1)
-
-
 def period_bars(panel: DataFrame, index: Column) -> DataFrame:
     """Dense period bars per entity: last non-null close, max high, min low, summed volume, benchmark close.
 

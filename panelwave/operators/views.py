@@ -13,6 +13,7 @@ from panelwave.functions.expr import div
 from panelwave.functions.rolling import TimeAxis
 from panelwave.operators import xsection as xs
 from panelwave.operators.score import state_weights
+from panelwave.operators.sizing import materialize
 
 col = F.col
 
@@ -199,6 +200,34 @@ def themes_view(themes: DataFrame, scored: DataFrame, members: DataFrame) -> Dat
                     F.coalesce("members", F.lit("-")).alias("members"))
 
 
+def member_lists(rows: DataFrame, group: str = "basket", member: str = "entity", value: str = "score", size: int = 1000,
+                 task_rows: int = 1_000_000) -> DataFrame:
+    """group, part, n, members: each group's members by falling value (ties by name), comma-joined, ``size`` to a row.
+
+    Rows are cut into ranges of (group, value, member), so a group of any size, and any number of ties, is spread over
+    tasks; a member's place is its place in its range plus the counts of the ranges before. A text never grows with its
+    group. Rows without group, member or value are left out; repeated members are listed as often as they occur.
+    """
+    own = rows.select(col(group).alias("_g"), col(value).alias("_v"), col(member).alias("_m")).dropna()
+    order = [col("_v").desc(), col("_m")]
+    parts = max(1, -(-own.count() // task_rows))
+    x = materialize(own.repartitionByRange(parts, col("_g"), *order).withColumn("_p", F.spark_partition_id()))
+    ahead = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy("_g", "_p").agg(F.count("*").alias("_n")).select(
+        "_g", "_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    placed = x.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(*order))).join(before, ["_g", "_p"])
+    placed = placed.withColumn("_at", col("_before") + col("_r") - 1)
+    out = placed.groupBy("_g", F.floor(col("_at") / size).alias("part")).agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_at", "_m"))).alias("_list"))
+    return out.select(col("_g").alias(group), "part", "n", F.array_join(F.transform("_list", lambda r: r["_m"]), ", ").alias("members"))
+
+
+def top_members(rows: DataFrame, group: str = "basket", member: str = "entity", value: str = "score") -> DataFrame:
+    """group, top_member, n: the member of highest value (ties by name) and how many have a value; one partial aggregate."""
+    return rows.where(col(value).isNotNull()).groupBy(group).agg(
+        F.min_by(member, F.struct(-col(value), col(member))).alias("top_member"), F.count("*").alias("n"))
+
+
 def entity_history(scored: DataFrame, entity: str, name: str, as_of: Column) -> DataFrame:
     return period(scored.where(col("entity") == entity), name, as_of).select(
         "date", "score", "grade", "primary_state", "leadership_tier", "setup")

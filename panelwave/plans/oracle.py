@@ -16,7 +16,7 @@ from panelwave.plans.oracle_base import (
     KEYS, NO_BENCH, cols, div, flag, lag, last_n, lead, panel, pct_rank, rnd, roll,
 )
 from panelwave.plans.queries import (
-    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, FULL_SCORES, FULL_WINDOWS, LATE_EVERY, MIGRATION, OOS_NUMS, RECONCILE_SHARES, RIDGE_COLS, RIDGE_HORIZON, SUPPLIER_FEATURES, THEME_QUERIES, UD_LIMITS, Z_NAMES,
+    EVAL_H, EVAL_SCORES, EVAL_WINDOWS, FEATURE_QUERIES, FULL_SCORES, FULL_WINDOWS, IC_TOLERANCE, LATE_EVERY, MIGRATION, OOS_NUMS, RECONCILE_SHARES, RIDGE_COLS, RIDGE_HORIZON, RUN_LIMITS, SUPPLIER_FEATURES, THEME_QUERIES, UD_LIMITS, Z_NAMES,
 )
 
 
@@ -381,6 +381,27 @@ def _planted_queries() -> dict[str, str]:
     }
 
 
+def _run_queries() -> dict[str, str]:
+    """What readers see of the published run: a brand with 30 bars is dropped by the gate, the failed run changes nothing."""
+    lim = {k: getattr(RUN_LIMITS, k) for k in DEFAULT_LIMITS}
+    last30 = "SELECT date FROM (SELECT DISTINCT date FROM bars) ORDER BY date DESC LIMIT 30"
+    rb = (f"rb AS MATERIALIZED (SELECT * FROM bars UNION ALL SELECT * REPLACE ('{planted.ABSENT}' AS entity) FROM bars WHERE entity = 'Brand#1' AND date IN ({last30})), "
+          f"rn AS MATERIALIZED (SELECT * FROM rb WHERE {NO_BENCH})")
+    ok = "entity IN (SELECT entity FROM fw WHERE status <> 'FAIL')"
+    every = " UNION ALL ".join(f"SELECT entity, date, type FROM an{i}" for i in (1, 2, 3))
+    ctes = (f"{_planted_ctes(False)}, {AN}, {rb}, {firewall('rn', lim)}, rbars AS (SELECT date FROM rb WHERE NOT ({NO_BENCH}) OR {ok}), rquality AS (SELECT NULL::DATE AS date FROM fw), "
+            f"rfeatures AS (SELECT date FROM feat WHERE {ok}), rscored AS (SELECT date FROM lc WHERE {ok}), rthemes AS (SELECT date FROM th), "
+            f"rfindings AS (SELECT NULL::DATE AS date FROM fd), ranomalies AS (SELECT date FROM ({every}))")
+    names = ("bars", "quality", "features", "scored", "themes", "findings", "anomalies")
+    seen = " UNION ALL ".join(f"SELECT 'good' AS run_id, '{t}' AS \"table\", count(*) AS n_rows, strftime(max(date), '%Y-%m-%d') AS latest FROM r{t}" for t in names)
+    kept = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) FILTER (date IS NULL OR date = (SELECT max(date) FROM r{t})) AS n_rows FROM r{t}" for t in names)
+    return {
+        "pipeline_run": _themes(seen, ctes),
+        "run_archive": _themes(f"SELECT k.*, (SELECT strftime(max(date), '%Y-%m-%d') FROM rbars) AS snapshot_date FROM ({kept}) k WHERE n_rows > 0", ctes),
+        "slim_history": _scored(f"SELECT {KEYS}, grade, primary_state, {cols('score')} FROM lc"),
+    }
+
+
 def _metrics() -> str:
     pct = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE printf('%+.1f', {c}) || '%' END"
     num = lambda c, d: f"CASE WHEN {c} IS NULL THEN '-' ELSE format('{{:,.{d}f}}', {c}) END"
@@ -631,6 +652,16 @@ def oracle_sql() -> dict[str, str]:
                                 "AND primary_state = 'INDETERMINATE' ORDER BY score DESC, entity LIMIT 5)")
     d["themes_view"] = _themes(f"SELECT basket, theme_class, n_constituents, {cols('theme_score')}, coalesce(mm[1], '-') AS top_member, coalesce(array_to_string(mm, ', '), '-') AS members FROM (SELECT * FROM th WHERE date = (SELECT max(date) FROM th) AND theme_score IS NOT NULL AND n_constituents >= 3) "
                                f"LEFT JOIN (SELECT basket, list(entity ORDER BY score DESC, entity) AS mm FROM lc JOIN mem USING (entity) WHERE {LATEST} AND score IS NOT NULL GROUP BY basket) USING (basket)")
+    d.update(_run_queries())
+    placed = "SELECT basket, entity, row_number() OVER (PARTITION BY basket ORDER BY score DESC, entity) - 1 AS k FROM ({}) WHERE score IS NOT NULL"
+    lists = "SELECT basket, k // {} AS part, count(*) AS n, string_agg(entity, ', ' ORDER BY k) AS members FROM ({}) GROUP BY 1, 2"
+    scored_members = f"SELECT basket, entity, score FROM lc JOIN (SELECT DISTINCT basket, entity FROM mem) USING (entity) WHERE {LATEST}"
+    d["theme_members"] = _scored(lists.format(2, placed.format(scored_members)))
+    d["theme_top_member"] = _scored(f"SELECT basket, max(entity) FILTER (k = 0) AS top_member, count(*) AS n FROM ({placed.format(scored_members)}) GROUP BY 1")
+    d["user_group_members"] = w(f"{panel('ud')}, {NB}", lists.format(4, placed.format("SELECT basket, entity, sum(volume) AS score FROM nb JOIN mem USING (entity) GROUP BY 1, 2")))
+    means = "SELECT score_name, horizon, avg(ic) AS {} FROM ic {} GROUP BY 1, 2"
+    early = means.format("expected", "JOIN (SELECT date FROM cal WHERE t < (SELECT count(*) FROM cal) // 2) USING (date)")
+    d["ic_gate"] = w(_EV, f"SELECT score_name, horizon, {cols('expected', 'ic_mean')}, coalesce(abs(ic_mean - expected) <= {IC_TOLERANCE}, false) AS passed FROM ({early}) JOIN ({means.format('ic_mean', '')}) USING (score_name, horizon)")
     d["key_metrics"] = _metrics()
     d["entity_history"] = _scored(f"SELECT {day()}, grade, primary_state, leadership_tier, setup, {cols('score')} FROM lc WHERE entity = 'Brand#7' AND date >= DATE '2001-10-29' - INTERVAL 365 DAY")
     d["last_bars"] = w(panel("bx"), f"SELECT {day()}, {cols('close', 'volume')} FROM (SELECT * FROM bars WHERE entity = 'MKT' ORDER BY date DESC LIMIT 30)")

@@ -637,6 +637,19 @@ def ic_summary(spark, sf_dir):
     return x.select("score_name", "horizon", "n_dates", *[rnd(col(c)).alias(c) for c in ("ic_mean", "ic_median", "ic_std", "ic_t_stat", "hit_rate")])
 
 
+IC_TOLERANCE = 0.02
+
+
+def ic_gate(spark, sf_dir):
+    """Mean IC over all dates against the mean of the first half of the dates, pinned for each score and horizon."""
+    ic, s = _ic(spark, sf_dir)
+    by = ("score_name", "horizon")
+    early = ic.join(s.calendar.where(col("t") < s.bound.groups // 2).select("date"), "date", "left_semi")
+    pinned = evaluate.ic_summary(early).select(*by, col("ic_mean").alias("expected"), F.lit(IC_TOLERANCE).alias("tolerance"))
+    x = evaluate.ic_gate(evaluate.ic_summary(ic), pinned, by)
+    return x.select(*by, rnd(col("expected")).alias("expected"), rnd(col("ic_mean")).alias("ic_mean"), "passed")
+
+
 def rolling_ic(spark, sf_dir):
     x = evaluate.rolling_ic(_ic(spark, sf_dir)[0], 12)
     return x.select("score_name", "horizon", day(), rnd(col("rolling_ic")).alias("rolling_ic"))
@@ -932,6 +945,27 @@ def key_metrics(spark, sf_dir):
     return views.key_metrics(feature_panel(spark, sf_dir))
 
 
+def _theme_members(spark, sf_dir) -> DataFrame:
+    x = views.latest(scored_panel(spark, sf_dir)).select("entity", "score")
+    return x.join(source(spark, sf_dir, "bx").members.select("basket", "entity").distinct(), "entity")
+
+
+def theme_members(spark, sf_dir):
+    """Members of each group by falling score, two to a row."""
+    return views.member_lists(_theme_members(spark, sf_dir), size=2)
+
+
+def theme_top_member(spark, sf_dir):
+    return views.top_members(_theme_members(spark, sf_dir))
+
+
+def user_group_members(spark, sf_dir):
+    """All users of each user group by falling activity, four to a row."""
+    s = source(spark, sf_dir, "ud")
+    x = no_bench(s.bars).groupBy("entity").agg(F.sum("volume").alias("score"))
+    return views.member_lists(x.join(s.members.select("basket", "entity"), "entity"), size=4)
+
+
 def entity_history(spark, sf_dir):
     x = views.entity_history(scored_panel(spark, sf_dir), "Brand#7", "1Y", F.lit("2001-10-29").cast("date"))
     return shape(x, ("score",), ("grade", "primary_state", "leadership_tier", "setup"), keys=("date",))
@@ -1378,7 +1412,9 @@ DIRECT: dict[str, Query] = {
     "universe_nested": universe_nested, "sector_assignment": sector_assignment, "canonical_constituents": canonical_constituents,
     "membership_queries": membership_queries, "union_universe": union_universe, "run_validation": run_validation, "label_translation": label_translation,
     "gate_filter": gate_filter, "overrides_roundtrip": overrides_roundtrip, "snapshot_roundtrip": snapshot_roundtrip, "slim_latest": slim_latest,
-    "serving_resolution": serving_resolution, "report_roundtrip": report_roundtrip, "exclude_sector": exclude_sector,
+    "serving_resolution": serving_resolution, "pipeline_run": pipeline_run, "run_archive": run_archive, "slim_history": slim_history,
+    "theme_members": theme_members, "theme_top_member": theme_top_member, "user_group_members": user_group_members, "ic_gate": ic_gate,
+    "report_roundtrip": report_roundtrip, "exclude_sector": exclude_sector,
     "combine_sources": combine_sources, "stream_bars": stream_bars, "stream_bars_rejected": stream_bars_rejected,
     "stream_bars_closed": stream_bars_closed, "stream_indicators": stream_indicators,
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from panelwave.operators import reliability
+from panelwave.operators import evaluate, reliability, views
 from panelwave.operators import xsection as xs
 from panelwave.plans import planted, run
 from panelwave.streaming.bars import read_bars, read_rejected, upsert_bars
@@ -103,3 +103,24 @@ def test_planted_faults_reach_their_columns(spark):
     faults = [(planted.number() == 3, "score", 130.0), (planted.number() == 4, "score", None), (planted.number() == 5, "grade", "Q")]
     got = {r.entity: (r.score, r.grade) for r in planted._put(df, faults).collect()}
     assert got == {"Brand#1": (1.0, "A"), "Brand#2": (1.0, "A"), "Brand#3": (130.0, "A"), "Brand#4": (None, "A"), "Brand#5": (1.0, "Q")}
+
+
+def test_member_lists_split_groups_and_ties(spark):
+    rows = [("hot", f"m{k:03d}", float(k % 2)) for k in range(300)] + [("small", "z", 1.0), ("small", "a", 1.0), ("small", "n", None), (None, "q", 1.0)]
+    df = spark.createDataFrame(rows, "basket string, entity string, score double")
+    got = views.member_lists(df, size=7, task_rows=40).collect()
+    for group in ("hot", "small"):
+        want = [m for _, m in sorted((-v, m) for g, m, v in rows if g == group and v is not None)]
+        parts = sorted((r.part, r.n, r.members.split(", ")) for r in got if r.basket == group)
+        assert [p for p, _, _ in parts] == list(range(-(-len(want) // 7))) and sum((m for _, _, m in parts), []) == want
+        assert all(n == len(m) <= 7 for _, n, m in parts)
+    assert {r.basket for r in got} == {"hot", "small"}
+    assert {(r.basket, r.top_member, r.n) for r in views.top_members(df.where("basket is not null")).collect()} == {("hot", "m001", 300), ("small", "a", 2)}
+    assert views.member_lists(df.limit(0)).count() == 0
+
+
+def test_ic_gate_pins(spark):
+    found = spark.createDataFrame([("s", 1, 0.011), ("s", 5, 0.05), ("s", 20, None)], "score_name string, horizon int, ic_mean double")
+    pinned = spark.createDataFrame([("s", h, 0.01, 0.002) for h in (1, 5, 20, 60)], "score_name string, horizon int, expected double, tolerance double")
+    got = {r.horizon: r.passed for r in evaluate.ic_gate(found, pinned, ("score_name", "horizon")).collect()}
+    assert got == {1: True, 5: False, 20: False, 60: False}
