@@ -31,6 +31,8 @@ THRESHOLD = (75, 100)
 #: pairs whose estimate is lower are not confirmed; 4.6 standard deviations under the threshold
 ESTIMATE = 0.62
 BLOCK = 512
+#: classes with more than one in so many members are matched by broadcast: there are fewer of them than this
+LARGE = 1000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -298,7 +300,14 @@ def _block_links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept (doc_id = component_id).
+    """``groups`` without its key: doc_id, n_shingles, component_id, kept."""
+    return groups(docs, doc_id, text, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD,
+           carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, carried columns, n_shingles, component_id (smallest doc_id that links reach), kept (doc_id = component_id)
+    and component_key, which tells components apart whose rows have no id or share one (null without words).
 
     Words are what stands between white space after lower-casing A-Z; a text's set holds its distinct shingles of five
     words, a shorter text's whole sequence. Texts whose sets overlap by at least 75 in 100 are linked.
@@ -307,9 +316,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alike (all kept, if one is); a null doc_id is linked but never the smallest: its row is kept only where its whole
     component has no id. Threshold pairs that tie are linked.
     """
-    sig = materialize(signatures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]))
+    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
+    sig = materialize(signatures(named, ["doc_id", *[f"__c{i}" for i in range(len(carry))]]))
     classes = sig.filter("seq is not null").groupBy("seq").agg(
-        F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     classes = materialize(classes)
     low = classes.select("seq", "low")
     members = classes.select("seq", F.posexplode("bands").alias("band", "bucket"))
@@ -327,10 +337,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = materialize(stars.select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("likeness")).filter(
         F.col("likeness") >= ESTIMATE))
 
-    # texts of all classes that share a bucket with another
+    # texts of all classes that share a bucket with another; copies are put together before they are sent to a class
     needed = degree.select("seq")
-    texts = materialize(bodies(docs.select(F.col(text).alias("text"))).join(needed, "seq", "left_semi").groupBy("seq").agg(
-        F.first("body").alias("body")))
+    texts = materialize(bodies(docs.select(F.col(text).alias("text"))).groupBy("seq").agg(F.first("body").alias("body")).join(
+        needed, "seq", "left_semi"))
     # first each class with its likeliest leader: that makes a forest, as leaders have
     # higher degrees or, among equals, smaller keys
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
@@ -372,12 +382,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()  # roots name themselves
     reps = labels.join(classes.select(F.col("seq").alias("node"), "rep"), "node")
     smallest = reps.join(reps.groupBy("label").agg(F.min("rep").alias("component")), "label").select(
-        F.col("node").alias("seq"), "component")
-    ids = classes.select("seq", "rep").join(smallest, "seq", "left").select(
-        "seq", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "seq").join(ids, "seq", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("seq").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.col("node").alias("seq"), "component", "label")
+    ids = materialize(classes.select("seq", "rep", "n").join(smallest, "seq", "left").select(
+        "seq", "n", F.coalesce("component", "rep").alias("component_id"), F.coalesce("label", "seq").alias("component_key")))
+    # members go to their classes: fewer than LARGE classes can have over 1 / LARGE of all members, and are broadcast;
+    # rows without words need no class
+    members = ids.agg(F.sum("n")).head()[0] or 0
+    large = F.broadcast(ids.filter(F.col("n") * LARGE > members).drop("n"))
+    rows = sig.drop("low", "bands")
+    none = rows.filter("seq is null").withColumns({"component_id": F.col("doc_id"), "component_key": F.lit(None).cast("long")})
+    worded = rows.filter("seq is not null")
+    in_large = worded.join(large, "seq")
+    others = worded.join(large, "seq", "left_anti").join(ids.drop("n"), "seq")
+    out = none.unionByName(in_large).unionByName(others)
+    return out.select("doc_id", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "n_shingles", "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component_key")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

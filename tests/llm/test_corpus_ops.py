@@ -136,6 +136,15 @@ def test_minhash_components(docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_minhash_large_and_small_classes(docs, rows, spark, monkeypatch):
+    """Members of a class that holds most rows, of small ones, and rows without words take different ways."""
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    copies = [(1000 + k, "one two three four five six seven") for k in range(len(rows))]
+    every = rows + copies + [(5000, None), (None, ""), (None, " ")]
+    got = minhash.near_duplicates(spark.createDataFrame(every, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == near_by_hand(every)
+
+
 def test_minhash_mixed_buckets(spark, monkeypatch):
     """Chains of near copies, which no single leader links, and buckets larger than a block."""
     monkeypatch.setattr(minhash, "BLOCK", 4)

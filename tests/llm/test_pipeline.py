@@ -49,6 +49,24 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.ids) for r in got) == [(d, library.encode(t)) for d, t in rows]
 
 
+def test_one_of_group_by_id_and_text(spark):
+    """Repeated and null ids: every row is judged by its own text; extra columns are kept, also those named like results."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["other"])
+    far, alone = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [
+        (3, " ".join(base), 1), (5, near, 2), (5, far, 3), (5, far, 4),  # id 5: a near copy of 3, and a text of its own twice
+        (None, near, 5), (None, alone, 6), (None, alone + " more", 7), (None, "", 8), (None, "", 9), (None, " ", 10), (None, None, 11),
+        (7, far + " end", 12),  # near copy of a text of id 5
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_group(spark, docs, DIR).collect()]
+    by = sorted(got, key=str)
+    assert len(by) == len(set(by)) == 6
+    assert (3, " ".join(base)) in by and (5, far) in by and {t for d, t in by if d is None and (t or "").strip() == ""} == {"", " ", None}
+    assert sum(t in (alone, alone + " more") for _, t in by) == 1 and all(d in (3, 5, None) for d, _ in by)
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
