@@ -18,9 +18,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates; of rows that repeat id and text one stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group of near-duplicates, that of smallest id, and of texts that share it one.
+
+    A row is known by id and text, so rows of one id, or without one, have their own decisions. Rows without words are
+    groups of their own; of rows that repeat id and text one stays.
+    """
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    found = minhash.groups(rows, carry=["__hash"]).filter("kept")
+    alone = F.when(F.col("component_key").isNull(), F.col("__hash"))
+    kept = found.groupBy("doc_id", "component_key", alone.alias("__alone")).agg(F.min("__hash").alias("__chosen"))
+    kept = kept.select(F.col("doc_id").alias("__kept"), "__chosen")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__chosen")), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))
     return rows.withColumn("__row", first).filter("__row = 1").select(*docs.columns)
 
