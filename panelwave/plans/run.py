@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwave.operators import bars as B
 from panelwave.operators import quality, reliability, views
@@ -84,3 +85,9 @@ def archive(spark: SparkSession, root: str) -> None:
         x = (views.latest(df) if "date" in df.columns else df).withColumn("snapshot_date", F.lit(day))
         (x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date")
          .parquet(f"{root}/archive/{r.table}"))
+
+
+def read_archive(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The dated archive of a table of the last good run; a table whose slices had no rows reads as empty."""
+    schema = T.StructType([*read_published(spark, root, table).schema.fields, T.StructField("snapshot_date", T.DateType())])
+    return read_table(spark, f"{root}/archive/{table}", schema)

@@ -60,6 +60,16 @@ def test_a_failed_run_leaves_the_last_good_one(spark, tmp_path):
     assert spark.read.parquet(f"{root}/archive/scored").head().snapshot_date == D0
 
 
+def test_an_archived_table_without_rows_reads_as_empty(spark, tmp_path):
+    root, none = str(tmp_path), spark.createDataFrame([], "entity string, date date, check string, severity string")
+    scored = spark.createDataFrame([("a", D0, 1.0)], "entity string, date date, score double")
+    assert run.publish(spark, root, "r1", 1, {"scored": scored, "findings": none, "anomalies": none})
+    run.archive(spark, root)
+    assert run.read_archive(spark, root, "anomalies").columns == [*none.columns, "snapshot_date"]
+    assert run.read_archive(spark, root, "anomalies").count() == 0
+    assert run.read_archive(spark, root, "scored").collect() == [("a", D0, 1.0, D0)]
+
+
 def test_upsert_bars_merge_reject_and_replay(spark, tmp_path):
     root, schema = str(tmp_path), "u string, ts timestamp, p double"
     at = lambda d, h: dt.datetime(2020, 1, d, h)
