@@ -413,3 +413,27 @@ def test_nearest_date(spark):
     df = spark.createDataFrame([("a", day(i), float(i)) for i in (1, 5, 9)], "entity string, date date, score double")
     r = reliability.history_coverage(df, {"x": str(day(3)), "y": str(day(50))}).first()
     assert (r.x_date, r.x_score, r.y_date, r.y_score) == (day(5), 5.0, day(9), 9.0)
+
+
+def test_crowded_and_dealt_bars_equal_plain_ones(spark):
+    """First and last by the whole order, ties and nulls in its leading fields included; no sort of the trades."""
+    rng = np.random.default_rng(4)
+    rows = [("k" if i % 3 else None, int(rng.integers(0, 3)) if i % 11 else None, int(rng.integers(0, 2)) if i % 7 else None, i, float(rng.integers(1, 90)))
+            for i in range(400)]
+    t = spark.createDataFrame(rows + [("one", None, None, 1, 5.0)], "g string, a int, b int, c int, p double").repartition(5)
+    args = (["g"], F.col("p"), F.lit(2.0))
+    want = sorted(B.trade_bars(t, *args, F.struct("a", "b", "c")).collect(), key=str)
+    assert sorted(B.crowded_bars(t, *args, ("a", "b", "c")).collect(), key=str) == want
+    assert sorted(B.dealt_bars(t, *args, F.struct("a", "b", "c")).collect(), key=str) == want
+    fine = B.trade_bars(t.withColumn("h", F.col("c") % 9), ["g", "h"], F.col("p"), F.lit(2.0), F.struct("a", "b", "c"))
+    assert sorted(B.crowded_merge(fine, ["g"]).collect(), key=str) == want
+
+
+def test_a_panel_builds_bars_only_when_asked(spark, monkeypatch):
+    from panelwave.plans import panels
+
+    def fail(*a):
+        raise AssertionError("bars were built")
+
+    monkeypatch.setattr(panels, "fine_bars", fail)
+    assert panels.PanelSource(spark, "/root/testdata/sf0.001", "sm").members.count() > 0
