@@ -437,3 +437,18 @@ def test_a_panel_builds_bars_only_when_asked(spark, monkeypatch):
 
     monkeypatch.setattr(panels, "fine_bars", fail)
     assert panels.PanelSource(spark, "/root/testdata/sf0.001", "sm").members.count() > 0
+
+
+def test_selected_features_compute_and_equal_only_what_is_asked(spark, monkeypatch):
+    from panelwave.operators import features
+    from panelwave.plans.panels import BENCHMARKS, PanelSource
+
+    s = PanelSource(spark, "/root/testdata/sf0.001", "sd")
+    whole = features.compute_features(s.dense(), BENCHMARKS, s.bound)
+    asked, kernel = [], features.kernel_features
+    monkeypatch.setattr(features, "kernel_features", lambda df, columns, *a: asked.append((df.columns, columns)) or kernel(df, columns, *a))
+    for only in (("rsi_14", "sharpe_rank_252d", "within_basket_rank"), ("rs_rating_slope_60d", "within_basket_z_21d", "mtf_rs_coherence", "weekly_rsi_14")):
+        got = features.selected_features(s.dense(), BENCHMARKS, only, s.bound)
+        shown = lambda df: df.select("entity", "date", *[F.round(c, 9).alias(c) for c in sorted(only)])
+        assert got.count() == whole.count() > 0 and shown(got).exceptAll(shown(whole)).count() == 0
+        assert len(asked[-1][1]) <= len(only) + 2 and "vcp_quality_score" not in asked[-1][0]
