@@ -429,6 +429,32 @@ def test_crowded_and_dealt_bars_equal_plain_ones(spark):
     assert sorted(B.crowded_merge(fine, ["g"]).collect(), key=str) == want
 
 
+def test_brand_bars_never_sort_the_trades(spark, monkeypatch):
+    """Where no side is small, trades are dealt to their names once and hashed; the bars are those of one plain aggregate."""
+    from panelwave.operators import sizing
+    from panelwave.plans import panels
+
+    folder, plans = "/root/testdata/sf0.001", []
+    keys = ["entity", "date", "second"]
+    li, part = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("lineitem", "part"))
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "*", F.col("p_brand").alias("entity"), panels._period(F.col("l_shipdate"), "week").alias("date"), (F.col("l_returnflag") == "R").alias("second"))
+    want = sorted(B.trade_bars(rows, keys, F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), F.struct(*panels.LINE_ORDER)).collect())
+    written = B.materialize
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(B, "materialize", lambda df: written(plan(df)))
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(plan(panels.line_bars(spark, folder, "brand", "week")).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+    assert not any("SortMergeJoin [l_" in p for p in plans)
+    # only the scan that finds the ends deals all trades; the other one meets the wanted ends first
+    assert sum("ShuffledHashJoin [l_partkey" in p and "_wa" not in p for p in plans) == 1
+
+
 def test_a_panel_builds_bars_only_when_asked(spark, monkeypatch):
     from panelwave.plans import panels
 
