@@ -455,6 +455,13 @@ def test_brand_bars_never_sort_the_trades(spark, monkeypatch):
     assert sum("ShuffledHashJoin [l_partkey" in p and "_wa" not in p for p in plans) == 1
 
 
+def test_means_equal_above_rounding_rank_by_name(spark):
+    rows = [("feature", n, 5, v, 12, 0.0, 0.0) for n, v in (("b", -0.4634557047890383), ("a", -0.4634557047890382), ("c", 0.1))]
+    s = spark.createDataFrame(rows, "score_type string, score_name string, horizon int, oos_ic_mean double, n_windows long, is_ic_mean double, is_minus_oos double")
+    got = {r.score_name: r.in_bottom for r in evaluate.horizon_tables(s, n=1).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+
+
 def test_a_panel_builds_bars_only_when_asked(spark, monkeypatch):
     from panelwave.plans import panels
 
