@@ -498,6 +498,15 @@ def test_quotation_links(spark):
 
 
 # ---- 9 -------------------------------------------------------------------------------------------
+def test_toxicity_is_fitted_without_texts_on_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got, whole = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: got.append(df.schema) or whole(df))
+    model = toxicity.fit(docs, labels)
+    assert len(model.weights) and got
+    assert "string" not in " ".join(s.simpleString() for s in got)
+
+
 def test_toxicity_learns_and_locates(spark, nothing):
     rng = random.Random(11)
     rows, labels = [], []
