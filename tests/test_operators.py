@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -228,6 +229,20 @@ def test_both_plans_agree_on_odd_keys_and_values(spark):
         assert got == want and len(got) > 3
 
 
+def test_a_sketch_that_varies_from_run_to_run_changes_no_count(spark, monkeypatch):
+    """Bounds that come out differently whenever they are computed, as parts of a sketch arrive in any order."""
+    other = F.udf(lambda b: sorted(x + random.uniform(-9, 9) for x in b), "array<double>").asNondeterministic()
+    sketch = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: other(sketch(*a)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # a cluster may compute a shared step twice
+    try:
+        df = spark.range(300).select(F.lit(1).alias("g"), (F.col("id") % 100).cast("double").alias("x"))
+        got = sorted(tuple(r) for r in xs.ordered_counts(df, ["g"], "x").collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == [(1, float(i), 3, 3 * i, 300) for i in range(100)]
+
+
 def test_robust_z_fallbacks(tied):
     df, pdf = tied
     got = xs.robust_z(df, ["g"], {"z": "x"}, xs.Bound(5000, 10)).toPandas()
