@@ -500,3 +500,21 @@ def test_selected_features_compute_and_equal_only_what_is_asked(spark, monkeypat
         shown = lambda df: df.select("entity", "date", *[F.round(c, 9).alias(c) for c in sorted(only)])
         assert got.count() == whole.count() > 0 and shown(got).exceptAll(shown(whole)).count() == 0
         assert len(asked[-1][1]) <= len(only) + 2 and "vcp_quality_score" not in asked[-1][0]
+
+
+def test_supplier_days_are_made_from_bars_alone(spark, monkeypatch):
+    """No dense table of days is written or dealt; every feature equals that of the dense plan."""
+    from panelwave.operators import carried, features
+    from panelwave.plans import queries as q
+    from panelwave.plans.panels import BENCHMARKS, PanelSource
+
+    folder = "/root/testdata/sf0.001"
+    s = PanelSource(spark, folder, "sd")
+    whole = features.compute_features(s.dense(), BENCHMARKS, s.bound)
+    got = carried.carried_features(s.traded, s.trading_days, config.FEATURES, s.bound, BENCHMARKS)
+    kinds = dict(whole.dtypes)
+    shown = lambda df: df.select("entity", "date", *[F.round(c, 9).alias(c) if kinds[c] == "double" else c for c in config.FEATURES])
+    assert got.count() == whole.count() > 0 and shown(got).exceptAll(shown(whole)).count() == 0
+    monkeypatch.setattr(B, "densify", lambda *a: pytest.fail("the days were laid out by Spark"))
+    q.clear_stages()
+    assert q.features_supplier_day(spark, folder).count() == q.z_supplier_day(spark, folder).count() == whole.count()
