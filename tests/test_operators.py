@@ -518,3 +518,31 @@ def test_supplier_days_are_made_from_bars_alone(spark, monkeypatch):
     monkeypatch.setattr(B, "densify", lambda *a: pytest.fail("the days were laid out by Spark"))
     q.clear_stages()
     assert q.features_supplier_day(spark, folder).count() == q.z_supplier_day(spark, folder).count() == whole.count()
+
+
+def test_a_contracting_base_ends_at_its_last_peak():
+    """What follows the last peak belongs to no segment."""
+    from panelwave.operators.carried import contracting_base
+
+    dips = [40, 20, 5]  # segments of 30 rows, each less deep and on less volume than the one before
+    close = [90 - 3 * abs(i) for i in range(-10, 0)]
+    for dip in dips:
+        close += [100.0, *[100.0 - dip + abs(i - 14) / 100 for i in range(29)]]
+    close += [100.0, *[99.0 - i for i in range(40)]]
+    volume = np.repeat([9.0, 9.0, 5.0, 1.0, 50.0], [10, 30, 30, 30, 41])
+    got = contracting_base(np.array(close), volume)
+    assert not got[:100].any() and np.allclose(got[100:], 70.0 + (0.08 - 0.05) / 0.08 * 30.0)
+
+
+def test_scores_on_their_dates_equal_the_general_plan(spark):
+    from panelwave.operators.score import score, score_on_dates
+
+    rng = random.Random(3)
+    rows = [(f"E{i}", dt.date(2000, 1, 1 + day), *[None if rng.random() < .1 else round(rng.gauss(0, 1), 1) for _ in config.COMPONENTS],
+             *[1.0 / len(config.STATES)] * len(config.STATES)) for day, n in ((0, 40), (1, 1), (2, 2), (3, 0), (4, 25)) for i in range(n)]
+    rows += [(f"E{i}", dt.date(2000, 2, 1), *[0.1] * len(config.COMPONENTS), *[1.0 / len(config.STATES)] * len(config.STATES)) for i in range(7)]
+    rows += [("E9", dt.date(2000, 2, 2), *[None] * len(config.COMPONENTS), *[1.0 / len(config.STATES)] * len(config.STATES))]
+    names = [*config.COMPONENTS, *[f"p_adj_{s}" for s in config.STATES]]
+    df = spark.createDataFrame(rows, "entity string, date date, " + ", ".join(f"{c} double" for c in names))
+    shown = lambda x: sorted(map(str, x.select("entity", "date", F.round("score", 9), "grade").collect()))
+    assert shown(score_on_dates(df.repartition(3, "date").sortWithinPartitions("date"))) == shown(score(df, xs.Bound(50, 10)))
