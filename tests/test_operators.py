@@ -535,7 +535,11 @@ def test_a_contracting_base_ends_at_its_last_peak():
 
 
 def test_scores_on_their_dates_equal_the_general_plan(spark):
-    from panelwave.operators.score import score, score_on_dates
+    from panelwave.operators.score import graded, matrix_composite, matrix_score, score
+
+    def fn(x):
+        k = len(config.COMPONENTS)
+        return matrix_score(matrix_composite(x[:, :k], list(x[:, k:].T))[:, None])
 
     rng = random.Random(3)
     rows = [(f"E{i}", dt.date(2000, 1, 1 + day), *[None if rng.random() < .1 else round(rng.gauss(0, 1), 1) for _ in config.COMPONENTS],
@@ -545,4 +549,5 @@ def test_scores_on_their_dates_equal_the_general_plan(spark):
     names = [*config.COMPONENTS, *[f"p_adj_{s}" for s in config.STATES]]
     df = spark.createDataFrame(rows, "entity string, date date, " + ", ".join(f"{c} double" for c in names))
     shown = lambda x: sorted(map(str, x.select("entity", "date", F.round("score", 9), "grade").collect()))
-    assert shown(score_on_dates(df.repartition(3, "date").sortWithinPartitions("date"))) == shown(score(df, xs.Bound(50, 10)))
+    got = graded(xs.matrix_columns(df, ["date"], names, ["score", "_place"], fn))
+    assert shown(got) == shown(score(df, xs.Bound(50, 10)))
